@@ -228,7 +228,7 @@ def _verify(work: DataFrame, least: float, tables: int, probes: int) -> DataFram
     return spread.mapInArrow(run, "node long, n long, other long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 6, probes: int = 1, cell: float = 0.3, seed: int = 8, block: int = 2048, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 6, probes: int = 1, cell: float = 0.25, seed: int = 8, block: int = 2048, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row. cell is the lattice's scale on the unit sphere's projection."""
     units = _units(vectors, id_col, label_col, vec_col).withColumn("links", F.col("label").isNotNull() & F.col("unit").isNotNull())
     units = cut(units)
