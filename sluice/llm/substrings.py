@@ -259,11 +259,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, the removed runs (lo, hi; byte offsets, ends exclusive) and the kept bytes of every document."""
+def _spans(docs: DataFrame, length: int, gram: int, heavy: int, id_col: str | None, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs as rows (doc, doc_id, text), and of each doc with repeats its covered intervals, packed."""
     if not 0 < gram < length < 1024:
         raise ValueError("0 < gram < length < 1024")
-    rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("doc"), (F.col(f"`{id_col}`") if id_col else F.lit(None)).cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     judged = cut(_neighbours(_sampled(rows, length, gram)))
     at, least, most = F.shiftright("packed", 20), F.shiftright("packed", 10).bitwiseAND(F.lit(1023)), F.col("packed").bitwiseAND(F.lit(1023))
     covers = judged.where("state > 0").select("doc", (at - most).alias("lo"), (at - least + length).alias("hi"))
@@ -276,6 +276,41 @@ def remove(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 5000
         covers = covers.unionByName(_compared(contexts.join(big, "gram", "left_anti"), length))
         covers = covers.unionByName(_counted(contexts.join(big, "gram", "left_semi").select("gram", "doc", "packed", "state", "bytes"), length))
     spans = covers.groupBy("doc").agg(F.collect_list(F.shiftleft("lo", 32) + F.col("hi")).alias("spans"))
+    return rows, spans
+
+
+def cut_out(data: bytes, marks: list[int] | None) -> tuple[list[tuple[int, int]], bytes]:
+    """The removed runs and the kept bytes."""
+    own = merged([(m >> 32, m & 0xFFFFFFFF) for m in marks or []])
+    starts = [0, *[hi for _, hi in own]]
+    stops = [*[lo for lo, _ in own], len(data)]
+    return own, b"".join([data[x:y] for x, y in zip(starts, stops, strict=True)])
+
+
+def without_repeats(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 5000, text_col: str = "text") -> DataFrame:
+    """docs, all columns, with the repeats cut out of the text and n_chars (where there is one) renewed.
+
+    Bytes that remain of a character cut apart are dropped; a null text stays null.
+    """
+    _, spans = _spans(docs, length, gram, heavy, None, text_col)
+    names = docs.columns
+    at = names.index(text_col)
+    joined = docs.withColumn("__doc", F.monotonically_increasing_id()).join(spans.withColumnsRenamed({"doc": "__doc", "spans": "__spans"}), "__doc", "left").select(*[F.col(f"`{c}`") for c in names], "__spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, rows=512):
+            new = []
+            for text, marks in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                new.append(text if not marks else cut_out(text.encode("utf-8", "surrogatepass"), marks)[1].decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else b.column(k) for k in range(len(names))], names=names)
+
+    out = joined.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length(f"`{text_col}`").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
+def remove(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, the removed runs (lo, hi; byte offsets, ends exclusive) and the kept bytes of every document."""
+    rows, spans = _spans(docs, length, gram, heavy, id_col, text_col)
     joined = rows.join(spans, "doc", "left").select("doc", "doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,12 +319,10 @@ def remove(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 5000
             sizes, runs, kept = [], [], []
             for text, marks in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass") if text else b""
-                own = merged([(m >> 32, m & 0xFFFFFFFF) for m in marks or []])
-                starts = [0, *[hi for _, hi in own]]
-                stops = [*[lo for lo, _ in own], len(data)]
+                own, rest = cut_out(data, marks)
                 sizes.append(len(data))
                 runs.append([{"lo": lo, "hi": hi} for lo, hi in own])
-                kept.append(b"".join([data[x:y] for x, y in zip(starts, stops, strict=True)]))
+                kept.append(rest)
             yield batch(["doc_id", "n_bytes", "removed", "kept"], b.column(1).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary()))
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<lo:long,hi:long>>, kept binary")

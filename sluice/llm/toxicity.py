@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, cut
+from .common import arrow_map, batch, cut, slices
 
 SCHEMA = "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>"
 WORD = re.compile(r"\w+")
@@ -381,3 +381,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield batch(["doc_id", "score", "spans"], b.column(0).cast(pa.int64()), scores, pa.array(found, span))
 
     return arrow_map(docs, [id_col, text_col], run, SCHEMA)
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs, all columns, without the documents whose score is the threshold or more."""
+    shared = _Shared(docs.sparkSession, model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        if m.constant is not None:  # nothing to learn from: nothing is rejected
+            yield from batches
+            return
+        scorer = _scorer(shared)
+        for b in slices(batches):
+            tops = scorer.tops(scorer.marginals([words_of(t) for t in b.column(at).to_pylist()]))
+            z = m.document[0] + tops @ m.document[1:]
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
