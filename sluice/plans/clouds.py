@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import grid
+from ..operators import grid, registration
 from . import tables as t
 
 P = f"WITH {t.POINTS}"
@@ -115,6 +115,22 @@ def main_direction(spark: SparkSession, d: str) -> DataFrame:
 
 DIRECTION_SQL = f"{P}, s AS (SELECT degrees(atan2(y, x)) - 180 * floor(degrees(atan2(y, x)) / 180) AS a, sqrt(x * x + y * y) AS l FROM points WHERE x <> 0 OR y <> 0), m AS (SELECT floor(a * 2) / 2 + 0.25 AS md FROM s GROUP BY floor(a * 2) ORDER BY sum(l) DESC, floor(a * 2) LIMIT 1), q AS (SELECT degrees(atan2(sum(l * sin(2 * radians(a))), sum(l * cos(2 * radians(a)))) / 2) AS r FROM s, m WHERE abs((a - md + 90) - 180 * floor((a - md + 90) / 180) - 90) <= 3) SELECT round(r - 180 * floor(r / 180), 5) AS direction FROM q"
 
+def point_normals(spark: SparkSession, d: str) -> DataFrame:
+    return registration.with_normals(t.points(spark, d), 6, 1.5, 4.0)
+
+
+def coarse_registration(spark: SparkSession, d: str) -> DataFrame:
+    p = t.points(spark, d)
+    pairs = p.select(F.col("scan").alias("fixed")).distinct().where("fixed < 3").withColumn("moving", F.col("fixed") + 1)
+    return registration.coarse_search(p, pairs, [-10.0, 0.0, 10.0], 0.5)
+
+
+def refined_registration(spark: SparkSession, d: str) -> DataFrame:
+    p = t.points(spark, d)
+    best = coarse_registration(spark, d).groupBy("fixed", "moving").agg(F.max_by(F.struct("yaw", "dx", "dy"), "score").alias("b")).select("fixed", "moving", "b.*")
+    return registration.refine(p, best, 4)
+
+
 QUERIES = {
     "grid_minimum": (grid_minimum, f"{P}, c AS (SELECT *, {CELLS} FROM points) SELECT scan, cx, cy, count(*) OVER (PARTITION BY scan, cx, cy) AS n, z, pid, x, y FROM c QUALIFY row_number() OVER (PARTITION BY scan, cx, cy ORDER BY z, pid) = 1"),
     "density_filter": (density_filter, DENSITY_SQL),
@@ -131,6 +147,9 @@ QUERIES = {
     "fit_quality": (fit_quality, f"{P}, m AS (SELECT a.pid, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS dd FROM points a, points b WHERE a.pid <> b.pid GROUP BY 1) SELECT round(sqrt(avg(dd * dd)), 6) AS rms, round(count(*) / (SELECT count(*) FROM points), 6) AS overlap FROM m WHERE dd <= 0.8"),
     "top_render": (top_render, f"{P}, c AS (SELECT *, {CELLS} FROM points) SELECT scan, cx, cy, z, pid FROM c QUALIFY row_number() OVER (PARTITION BY scan, cx, cy ORDER BY z DESC, pid DESC) = 1"),
     "rigid_transform": (rigid_transform, f"{P} SELECT pid, round(0.8::DOUBLE * x - 0.6::DOUBLE * y + 1, 5) AS x, round(0.6::DOUBLE * x + 0.8::DOUBLE * y - 2, 5) AS y, round(z + 0.5::DOUBLE, 5) AS z FROM points"),
+    "point_normals": (point_normals, None),
+    "coarse_registration": (coarse_registration, None),
+    "refined_registration": (refined_registration, None),
     "height_over_ground": (height_over_ground, HEIGHT_SQL),
     "main_direction": (main_direction, DIRECTION_SQL),
 }
