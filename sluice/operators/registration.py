@@ -117,7 +117,8 @@ def correlate(fixed: np.ndarray, moving: np.ndarray) -> np.ndarray:
     turned, ones_f, ones_m = moving[::-1, ::-1], np.ones_like(fixed), np.ones_like(moving)
     cross = back(f(fixed) * f(turned))
     energy_f, energy_m = back(f(fixed**2) * f(ones_m)), back(f(ones_f) * f(turned**2))
-    return cross / np.sqrt(np.maximum(energy_f * energy_m, 1e-9))
+    least = 0.05 * (fixed**2).sum() * (moving**2).sum() + 1e-12  # shifts with little in common don't count
+    return cross / np.sqrt(np.maximum(energy_f * energy_m, least))
 
 
 def peaks(image: np.ndarray, n: int, apart: int) -> list[tuple[int, int, float]]:

@@ -140,9 +140,9 @@ def las_bytes(xyz: np.ndarray, rgb: np.ndarray | None = None, scale: float = 1e-
     struct.pack_into("<3d", head, 155, *shift)
     struct.pack_into("<6d", head, 179, high[0], low[0], high[1], low[1], high[2], low[2])
     out = np.zeros((len(xyz), size), np.uint8)
-    out[:, :12] = whole.astype("<i4").view(np.uint8).reshape(-1, 12)
+    out[:, :12] = np.ascontiguousarray(whole.astype("<i4")).view(np.uint8).reshape(-1, 12)
     if rgb is not None:
-        out[:, 20:26] = (rgb.astype("<u2") * 257).view(np.uint8).reshape(-1, 6)
+        out[:, 20:26] = np.ascontiguousarray(rgb.astype("<u2") * 257).view(np.uint8).reshape(-1, 6)
     return bytes(head) + vlr + out.tobytes()
 
 

@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def site_hours(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Tumbling hours of event time per site; events later than the watermark are left out. Approximate detectors are not used: the count is of events."""
-    windowed = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("site"))
+    windowed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("site"))
     return windowed.agg(F.sum("value").alias("volume"), F.count("*").alias("n_rows")).select("site", F.col("w.start").alias("hour_start"), "volume", "n_rows")
