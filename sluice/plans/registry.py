@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clouds, forecasts, places, simulations, traffic
+from . import clouds, details, forecasts, places, simulations, traffic
 
-MODULES = (traffic, places, forecasts, simulations, clouds)
+MODULES = (traffic, places, forecasts, simulations, clouds, details)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
