@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import demand, exposure, graph, grid, measure, rating, report
+from ..operators import demand, exposure, graph, measure, rating, report
 from . import forecasts
 from . import tables as t
 
@@ -219,10 +219,6 @@ def nearest_aadt(spark: SparkSession, d: str) -> DataFrame:
     return near.join(summed, near["s_suppkey"] == summed["segment_id"]).select("id", "segment_id", F.round("aadt", 2).alias("aadt"), "aadt_directions")
 
 
-def ground_heights(spark: SparkSession, d: str) -> DataFrame:
-    return grid.height_over_ground(t.points(spark, d), 2.0).select("pid", F.round("h", 4).alias("h"))
-
-
 QUERIES = {
     "detector_weekday_medians": (detector_weekday_medians, MEDIANS_SQL),
     "site_skip_reasons": (site_skip_reasons, SKIP_SQL),
@@ -247,5 +243,4 @@ QUERIES = {
     "obstacle_match": (obstacle_match, "SELECT s_suppkey AS scan, min(CAST(p_partkey % 19 AS DOUBLE)) AS along_m FROM supplier JOIN part ON p_partkey % 97 = s_suppkey WHERE abs(p_partkey % 19 - s_suppkey % 20) <= 1.5 GROUP BY 1"),
     "polyline_boxes": (polyline_boxes, "SELECT s_suppkey, greatest(s_suppkey % 40, s_suppkey % 23) >= 10 AND least(s_suppkey % 40, s_suppkey % 23) <= 20 AND greatest(s_suppkey % 17, s_suppkey % 31) >= 5 AND least(s_suppkey % 17, s_suppkey % 31) <= 15 AS near FROM supplier"),
     "nearest_aadt": (nearest_aadt, None),
-    "ground_heights": (ground_heights, f"WITH {t.POINTS}, c AS (SELECT *, floor(x / 2) AS cx, floor(y / 2) AS cy FROM points), g AS (SELECT scan, cx, cy, CASE WHEN count(*) > 10 THEN quantile_cont(z, 0.05) ELSE min(z) END AS g FROM c GROUP BY 1, 2, 3) SELECT pid, round(z - g, 4) AS h FROM c JOIN g ON g.scan = c.scan AND g.cx = c.cx AND g.cy = c.cy"),
 }
