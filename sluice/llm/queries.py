@@ -85,5 +85,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: SQL of DuckDB that gives the same rows.
-SQL: dict[str, str] = {}
+_VECTORS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+OP3_SQL = f"""WITH {_VECTORS}, w AS (SELECT vec_id, list_transform(e, lambda x: floor(1024 * x)) AS w FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score FROM w q JOIN w c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+OP4_SQL = f"""WITH RECURSIVE {_VECTORS}, u AS (SELECT * FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id, b.vec_id AS other FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT DISTINCT vec_id AS node, vec_id AS root FROM l UNION SELECT l.other, r.root FROM r JOIN l ON l.vec_id = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY 1), n AS (SELECT vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.root, x.vec_id) AS component_id, x.vec_id = coalesce(c.root, x.vec_id) AS kept FROM embeddings x LEFT JOIN n ON n.vec_id = x.vec_id LEFT JOIN c ON c.node = x.vec_id"""
+
+OP6_SQL = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(b[s + 1 : s + 200]) AS h FROM (SELECT doc_id, b, unnest(range(n - 199)) AS s FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, s FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+g AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM r),
+i AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM g),
+runs AS (SELECT doc_id, min(s) AS lo, max(s) + 200 AS hi FROM i GROUP BY doc_id, k),
+parts AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS z FROM runs
+UNION ALL SELECT d.doc_id, coalesce(max(hi), 0), any_value(n) FROM d LEFT JOIN runs ON runs.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT d.doc_id, unhex(string_agg(hex(b[a + 1 : z]), '' ORDER BY a)) AS b FROM d JOIN parts ON parts.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, d.n - octet_length(k.b) AS n_removed, (SELECT count(*) FROM runs WHERE runs.doc_id = d.doc_id) AS n_spans, sha256(k.b) AS kept_sha256 FROM d JOIN kept k ON k.doc_id = d.doc_id"""
+
+OP7_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+o AS (SELECT *, row_number() OVER w AS k, coalesce(lag(role) OVER w, '') AS before, replace(replace(role, '%', '%25'), chr(10), '%0A') AS name FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, (before = '' AND k = 1 AND role IN ('system', 'user')) OR (k > 1 AND ((before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before IN ('assistant', 'tool') AND role = 'tool') OR (before = 'assistant' AND role = 'user') OR (before = 'tool' AND role = 'assistant'))) AS good,
+24 + length(name) + len(regexp_extract_all(name, '<\\*\|')) + length(text) + len(regexp_extract_all(text, '<\\*\|')) AS chars FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(good) AS in_order FROM f GROUP BY conv_id"""
+
+#: SQL of DuckDB that gives the same rows. The others depend on tokenizers, hashes or trained models, or on match offsets.
+SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_lattice": OP4_SQL, "op6_substrings": OP6_SQL, "op7_chat": OP7_SQL}

@@ -60,3 +60,13 @@ def test_queries_run(spark, sf):
     assert queries["op8_toxicity"](spark, sf).where("score between 0 and 1").count() == n
     assert queries["op10_language"](spark, sf).where("lang_pred <> 'und'").count() > 0.9 * n
     assert queries["pipeline"](spark, sf).count() > 0
+
+
+def test_queries_against_sql(spark, sf):
+    from compare import assert_same, connect
+
+    from sluice.llm.queries import SQL
+
+    con = connect(sf)
+    for name, sql in SQL.items():
+        assert_same(__spark_entry__.queries()[name](spark, sf), con, sql)
