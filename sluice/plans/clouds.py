@@ -102,10 +102,10 @@ def rigid_transform(spark: SparkSession, d: str) -> DataFrame:
 
 
 def height_over_ground(spark: SparkSession, d: str) -> DataFrame:
-    return grid.height_over_ground(t.points(spark, d), 3.0).groupBy("scan").agg(F.round(F.avg("h"), 5).alias("mean_h"), F.round(stats.share(F.col("h") > 1), 5).alias("share_high"))
+    return grid.height_over_ground(t.points(spark, d), 3.0).groupBy("scan").agg(F.round(F.avg("h"), 8).alias("mean_h"), F.round(stats.share(F.col("h") > 1), 8).alias("share_high"))
 
 
-HEIGHT_SQL = f"{P}, c AS (SELECT *, floor(x / 3) AS cx, floor(y / 3) AS cy FROM points), g AS (SELECT scan, cx, cy, CASE WHEN count(*) > 10 THEN quantile_cont(z, 0.05) ELSE min(z) END AS g FROM c GROUP BY 1, 2, 3) SELECT c.scan, round(avg(z - g), 5) AS mean_h, round(avg(CAST(z - g > 1 AS DOUBLE)), 5) AS share_high FROM c JOIN g ON g.scan = c.scan AND g.cx = c.cx AND g.cy = c.cy GROUP BY 1"
+HEIGHT_SQL = f"{P}, c AS (SELECT *, floor(x / 3) AS cx, floor(y / 3) AS cy FROM points), g AS (SELECT scan, cx, cy, CASE WHEN count(*) > 10 THEN quantile_cont(z, 0.05) ELSE min(z) END AS g FROM c GROUP BY 1, 2, 3) SELECT c.scan, round(avg(z - g), 8) AS mean_h, round(avg(CAST(z - g > 1 AS DOUBLE)), 8) AS share_high FROM c JOIN g ON g.scan = c.scan AND g.cx = c.cx AND g.cy = c.cy GROUP BY 1"
 
 
 def main_direction(spark: SparkSession, d: str) -> DataFrame:

@@ -170,10 +170,10 @@ def street_measurements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preview_pixels(spark: SparkSession, d: str) -> DataFrame:
-    return measure.preview(t.points(spark, d), 0.5).select("scan", "px", "py", "low", "high", F.round("dark", 5).alias("dark"), F.round("light", 5).alias("light"))
+    return measure.preview(t.points(spark, d), 0.5).select("scan", "px", "py", "low", "high", F.round("dark", 8).alias("dark"), F.round("light", 8).alias("light"))
 
 
-PREVIEW_SQL = f"WITH {t.POINTS}, q AS (SELECT scan, quantile_cont(z, 0.05) AS dark, quantile_cont(z, 0.95) AS light FROM points GROUP BY 1) SELECT p.scan, CAST(floor(x / 0.5::DOUBLE) AS BIGINT) AS px, CAST(floor(y / 0.5::DOUBLE) AS BIGINT) AS py, min(z) AS low, max(z) AS high, round(any_value(dark), 5) AS dark, round(any_value(light), 5) AS light FROM points p JOIN q ON q.scan = p.scan GROUP BY 1, 2, 3"
+PREVIEW_SQL = f"WITH {t.POINTS}, q AS (SELECT scan, quantile_cont(z, 0.05) AS dark, quantile_cont(z, 0.95) AS light FROM points GROUP BY 1) SELECT p.scan, CAST(floor(x / 0.5::DOUBLE) AS BIGINT) AS px, CAST(floor(y / 0.5::DOUBLE) AS BIGINT) AS py, min(z) AS low, max(z) AS high, round(any_value(dark), 8) AS dark, round(any_value(light), 8) AS light FROM points p JOIN q ON q.scan = p.scan GROUP BY 1, 2, 3"
 
 
 def densified_rings(spark: SparkSession, d: str) -> DataFrame:

@@ -57,12 +57,12 @@ def hourly_share_profile(spark: SparkSession, d: str) -> DataFrame:
     h = t.site_hours(spark, d).withColumn("day_type", calendar.day_type(F.col("day"), F.lit(None).cast("string")))
     p = h.groupBy("day_type", "hour").agg((F.sum("volume") / F.countDistinct("day")).alias("vehicles"), F.countDistinct("day").alias("n_days"), F.countDistinct("site").alias("n_sites"))
     share = F.col("vehicles") / F.sum("vehicles").over(Window.partitionBy("day_type"))
-    return p.select("day_type", "hour", F.round("vehicles", 4).alias("vehicles"), "n_days", "n_sites", F.round(share, 6).alias("share_of_day"))
+    return p.select("day_type", "hour", F.round("vehicles", 7).alias("vehicles"), "n_days", "n_sites", F.round(share, 6).alias("share_of_day"))
 
 
 DAY_TYPE = "CASE isodow(day) WHEN 6 THEN 'Saturday' WHEN 7 THEN 'Sunday' ELSE 'Weekday' END"
 PROFILE_SQL = f"""WITH {t.SITE_HOURS}, p AS (SELECT {DAY_TYPE} AS day_type, hour, sum(volume) / count(DISTINCT day) AS vehicles, count(DISTINCT day) AS n_days, count(DISTINCT site) AS n_sites FROM site_hours GROUP BY ALL)
-SELECT day_type, hour, round(vehicles, 4) AS vehicles, n_days, n_sites, round(vehicles / sum(vehicles) OVER (PARTITION BY day_type), 6) AS share_of_day FROM p"""
+SELECT day_type, hour, round(vehicles, 7) AS vehicles, n_days, n_sites, round(vehicles / sum(vehicles) OVER (PARTITION BY day_type), 6) AS share_of_day FROM p"""
 
 
 def site_daily_by_day_type(spark: SparkSession, d: str) -> DataFrame:
@@ -282,10 +282,10 @@ NEWEST_SQL = "SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FRO
 def first_known_site(spark: SparkSession, d: str) -> DataFrame:
     """One row per nation of its suppliers: the first name that is not null, mean balance."""
     s = t.table(spark, d, "supplier").withColumn("name", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")))
-    return exposure.first_known(s, ["s_nationkey"], "s_suppkey", ["name"], ["s_acctbal"]).select("s_nationkey", "name", F.round("s_acctbal", 4).alias("mean_bal"))
+    return exposure.first_known(s, ["s_nationkey"], "s_suppkey", ["name"], ["s_acctbal"]).select("s_nationkey", "name", F.round("s_acctbal", 7).alias("mean_bal"))
 
 
-FIRST_SQL = "SELECT s_nationkey, arg_min(s_name, s_suppkey) FILTER (s_suppkey % 3 <> 0) AS name, round(avg(s_acctbal), 4) AS mean_bal FROM supplier GROUP BY 1"
+FIRST_SQL = "SELECT s_nationkey, arg_min(s_name, s_suppkey) FILTER (s_suppkey % 3 <> 0) AS name, round(avg(s_acctbal), 7) AS mean_bal FROM supplier GROUP BY 1"
 
 
 def directions_summed(spark: SparkSession, d: str) -> DataFrame:
