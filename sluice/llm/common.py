@@ -45,3 +45,19 @@ def arrow_map(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.Recor
 
 def batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names)
+
+
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task for one operator at a time; another operator's is let go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Lets go of what an earlier operator has kept in this worker."""
+    _HELD.clear()

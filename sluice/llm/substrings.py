@@ -9,8 +9,9 @@ so two starts are only ever compared through their samples, and about one positi
 
 1. Every document gives its samples: the hash of the gram there, the starts that lead to it (an interval, since the
    sample never moves back), and the hash of the context that those starts' windows span.
-2. Samples are sorted by gram and context. Equal neighbours have all their windows in common. Of a gram with
-   several contexts, each single context and one of each repeated kind go on.
+2. Grams that occur once anywhere are dropped. The other samples are grouped by gram, offsets and context, with
+   map-side partial aggregation: of a kind that occurs twice or more all windows are repeated, and of a gram with
+   several kinds one sample of each goes on. No task holds a gram's or a kind's samples.
 3. Those contexts are fetched; windows are compared start by start. A gram of over `heavy` such contexts has its
    windows counted by aggregation over all machines instead, so no task holds it.
 4. Each document's covered intervals are merged and cut out.
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, cut, slices
+from .common import arrow_map, batch, cut, release, slices
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 PART = 1 << 19  # starts of a document that are sampled at once
@@ -98,15 +99,11 @@ def _pack(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (at << 20) | ((at - last) << 10) | (at - first)
 
 
-def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position, least and greatest offset."""
-    return packed >> 20, (packed >> 10) & 1023, packed & 1023
-
-
 def _sampled(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """gram, context, doc, packed of every sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             out: list[tuple[np.ndarray, ...]] = []
@@ -122,43 +119,28 @@ def _sampled(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return arrow_map(rows, ["doc", "text"], run, "gram long, context long, doc long, packed long")
 
 
-def _neighbours(found: DataFrame) -> DataFrame:
-    """From samples sorted by gram and context: gram, doc, packed and whether the whole context is repeated (1), goes on (0) or both (2)."""
+def _grams(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """gram of every sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row that awaits its successor, with what its predecessor told: same gram, same kind
+        release()
         for b in batches:
-            rows = np.stack([c.to_numpy() for c in b.columns], axis=1)
-            if not len(rows):
-                continue
-            before = None if last is None else last[1]
-            if last is not None:
-                rows = np.concatenate([last[0], rows])
-            rows_out = rows[:-1]
-            gram = rows[1:, 0] == rows[:-1, 0]
-            kind = gram & (rows[1:, 1] == rows[:-1, 1]) & ((rows[1:, 3] & 0xFFFFF) == (rows[:-1, 3] & 0xFFFFF))
-            first = before or (False, False)
-            yield judged(rows_out, np.concatenate([[first[0]], gram[:-1]]) if len(gram) else gram, gram, np.concatenate([[first[1]], kind[:-1]]) if len(kind) else kind, kind)
-            last = (rows[-1:], (bool(gram[-1]), bool(kind[-1])) if len(gram) else first)
-        if last is not None:
-            no = np.array([False])
-            yield judged(last[0], np.array([last[1][0]]), no, np.array([last[1][1]]), no)
-
-    def judged(rows, gram_before, gram_after, kind_before, kind_after) -> pa.RecordBatch:
-        if not len(rows):
-            return batch(["gram", "doc", "packed", "state"], *[np.empty(0, np.int64)] * 3, np.empty(0, np.int32))
-        run = np.cumsum(~gram_before)
-        run -= run[0]
-        several = np.bincount(run, weights=~kind_before) > 1
-        several[0] |= gram_before[0]  # of a gram that began or goes on elsewhere not all kinds are in sight
-        several[-1] |= gram_after[-1]
-        leads = ~kind_before & several[run]
-        state = np.where(kind_before | kind_after, np.where(leads, 2, 1), np.where(leads, 0, -1))
-        keep = state >= 0
-        return batch(["gram", "doc", "packed", "state"], rows[keep, 0], rows[keep, 2], rows[keep, 3], state[keep].astype(np.int32))
-
-    spread = found.select("gram", "context", "doc", "packed").repartition("gram").sortWithinPartitions("gram", F.col("packed").bitwiseAND(F.lit(0xFFFFF)), "context")
-    return spread.mapInArrow(run, "gram long, doc long, packed long, state int")
+            out = [samples(data, length, gram)[0] for data in (t.encode("utf-8", "surrogatepass") for t in b.column(0).to_pylist() if t) if len(data) >= length]
+            yield batch(["gram"], np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64))
+
+    return arrow_map(rows, ["text"], run, "gram long")
+
+
+def _judged(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Samples (doc, packed) all of whose windows are repeated, and those that go on (gram, doc, packed, state: 2 where the former too)."""
+    again = cut(_grams(rows, length, gram).groupBy("gram").count().where("count > 1").select("gram"))  # shuffled anew, so that the join's hot grams can be split
+    kind = ["gram", "context", "offsets"]
+    found = cut(_sampled(rows, length, gram).join(again, "gram", "left_semi").withColumn("offsets", F.col("packed").bitwiseAND(F.lit(0xFFFFF))))
+    kinds = cut(found.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc", "packed")).alias("lead")))
+    whole = found.join(kinds.where("n > 1").select(*kind), kind, "left_semi").select("doc", "packed")
+    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
+    on = kinds.join(several, "gram", "left_semi").select("gram", "lead.doc", "lead.packed", F.when(F.col("n") > 1, 2).otherwise(0).alias("state"))
+    return whole, cut(on)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -264,10 +246,9 @@ def _spans(docs: DataFrame, length: int, gram: int, heavy: int, id_col: str | No
     if not 0 < gram < length < 1024:
         raise ValueError("0 < gram < length < 1024")
     rows = docs.select(F.monotonically_increasing_id().alias("doc"), (F.col(f"`{id_col}`") if id_col else F.lit(None)).cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    judged = cut(_neighbours(_sampled(rows, length, gram)))
+    whole, some = _judged(rows, length, gram)
     at, least, most = F.shiftright("packed", 20), F.shiftright("packed", 10).bitwiseAND(F.lit(1023)), F.col("packed").bitwiseAND(F.lit(1023))
-    covers = judged.where("state > 0").select("doc", (at - most).alias("lo"), (at - least + length).alias("hi"))
-    some = judged.where("state <> 1")
+    covers = whole.select("doc", (at - most).alias("lo"), (at - least + length).alias("hi"))
     big = cut(some.groupBy("gram").count().where(F.col("count") > heavy).select("gram"))
     if big.isEmpty():
         covers = covers.unionByName(_compared(_contexts(rows, some, length), length))
