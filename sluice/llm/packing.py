@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, batch
+from .common import arrow_map, batch, held
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 #: Distinct chunks a worker keeps before it starts its table afresh, and the longest chunk it keeps.
@@ -103,14 +103,8 @@ class _Chunks(dict):
         return value
 
 
-_LOADED: dict[tuple, ByteBpe] = {}
-
-
 def tokenizer(json_path: str, ranks_path: str | None) -> ByteBpe:
-    key = (json_path, ranks_path)
-    if key not in _LOADED:
-        _LOADED[key] = ByteBpe(*key)
-    return _LOADED[key]
+    return held(("bpe", json_path, ranks_path), lambda: ByteBpe(json_path, ranks_path))
 
 
 def sentence_ends(bpe: ByteBpe) -> np.ndarray:

@@ -20,7 +20,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, batch
+from .common import arrow_map, batch, held
 
 SCHEMA = "doc_id long, ids binary, decoded string"
 MARK = "▁"
@@ -75,13 +75,8 @@ class Codec:
         return self.by_word and not ("  " in text or text[0] == " " or text[-1] == " " or MARK in text or "\0" in text)
 
 
-_LOADED: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _LOADED:
-        _LOADED[path] = Codec(path)
-    return _LOADED[path]
+    return held(("pieces", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

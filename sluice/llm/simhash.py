@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, cut
+from .common import arrow_map, batch, cut, release
 from .components import components
 
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
     """doc_id and its fingerprint as a (signed) long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             found = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
             yield batch(["doc_id", "fp"], b.column(0).cast(pa.int64()), found.view(np.int64))

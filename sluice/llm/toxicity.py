@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, cut, slices
+from .common import arrow_map, batch, cut, held, slices
 
 SCHEMA = "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>"
 WORD = re.compile(r"\w+")
 BITS = 18
 NONE = -30.0  # log-odds of a token that is not there
 #: Distinct words whose potentials a worker keeps before it starts its table afresh.
-TABLE_ROWS = 500_000
+TABLE_ROWS = 300_000
 
 
 @dataclass(frozen=True)
@@ -306,15 +306,9 @@ class _Potentials(dict):
         return value
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
     """One scorer per worker and model, so that its table of words lasts over tasks."""
-    if shared.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[shared.id] = Scorer(shared.value)
-    return _SCORERS[shared.id]
+    return held(("toxic", shared.id), lambda: Scorer(shared.value))
 
 
 class _Shared:
