@@ -7,8 +7,9 @@ value, node, 64 bits of another part of the fingerprint) travel packed as bytes
 numpy. Entries that meet are compared on the 64 bits they carry, then on all 256, and what remains is verified by
 the Jaccard similarity of the sets of word shingles.
 
-Within a group only a spanning forest of least distances goes on where nearly all pairs match, so groups of copies
-give links in proportion to their members. Documents of equal fingerprint are one node from the start.
+A crowd (a group with many near pairs) is searched in two steps, so that groups of copies give few pairs and no link is
+lost: first a spanning forest of least distances is verified, then all near pairs of its members that the links verified
+so far do not connect. Documents of equal fingerprint are one node from the start.
 """
 
 from __future__ import annotations
@@ -107,8 +108,22 @@ def forest(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:, 0], a[:, 1]
 
 
-def meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes that meet in a segment value and are near on the bits they carry; of a crowd of near ones a forest."""
+def near_pairs(values: np.ndarray, most: int, cap: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Positions of all pairs at `most` or fewer differing bits, or None where there are more than `cap`."""
+    left, right, n = [], [], 0
+    for at in range(0, len(values), 256):
+        x, y = np.nonzero(np.bitwise_count(values[at : at + 256, None] ^ values[None, at:]) <= most)
+        up = y > x
+        n += int(up.sum())
+        if n > cap:
+            return None
+        left.append(x[up] + at)
+        right.append(y[up] + at)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def sorted_meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes that meet in a segment value and are near on the bits they carry, of a crowd a forest; key and node of each entry of a crowd."""
     e = e[np.lexsort((e["node"], e["key"]))]
     key, node, rest = e["key"], e["node"], e["rest"]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(e) else np.empty(0, np.int64)
@@ -129,16 +144,25 @@ def meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = ~crowded[group[a]]
     left, right = [a[keep]], [b[keep]]
     for g in np.flatnonzero(crowded | ~light):
-        x, y = forest(rest[starts[g] : starts[g] + sizes[g]], NEAR_64)
+        values = rest[starts[g] : starts[g] + sizes[g]]
+        found = None if crowded[g] else near_pairs(values, NEAR_64, 2 * int(sizes[g]))
+        crowded[g] = found is None
+        x, y = forest(values, NEAR_64) if found is None else found
         left.append(starts[g] + x)
         right.append(starts[g] + y)
     a, b = node[np.concatenate(left)], node[np.concatenate(right)]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    within = crowded[group]
+    return pairs[:, 0], pairs[:, 1], key[within], node[within]
+
+
+def meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sorted_meetings."""
+    return sorted_meetings(e)[:2]
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v) of nodes (node, fp) that meet."""
+    """(u, v) of nodes (node, fp) that meet; with a crowd's key, its members as u, and v null."""
     n = nodes.count()
     parts = max(1, -(-n * SEGMENTS * (1 + WIDTH // 2) // GROUP_ENTRIES))
 
@@ -157,8 +181,9 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         now, blobs = None, []
 
         def close() -> pa.RecordBatch:
-            u, v = meetings(np.frombuffer(b"".join(blobs), ENTRY))
-            return batch(["u", "v"], u, v)
+            u, v, key, node = sorted_meetings(np.frombuffer(b"".join(blobs), ENTRY))
+            crowd = pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(key.astype(np.int64))])
+            return batch(["u", "v", "crowd"], np.concatenate([u, node]), pa.concat_arrays([pa.array(v), pa.nulls(len(node), pa.int64())]), crowd)
 
         for b in slices(batches, rows=64, size=16 << 20):
             for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -171,7 +196,36 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             yield close()
 
     sent = nodes.select("node", "fp").mapInArrow(send, "part int, blob binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long").distinct()
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long, crowd long").distinct()
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """(u, v): all near pairs of different roots within each crowd of members (crowd, node, root, fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            node, root = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
+            words = np.frombuffer(b"".join(r[2] for r in held), "<u8").reshape(-1, 4)
+            for at in range(0, len(held), 256):
+                d = sum(np.bitwise_count(words[at : at + 256, None, k] ^ words[None, at:, k]).astype(np.int64) for k in range(4))
+                x, y = np.nonzero((d <= NEAR_256) & (root[at : at + 256, None] != root[None, at:]))
+                up = y > x
+                a, b = node[x[up] + at], node[y[up] + at]
+                yield batch(["u", "v"], np.minimum(a, b), np.maximum(a, b))
+
+        for b in slices(batches, rows=4096):
+            for crowd, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and crowd != now:
+                    yield from close()
+                    held = []
+                now = crowd
+                held.append(row)
+        if held:
+            yield from close()
+
+    return members.select("crowd", "node", "root", "fp").repartition("crowd").sortWithinPartitions("crowd").mapInArrow(run, "u long, v long").distinct()
 
 
 def _distance(a: str, b: str):
@@ -220,12 +274,17 @@ def kept(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str
     texts = numbered.select(F.col("__row").alias("row"), F.col(f"`{text_col}`").alias("text"))
     prints = cut(_prints(texts, shingle))
     nodes = cut(prints.groupBy("fp").agg(F.min("row").alias("node")))
-    met = _candidates(nodes)
+    met = cut(_candidates(nodes))
+    crowds = met.where("crowd is not null").select("crowd", F.col("u").alias("node"))
     fps = lambda name: nodes.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
-    near = cut(met.join(fps("u"), "u").join(fps("v"), "v").where(_distance("fp_u", "fp_v") <= NEAR_256).select("u", "v"))
-    wanted = near.select(F.col("u").alias("row")).union(near.select("v")).distinct()
+    near = cut(met.where("crowd is null").select("u", "v").join(fps("u"), "u").join(fps("v"), "v").where(_distance("fp_u", "fp_v") <= NEAR_256).select("u", "v"))
+    wanted = near.select(F.col("u").alias("row")).union(near.select("v")).union(crowds.select("node")).distinct()
     sets = cut(_sets(texts.join(wanted, "row"), shingle))
-    found = components(_verified(near, sets, similarity))
+    links = cut(_verified(near, sets, similarity))
+    found = components(links)
+    if not crowds.isEmpty():
+        members = crowds.join(nodes, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = components(links.union(_verified(cut(_across(members)), sets, similarity)))
     rooted = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("group"))
     grouped = prints.join(rooted, "fp").select("row", "group")
     ids = numbered.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").alias("id"))

@@ -212,6 +212,32 @@ def test_jaccard_near_duplicates(spark, table_of):
     assert simhash_wide.kept(empty(spark)).count() == 0
 
 
+def brute_force_kept(texts):
+    sets = [frozenset(simhash_wide.shingles(t, 5)) for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if both >= 0.8 * all_ and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = [low if k == high else k for k in least]
+    return set(least)
+
+
+def test_crowd_of_similar_texts_keeps_its_true_pairs(table_of):
+    """Pages of one template at a similarity of 0.6 to 0.75, each with one partner a little over 0.8."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7)))
+    template, texts = [word() for _ in range(240)], []
+    for _ in range(150):
+        own = [word() for _ in range(44)]
+        texts.append(" ".join(template + own))
+        texts.append(" ".join(template[40:] + own + [word() for _ in range(14)]))
+    want = brute_force_kept(texts)
+    assert 150 <= len(want) < 200
+    assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == want
+
+
 def test_crowds_give_forests():
     rng = np.random.default_rng(0)
     e = np.zeros(900, simhash_wide.ENTRY)
