@@ -2,14 +2,15 @@
 
 Texts of similarity 0.8 differ in about 15 % of a fingerprint's bits, too many for the 64-bit operator's radius. A
 256-bit fingerprint has 16 segments of 16 bits; of two such texts 99 % share a segment up to one bit. Each distinct
-fingerprint is filed under every segment's value and under that value with one set bit cleared. Entries (segment
+shingle set's fingerprint is filed under every segment's value and under that value with one set bit cleared. Entries (segment
 value, node, 64 bits of another part of the fingerprint) travel packed as bytes and are grouped by segment value in
 numpy. Entries that meet are compared on the 64 bits they carry, then on all 256, and what remains is verified by
 the Jaccard similarity of the sets of word shingles.
 
 A crowd (a group with many near pairs) is searched in two steps, so that groups of copies give few pairs and no link is
 lost: first a spanning forest of least distances is verified, then all near pairs of its members that the links verified
-so far do not connect. Documents of equal fingerprint are one node from the start.
+so far do not connect. Documents of equal shingle sets (by a 128-bit digest) are one node from the start; documents of
+equal fingerprint but other sets are verified like any pair.
 """
 
 from __future__ import annotations
@@ -62,13 +63,23 @@ def fingerprint(text: str | None, n: int) -> bytes:
     return np.packbits((counts @ BITS).ravel() * 2 > len(own), bitorder="little").tobytes()
 
 
+def marks(text: str | None, n: int) -> bytes:
+    """The set of shingles: their sorted hashes."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.array(sorted({digest(s) for s in set(shingles(text, n))}), np.uint64).tobytes()
+
+
 def _prints(rows: DataFrame, n: int) -> DataFrame:
+    """row, digest of the shingle set, fp."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            yield batch(["row", "fp"], b.column(0), pa.array([fingerprint(t, n) for t in b.column(1).to_pylist()], pa.binary()))
+            texts = b.column(1).to_pylist()
+            digests = pa.array([xxhash.xxh3_128_digest(marks(t, n)) for t in texts], pa.binary())
+            yield batch(["row", "digest", "fp"], b.column(0), digests, pa.array([fingerprint(t, n) for t in texts], pa.binary()))
 
-    return arrow_map(rows, ["row", "text"], run, "row long, fp binary")
+    return arrow_map(rows, ["row", "text"], run, "row long, digest binary, fp binary")
 
 
 def entries(nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -253,10 +264,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            marks = [np.array(sorted({digest(s) for s in shingles(t, n)}), np.uint64).tobytes() for t in b.column(1).to_pylist()]
-            yield batch(["node", "marks"], b.column(0), pa.array(marks, pa.binary()))
+            yield batch(["node", "marks"], b.column(0), pa.array([marks(t, n) for t in b.column(1).to_pylist()], pa.binary()))
 
     return arrow_map(rows, ["row", "text"], run, "node long, marks binary")
 
@@ -265,7 +274,7 @@ def kept(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str
     """docs, all columns, with one document of each group: that of the smallest id (nulls last, then the first row).
 
     A group is a component of the links between documents whose shingle sets have the similarity; documents of equal
-    fingerprint are linked. docs must be a scan or a checkpointed table, for rows are numbered where they are read.
+    sets are linked. docs must be a scan or a checkpointed table, for rows are numbered where they are read.
 
     Defined cases: null and empty texts are equal to each other; a null id is only kept where its group has no other;
     repeated rows are copies; an empty table gives no rows; other columns are passed on.
@@ -273,7 +282,7 @@ def kept(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     texts = numbered.select(F.col("__row").alias("row"), F.col(f"`{text_col}`").alias("text"))
     prints = cut(_prints(texts, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("row").alias("node")))
+    nodes = cut(prints.groupBy("digest").agg(F.min("row").alias("node"), F.first("fp").alias("fp")))
     met = cut(_candidates(nodes))
     crowds = met.where("crowd is not null").select("crowd", F.col("u").alias("node"))
     fps = lambda name: nodes.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
@@ -285,8 +294,8 @@ def kept(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str
     if not crowds.isEmpty():
         members = crowds.join(nodes, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         found = components(links.union(_verified(cut(_across(members)), sets, similarity)))
-    rooted = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("group"))
-    grouped = prints.join(rooted, "fp").select("row", "group")
+    rooted = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("group"))
+    grouped = prints.join(rooted, "digest").select("row", "group")
     ids = numbered.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").alias("id"))
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("f")
     members = cut(grouped.join(ids, "row"))

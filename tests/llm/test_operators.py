@@ -238,6 +238,15 @@ def test_crowd_of_similar_texts_keeps_its_true_pairs(table_of):
     assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == want
 
 
+def test_texts_that_share_a_fingerprint_are_verified(table_of, monkeypatch):
+    """Mostly one repeated shingle, the rest of each text its own; and other sets whose fingerprints are equal."""
+    texts = [" ".join(["-"] * 100 + [f"w{k}x{i}" for k in range(40)]) for i in range(12)]
+    texts += ["a b c d e f g h", "a b c d e f g h", None, "", " "]
+    assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == brute_force_kept(texts) == {*range(13), 14}
+    monkeypatch.setattr(simhash_wide, "fingerprint", lambda text, n: bytes(range(32)))
+    assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == brute_force_kept(texts)
+
+
 def test_crowds_give_forests():
     rng = np.random.default_rng(0)
     e = np.zeros(900, simhash_wide.ENTRY)
