@@ -51,8 +51,9 @@ def shingles(text: str | None, n: int) -> list[bytes]:
 
 
 def fingerprint(text: str | None, n: int) -> bytes:
+    """Of the set of shingles, as the similarity that verification uses; repeats do not count."""
     digest = xxhash.xxh3_128_digest
-    own = shingles(text, n)
+    own = list(set(shingles(text, n)))
     if not own:
         return bytes(32)
     counts = np.zeros((32, 256), np.int64)

@@ -238,13 +238,28 @@ def test_crowd_of_similar_texts_keeps_its_true_pairs(table_of):
     assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == want
 
 
-def test_texts_that_share_a_fingerprint_are_verified(table_of, monkeypatch):
-    """Mostly one repeated shingle, the rest of each text its own; and other sets whose fingerprints are equal."""
+def test_texts_that_share_a_fingerprint_are_verified(table_of):
+    """Mostly one repeated shingle, the rest of each text its own; nodes of equal fingerprint are a pair."""
     texts = [" ".join(["-"] * 100 + [f"w{k}x{i}" for k in range(40)]) for i in range(12)]
     texts += ["a b c d e f g h", "a b c d e f g h", None, "", " "]
     assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == brute_force_kept(texts) == {*range(13), 14}
-    monkeypatch.setattr(simhash_wide, "fingerprint", lambda text, n: bytes(range(32)))
-    assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == brute_force_kept(texts)
+    u, v = simhash_wide.meetings(simhash_wide.entries(np.array([3, 5]), np.full((2, 4), 77, np.uint64)))
+    assert (u.tolist(), v.tolist()) == ([3], [5])
+
+
+def test_near_copies_with_repeated_lines(table_of):
+    """Copies that repeat a line another number of times are near copies by their sets."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7)))
+    texts = []
+    for times in (5, 10, 20, 60):
+        for _ in range(5):
+            body, line = [word() for _ in range(180)], [word() for _ in range(20)]
+            texts.append(" ".join(body + line))
+            texts.append(" ".join(body + line * times))
+            texts.append(" ".join(body + [word()] + line * times))
+    assert simhash_wide.fingerprint("a b c d e f a b c d e f a b c d e f", 5) == simhash_wide.fingerprint("a b c d e f a b c d e f", 5)
+    assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == brute_force_kept(texts) == set(range(0, 60, 3))
 
 
 def test_crowds_give_forests():
