@@ -1,11 +1,13 @@
 """SimHash near-duplicates at a Jaccard similarity: 256-bit fingerprints, multi-index hashing, exact verification.
 
 Texts of similarity 0.8 differ in about 15 % of a fingerprint's bits, too many for the 64-bit operator's radius. A
-256-bit fingerprint has 16 segments of 16 bits; of two such texts 99 % share a segment up to one bit. Each distinct
-shingle set's fingerprint is filed under every segment's value and under that value with one set bit cleared. Entries (segment
-value, node, 64 bits of another part of the fingerprint) travel packed as bytes and are grouped by segment value in
-numpy. Entries that meet are compared on the 64 bits they carry, then on all 256, and what remains is verified by
-the Jaccard similarity of the sets of word shingles.
+256-bit fingerprint has 16 segments of 16 bits. Each distinct shingle set's fingerprint is filed under every segment's
+value and under that value with one set bit cleared. Entries (segment value, node, 128 bits of other parts of the
+fingerprint) travel packed as bytes and are grouped by segment value in numpy. Entries that meet are compared on the 128
+bits they carry, then on all 256, and what remains is verified by the Jaccard similarity of the sets of word shingles.
+The README gives the recall at the threshold. Bits of few shingles are not independent, so sets of up to EXACT shingles
+are searched without fingerprints: sets of the similarity share one of their first hashes, and all that share one are
+compared as sets.
 
 A crowd (a group with many near pairs) is searched in two steps, so that groups of copies give few pairs and no link is
 lost: first a spanning forest of least distances is verified, then all near pairs of its members that the links verified
@@ -29,11 +31,13 @@ from .components import components
 SEGMENTS, WIDTH = 16, 16
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 LANES = np.arange(32, dtype=np.int64) * 256
-ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("rest", "<u8")])
+ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("rest", "<u8"), ("more", "<u8")])
 #: Entries that a group of segment values holds on average, and the group size up to which all pairs are compared at once.
 GROUP_ENTRIES, LIGHT = 500_000, 512
-#: Differing bits that are still candidates, of 64 and of 256.
-NEAR_64, NEAR_256 = 14, 60
+#: Differing bits that are still candidates, of 128 and of 256.
+NEAR_128, NEAR_256 = 42, 66
+#: Shingles of the smaller set up to which pairs are found without fingerprints.
+EXACT = 32
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -70,17 +74,20 @@ def marks(text: str | None, n: int) -> bytes:
     return np.array(sorted({digest(s) for s in set(shingles(text, n))}), np.uint64).tobytes()
 
 
-def _prints(rows: DataFrame, n: int) -> DataFrame:
-    """row, digest of the shingle set, fp."""
+def _prints(rows: DataFrame, n: int, small: int) -> DataFrame:
+    """row, digest of the shingle set, fp, number of shingles, and the set itself where it has up to `small`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
             texts = b.column(1).to_pylist()
-            digests = pa.array([xxhash.xxh3_128_digest(marks(t, n)) for t in texts], pa.binary())
-            yield batch(["row", "digest", "fp"], b.column(0), digests, pa.array([fingerprint(t, n) for t in texts], pa.binary()))
+            sets = [marks(t, n) for t in texts]
+            digests = pa.array([xxhash.xxh3_128_digest(m) for m in sets], pa.binary())
+            fps = pa.array([fingerprint(t, n) for t in texts], pa.binary())
+            few = pa.array([m if len(m) <= 8 * small else None for m in sets], pa.binary())
+            yield batch(["row", "digest", "fp", "size", "few"], b.column(0), digests, fps, pa.array([len(m) // 8 for m in sets], pa.int64()), few)
 
-    return arrow_map(rows, ["row", "text"], run, "row long, digest binary, fp binary")
+    return arrow_map(rows, ["row", "text"], run, "row long, digest binary, fp binary, size long, few binary")
 
 
 def entries(nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -90,24 +97,29 @@ def entries(nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
     out = []
     for s in range(SEGMENTS):
         v = values[:, s]
-        rest = words[:, (s // 4 + 1) % 4]
+        rest, more = words[:, (s // 4 + 1) % 4], words[:, (s // 4 + 2) % 4]
         who, bit = np.nonzero(v[:, None] & masks)
         for at, key in ((np.arange(len(nodes)), v), (who, v[who] ^ masks[bit])):
             e = np.empty(len(at), ENTRY)
-            e["key"], e["node"], e["rest"] = key.astype(np.uint32) | np.uint32(s << WIDTH), nodes[at], rest[at]
+            e["key"], e["node"], e["rest"], e["more"] = key.astype(np.uint32) | np.uint32(s << WIDTH), nodes[at], rest[at], more[at]
             out.append(e)
     return np.concatenate(out)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of two-word values."""
+    return np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1])
+
+
 def forest(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (as positions) of a minimum spanning forest of the pairs at `most` or fewer differing bits (Prim's rule)."""
     n = len(values)
-    least, via = np.full(n, 127, np.int64), np.full(n, -1)
+    least, via = np.full(n, 255, np.int64), np.full(n, -1)
     left = np.ones(n, bool)
     now, edges = 0, []
     for _ in range(n):
         left[now] = False
-        d = np.bitwise_count(values ^ values[now]).astype(np.int64)
+        d = apart(values, values[now]).astype(np.int64)
         closer = left & (d < least)
         least[closer], via[closer] = d[closer], now
         open_ = np.flatnonzero(left)
@@ -124,7 +136,7 @@ def near_pairs(values: np.ndarray, most: int, cap: int) -> tuple[np.ndarray, np.
     """Positions of all pairs at `most` or fewer differing bits, or None where there are more than `cap`."""
     left, right, n = [], [], 0
     for at in range(0, len(values), 256):
-        x, y = np.nonzero(np.bitwise_count(values[at : at + 256, None] ^ values[None, at:]) <= most)
+        x, y = np.nonzero(apart(values[at : at + 256, None], values[None, at:]) <= most)
         up = y > x
         n += int(up.sum())
         if n > cap:
@@ -137,7 +149,7 @@ def near_pairs(values: np.ndarray, most: int, cap: int) -> tuple[np.ndarray, np.
 def sorted_meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of nodes that meet in a segment value and are near on the bits they carry, of a crowd a forest; key and node of each entry of a crowd."""
     e = e[np.lexsort((e["node"], e["key"]))]
-    key, node, rest = e["key"], e["node"], e["rest"]
+    key, node, carried = e["key"], e["node"], np.stack([e["rest"], e["more"]], axis=1)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(e) else np.empty(0, np.int64)
     sizes = np.diff(np.append(starts, len(e)))
     group = np.repeat(np.arange(len(starts)), sizes)
@@ -147,7 +159,7 @@ def sorted_meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         at = np.flatnonzero((group[step:] == group[:-step]) & light[group[:-step]])
         if not len(at):
             break
-        at = at[np.bitwise_count(rest[at] ^ rest[at + step]) <= NEAR_64]
+        at = at[apart(carried[at], carried[at + step]) <= NEAR_128]
         left.append(at)
         right.append(at + step)
     a = np.concatenate(left) if left else np.empty(0, np.int64)
@@ -156,10 +168,10 @@ def sorted_meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     keep = ~crowded[group[a]]
     left, right = [a[keep]], [b[keep]]
     for g in np.flatnonzero(crowded | ~light):
-        values = rest[starts[g] : starts[g] + sizes[g]]
-        found = None if crowded[g] else near_pairs(values, NEAR_64, 2 * int(sizes[g]))
+        values = carried[starts[g] : starts[g] + sizes[g]]
+        found = None if crowded[g] else near_pairs(values, NEAR_128, 2 * int(sizes[g]))
         crowded[g] = found is None
-        x, y = forest(values, NEAR_64) if found is None else found
+        x, y = forest(values, NEAR_128) if found is None else found
         left.append(starts[g] + x)
         right.append(starts[g] + y)
     a, b = node[np.concatenate(left)], node[np.concatenate(right)]
@@ -211,19 +223,82 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long, crowd long").distinct()
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """(u, v): all near pairs of different roots within each crowd of members (crowd, node, root, fp)."""
+def _fit(p, q, similarity: float):
+    """Whether sets of these sizes can have the similarity."""
+    return (p >= similarity * q - 1e-9) & (q >= similarity * p - 1e-9)
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges (as positions) of a spanning forest of the sets' pairs of the similarity."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    left, edges = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue:
+            x = queue.pop()
+            own = np.zeros(len(names), np.int64)
+            own[ids[starts[x] : starts[x] + sizes[x]]] = 1
+            both = np.add.reduceat(own[ids], starts)
+            found = np.flatnonzero(left & (both >= similarity * (sizes + sizes[x] - both))).tolist()
+            left[found] = False
+            edges += [(x, k) for k in found]
+            queue += found
+    return edges
+
+
+def _few_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): verified links that connect all nodes (node, few) that are linked; few: the sets."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            mark, at = [], []
+            for k, x in enumerate(b.column(1).to_pylist()):
+                n = len(x) // 8
+                first = np.frombuffer(x, np.int64)[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                mark += first.tolist()
+                at += [k] * len(first)
+            where = pa.array(at, pa.int64())
+            yield batch(["mark", "node", "few"], pa.array(mark, pa.int64()), b.column(0).take(where), b.column(1).take(where))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            pairs = set_forest([np.frombuffer(x, np.uint64) for _, x in held], similarity) if len(held) > 1 else []
+            u, v = (pa.array([held[p[k]][0] for p in pairs], pa.int64()) for k in (0, 1))
+            return batch(["u", "v"], u, v)
+
+        for b in slices(batches):
+            for mark, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and mark != now:
+                    if len(held) > 1:
+                        yield close()
+                    held = []
+                now = mark
+                held.append(row)
+        if held:
+            yield close()
+
+    sent = nodes.select("node", "few").mapInArrow(send, "mark long, node long, few binary")
+    return sent.repartition("mark").sortWithinPartitions("mark").mapInArrow(meet, "u long, v long").distinct()
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): all near pairs of different roots within each crowd of members (crowd, node, root, size, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            node, root = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
-            words = np.frombuffer(b"".join(r[2] for r in held), "<u8").reshape(-1, 4)
+            node, root, size = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 2))
+            words = np.frombuffer(b"".join(r[3] for r in held), "<u8").reshape(-1, 4)
             for at in range(0, len(held), 256):
                 d = sum(np.bitwise_count(words[at : at + 256, None, k] ^ words[None, at:, k]).astype(np.int64) for k in range(4))
                 x, y = np.nonzero((d <= NEAR_256) & (root[at : at + 256, None] != root[None, at:]))
-                up = y > x
+                up = (y > x) & _fit(size[x + at], size[y + at], similarity)
                 a, b = node[x[up] + at], node[y[up] + at]
                 yield batch(["u", "v"], np.minimum(a, b), np.maximum(a, b))
 
@@ -237,7 +312,7 @@ def _across(members: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    return members.select("crowd", "node", "root", "fp").repartition("crowd").sortWithinPartitions("crowd").mapInArrow(run, "u long, v long").distinct()
+    return members.select("crowd", "node", "root", "size", "fp").repartition("crowd").sortWithinPartitions("crowd").mapInArrow(run, "u long, v long").distinct()
 
 
 def _distance(a: str, b: str):
@@ -282,19 +357,20 @@ def kept(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str
     """
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     texts = numbered.select(F.col("__row").alias("row"), F.col(f"`{text_col}`").alias("text"))
-    prints = cut(_prints(texts, shingle))
-    nodes = cut(prints.groupBy("digest").agg(F.min("row").alias("node"), F.first("fp").alias("fp")))
-    met = cut(_candidates(nodes))
+    prints = cut(_prints(texts, shingle, int(EXACT / similarity + 1e-9)))
+    nodes = cut(prints.groupBy("digest").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("fp", "size", "few")]))
+    few = cut(_few_links(nodes.where("size > 0 and few is not null"), similarity))
+    met = cut(_candidates(nodes.where(F.col("size") > EXACT)))
     crowds = met.where("crowd is not null").select("crowd", F.col("u").alias("node"))
-    fps = lambda name: nodes.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
-    near = cut(met.where("crowd is null").select("u", "v").join(fps("u"), "u").join(fps("v"), "v").where(_distance("fp_u", "fp_v") <= NEAR_256).select("u", "v"))
+    fps = lambda name: nodes.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"), F.col("size").alias(f"size_{name}"))
+    near = cut(met.where("crowd is null").select("u", "v").join(fps("u"), "u").join(fps("v"), "v").where((_distance("fp_u", "fp_v") <= NEAR_256) & _fit(F.col("size_u"), F.col("size_v"), similarity)).select("u", "v"))
     wanted = near.select(F.col("u").alias("row")).union(near.select("v")).union(crowds.select("node")).distinct()
     sets = cut(_sets(texts.join(wanted, "row"), shingle))
-    links = cut(_verified(near, sets, similarity))
+    links = cut(_verified(near, sets, similarity).union(few))
     found = components(links)
     if not crowds.isEmpty():
         members = crowds.join(nodes, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = components(links.union(_verified(cut(_across(members)), sets, similarity)))
+        found = components(links.union(_verified(cut(_across(members, similarity)), sets, similarity)))
     rooted = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("group"))
     grouped = prints.join(rooted, "digest").select("row", "group")
     ids = numbered.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").alias("id"))

@@ -262,6 +262,20 @@ def test_near_copies_with_repeated_lines(table_of):
     assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == brute_force_kept(texts) == set(range(0, 60, 3))
 
 
+def test_pairs_at_the_threshold(table_of):
+    """Texts of 4 shingles and the same with one more word (similarity 0.8), and texts of 225 words near it."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7)))
+    texts = []
+    for _ in range(150):
+        base = [word() for _ in range(8)]
+        texts += [" ".join(base), " ".join([*base, word()])]
+    for _ in range(150):
+        base, cut = [word() for _ in range(204)], rng.randint(20, 21)
+        texts += [" ".join(base + [word() for _ in range(cut)]), " ".join(base + [word() for _ in range(cut)])]
+    assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == brute_force_kept(texts)
+
+
 def test_crowds_give_forests():
     rng = np.random.default_rng(0)
     e = np.zeros(900, simhash_wide.ENTRY)
