@@ -121,7 +121,8 @@ def point_normals(spark: SparkSession, d: str) -> DataFrame:
 
 def coarse_registration(spark: SparkSession, d: str) -> DataFrame:
     p = t.points(spark, d)
-    pairs = p.select(F.col("scan").alias("fixed")).distinct().where("fixed < 3").withColumn("moving", F.col("fixed") + 1)
+    scans = p.select(F.col("scan").alias("moving")).distinct()
+    pairs = scans.select((F.col("moving") - 1).alias("fixed"), "moving").join(scans.withColumnRenamed("moving", "fixed"), "fixed", "left_semi")
     return registration.coarse_search(p, pairs, [-10.0, 0.0, 10.0], 0.5)
 
 

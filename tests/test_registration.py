@@ -84,3 +84,13 @@ def test_tiles_give_whole_scan_normals(spark, scene):
     out = R.with_normals(df, 8, 0.8, 6.0).orderBy("pid").toPandas()
     want = R.normals(some, 8, 0.8)
     assert len(out) == len(some) and np.allclose(out[["nx", "ny", "nz"]].to_numpy(), want, atol=1e-6, equal_nan=True)
+
+
+def test_all_neighbouring_scans_are_registered(spark, sf):
+    from sluice.plans import clouds, tables
+
+    scans = {r.scan for r in tables.points(spark, sf).select("scan").distinct().collect()}
+    want = {(k, k + 1) for k in scans if k + 1 in scans}
+    assert len(want) > 3
+    for query in (clouds.coarse_registration, clouds.refined_registration):
+        assert {(r.fixed, r.moving) for r in query(spark, sf).select("fixed", "moving").collect()} == want
