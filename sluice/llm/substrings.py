@@ -1,11 +1,11 @@
-"""Removal of repeated byte strings: suffixes sampled by content, named, sorted and merged.
+"""Removal of repeated byte strings: suffixes sampled by content, named and counted.
 
-A byte is removed if a string of `length` bytes that also starts anywhere else covers it. Suffixes are compared in
-the way of a difference-cover sort: only a sample of positions is named and sorted across machines, every other
-position is reached from the next sampled one, and equal prefixes are found between neighbours in sorted order.
+A byte is removed if a string of `length` bytes that also starts anywhere else covers it. As in a
+difference-cover sort only a sample of positions is named, and every other position is reached from a sampled one; but
+nothing is sorted: samples are grouped by the hashes of their bytes, and equal windows are found by counting.
 The sample is taken by content instead of by residue: the sample position of a start s is where the window of
 `length` bytes at s has its least `gram`-byte hash. Equal windows therefore have their sample at the same offset,
-so two starts are only ever compared through their samples, and about one position in 80 is sorted instead of two in three.
+so two starts are only ever compared through their samples, and about one position in 80 is grouped instead of two in three.
 
 1. Every document gives its samples: the hash of the gram there, the starts that lead to it (an interval, since the
    sample never moves back), and the hash of the context that those starts' windows span.
