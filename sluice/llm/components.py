@@ -2,8 +2,8 @@
 
 Every round re-links each node's neighbours to the smallest of them, first the larger neighbours, then the smaller
 ones, until the edges are stars around each component's smallest node; the number of rounds is logarithmic in
-practice. Minima are taken with map-side partial aggregation and joined back, so no task holds a hub's neighbours;
-each round is cut by a checkpoint in the shared folder.
+practice. Minima are taken with map-side partial aggregation, written to the shared folder and joined back to the
+edges by plain shuffles, so that adaptive execution can split the edges of a hub over tasks.
 """
 
 from __future__ import annotations
@@ -16,27 +16,31 @@ from .common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("least"))
+    down = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    least = cut(down.groupBy("u").agg(F.min("v").alias("least")))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (v < u) are stars: every u once, and no v a u."""
+    n = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u")).first()
+    return n["n"] == n["u"] and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root of every node of an edge (u, v: long); root is the component's smallest node. Self-loops and nulls are left out."""
     now = cut(edges.select("u", "v").where("u <> v").distinct())
-    seen = None
-    for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)))
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"), F.sum(F.col("v") % 1_000_003).alias("s")).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
+    if not now.isEmpty():
+        for _ in range(max_rounds):
+            now = cut(_small_star(_large_star(now)))
+            if _settled(now):
+                break
+        else:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,17 +2,24 @@
 
 Texts of similarity 0.8 differ in about 15 % of a fingerprint's bits, too many for the 64-bit operator's radius. A
 256-bit fingerprint has 16 segments of 16 bits. Each distinct shingle set's fingerprint is filed under every segment's
-value and under that value with one set bit cleared. Entries (segment value, node, 128 bits of other parts of the
-fingerprint) travel packed as bytes and are grouped by segment value in numpy. Entries that meet are compared on the 128
-bits they carry, then on all 256, and what remains is verified by the Jaccard similarity of the sets of word shingles.
-The README gives the recall at the threshold. Bits of few shingles are not independent, so sets of up to EXACT shingles
-are searched without fingerprints: sets of the similarity share one of their first hashes, and all that share one are
-compared as sets.
-
-A crowd (a group with many near pairs) is searched in two steps, so that groups of copies give few pairs and no link is
-lost: first a spanning forest of least distances is verified, then all near pairs of its members that the links verified
-so far do not connect. Documents of equal shingle sets (by a 128-bit digest) are one node from the start; documents of
-equal fingerprint but other sets are verified like any pair.
+value and under that value with one set bit cleared. Entries travel packed as bytes and are grouped by segment value in
+numpy. Entries that meet and whose sizes allow the similarity are compared on the 96 bits they carry, then on all 256,
+and what remains is verified by the Jaccard similarity of the sets of word shingles. The README gives the recall.
+
+Large groups are met in three steps, none of which drops a link:
+
+1. Entries of whole segment values only, each crowd of near ones giving a star around its middle. These pairs merge
+   likely copies into components. This step need not be complete.
+2. All entries, with their components: pairs of one component are no candidates. A group of few near pairs gives them
+   all. A crowd gives a spanning forest of its components, which is marked. The pairs of both steps are verified.
+3. Components, joined by the marked pairs, that verified links leave apart are compared exactly: all pairs of different
+   groups, in blocks of bounded size, each pair of blocks a piece of work of its own, which gives links only.
+
+Bits of few shingles are not independent, so sets of up to EXACT shingles need no fingerprints: sets of the similarity
+share one of their first marks (the rarest come first), and those that share one are compared as in step 3.
+
+Segment values that very many entries share are split into blocks, and pairs of blocks are pieces of work. Documents of
+equal shingle sets (by a 128-bit digest) are one node from the start.
 """
 
 from __future__ import annotations
@@ -31,13 +38,19 @@ from .components import components
 SEGMENTS, WIDTH = 16, 16
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 LANES = np.arange(32, dtype=np.int64) * 256
-ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("rest", "<u8"), ("more", "<u8")])
-#: Entries that a group of segment values holds on average, and the group size up to which all pairs are compared at once.
-GROUP_ENTRIES, LIGHT = 500_000, 512
-#: Differing bits that are still candidates, of 128 and of 256.
-NEAR_128, NEAR_256 = 42, 66
+#: key: segment and value (20 bits), piece (12 bits); root: a hash of the component; size: a logarithm.
+ENTRY = np.dtype([("key", "<u4"), ("root", "<u4"), ("node", "<i8"), ("rest", "<u8"), ("more", "<u4"), ("size", "u1")])
+#: Entries of a task's bundle of groups on average, and of a block of a group.
+BUNDLE, BLOCK = 500_000, 16_384
+#: Group size up to which pairs are listed by shifting, beyond which by rows.
+LIGHT = 512
+#: Differing bits that are still candidates, of 96 and of 256, and of 96 where texts are likely copies of a middle one.
+NEAR_96, NEAR_256, CLOSE_96 = 32, 66, 20
 #: Shingles of the smaller set up to which pairs are found without fingerprints.
 EXACT = 32
+#: Nodes and shingles of a block of the exact comparison.
+NODES, MARKS = 1024, 1 << 18
+STEPS = 4  # size classes within the similarity
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -54,147 +67,245 @@ def shingles(text: str | None, n: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str | None, n: int) -> bytes:
-    """Of the set of shingles, as the similarity that verification uses; repeats do not count."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def hashed(text: str | None, n: int) -> np.ndarray:
+    """Two 64-bit hashes of each distinct shingle (rows), ordered by the first; no two rows share the first."""
     digest = xxhash.xxh3_128_digest
-    own = list(set(shingles(text, n)))
-    if not own:
-        return bytes(32)
+    own = b"".join([digest(s) for s in set(shingles(text, n))])
+    pairs = np.frombuffer(own, "<u8").reshape(-1, 2)
+    _, first = np.unique(pairs[:, 0].view(np.int64), return_index=True)
+    return pairs[first]
+
+
+def marks_of(pairs: np.ndarray) -> np.ndarray:
+    """The set of shingles: their first hashes, ascending as signed numbers."""
+    return pairs[:, 0].view(np.int64)
+
+
+def fingerprint_of(pairs: np.ndarray) -> bytes:
+    """Of the set of shingles, as the similarity that verification uses; repeats do not count."""
     counts = np.zeros((32, 256), np.int64)
-    for at in range(0, len(own), 1 << 15):
-        part = own[at : at + (1 << 15)]
-        lanes = np.frombuffer(b"".join([digest(s, 1) + digest(s, 2) for s in part]), np.uint8).reshape(-1, 32) + LANES
+    for at in range(0, len(pairs), 1 << 15):
+        part = pairs[at : at + (1 << 15)]
+        four = np.concatenate([part, _mixed(part + np.uint64(0x9E3779B97F4A7C15))], axis=1)
+        lanes = four.view(np.uint8).reshape(-1, 32) + LANES
         counts += np.bincount(lanes.ravel(), minlength=8192).reshape(32, 256)
-    return np.packbits((counts @ BITS).ravel() * 2 > len(own), bitorder="little").tobytes()
+    return np.packbits((counts @ BITS).ravel() * 2 > len(pairs), bitorder="little").tobytes()
+
+
+def fingerprint(text: str | None, n: int) -> bytes:
+    return fingerprint_of(hashed(text, n))
+
 
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    sizes = np.array([0 if a is None else len(a) for a in arrays], np.int64)
+    values = [a for a in arrays if a is not None]
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([*[a is None for a in arrays], False]))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
 
-def marks(text: str | None, n: int) -> bytes:
-    """The set of shingles: their sorted hashes."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.array(sorted({digest(s) for s in set(shingles(text, n))}), np.uint64).tobytes()
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(), np.asarray(column.offsets)
+    return np.split(flat, (ends - ends[0])[1:-1]) if len(column) else []
 
-def _prints(rows: DataFrame, n: int, small: int) -> DataFrame:
-    """row, digest of the shingle set, fp, number of shingles, and the set itself where it has up to `small`."""
+
+def _prints(rows: DataFrame, id_col: str, text_col: str, n: int, few: int, id_type: str) -> DataFrame:
+    """row, id, digest of the shingle set, fp, number of shingles, and the set itself where it has up to `few`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            sets = [marks(t, n) for t in texts]
-            digests = pa.array([xxhash.xxh3_128_digest(m) for m in sets], pa.binary())
-            fps = pa.array([fingerprint(t, n) for t in texts], pa.binary())
-            few = pa.array([m if len(m) <= 8 * small else None for m in sets], pa.binary())
-            yield batch(["row", "digest", "fp", "size", "few"], b.column(0), digests, fps, pa.array([len(m) // 8 for m in sets], pa.int64()), few)
+        for b in slices(batches):
+            digests, fps, sizes, sets = [], [], [], []
+            for text in b.column(2).to_pylist():
+                pairs = hashed(text, n)
+                marks = marks_of(pairs)
+                digests.append(xxhash.xxh3_128_digest(marks.tobytes()))
+                fps.append(fingerprint_of(pairs))
+                sizes.append(len(marks))
+                sets.append(marks if len(marks) <= few else None)
+            yield batch(["row", "id", "digest", "fp", "size", "few"], b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), _lists(sets))
+
+    picked = rows.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, f"row long, id {id_type}, digest binary, fp binary, size long, few array<long>")
+
+
+def _classes(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Logarithms of sizes; sets of the similarity differ by at most STEPS."""
+    return np.minimum(255, np.floor(STEPS * np.log(np.maximum(1, size)) / np.log(max(1.001, 1 / similarity)))).astype(np.uint8)
+
+
+def _hash32(x: np.ndarray) -> np.ndarray:
+    return (_mixed(x.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
-    return arrow_map(rows, ["row", "text"], run, "row long, digest binary, fp binary, size long, few binary")
 
+def entries(node: np.ndarray, root: np.ndarray, size: np.ndarray, words: np.ndarray, ball: bool, blocks: dict[int, int] | None = None) -> np.ndarray:
+    """Entries of nodes under their segment values, and with `ball` under those with a bit cleared; words: n x 4 uint64; size: classes.
 
-def entries(nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """All entries of nodes; words: n x 4 uint64."""
-    values = words.view(np.uint16).reshape(len(nodes), SEGMENTS)
+    blocks: of keys whose group is split, the number of blocks; an entry goes to each piece that has its block.
+    """
+    values = words.view(np.uint16).reshape(len(node), SEGMENTS)
+    halves = words.view(np.uint32).reshape(len(node), 8)
     masks = np.uint16(1) << np.arange(WIDTH, dtype=np.uint16)
+    roots = _hash32(root)
     out = []
     for s in range(SEGMENTS):
         v = values[:, s]
-        rest, more = words[:, (s // 4 + 1) % 4], words[:, (s // 4 + 2) % 4]
-        who, bit = np.nonzero(v[:, None] & masks)
-        for at, key in ((np.arange(len(nodes)), v), (who, v[who] ^ masks[bit])):
+        parts = [(np.arange(len(v)), v)]
+        if ball:
+            who, bit = np.nonzero(v[:, None] & masks)
+            parts.append((who, v[who] ^ masks[bit]))
+        for at, key in parts:
             e = np.empty(len(at), ENTRY)
-            e["key"], e["node"], e["rest"], e["more"] = key.astype(np.uint32) | np.uint32(s << WIDTH), nodes[at], rest[at], more[at]
+            e["key"], e["node"], e["root"], e["size"] = key.astype(np.uint32) | np.uint32(s << WIDTH), node[at], roots[at], size[at]
+            e["rest"], e["more"] = words[at, (s // 4 + 1) % 4], halves[at, 2 * ((s // 4 + 2) % 4)]
             out.append(e)
+    e = np.concatenate(out)
+    if not blocks:
+        return e
+    split = np.isin(e["key"], np.fromiter(blocks, np.uint32))
+    out = [e[~split]]
+    for x in e[split]:
+        n = blocks[int(x["key"])]
+        mine = int(_hash32(np.array([x["node"]]))[0]) % n
+        copies = np.repeat(np.array([x], ENTRY), n)
+        lo, hi = np.minimum(mine, np.arange(n)), np.maximum(mine, np.arange(n))
+        copies["key"] |= (hi * (hi + 1) // 2 + lo).astype(np.uint32) << np.uint32(20)
+        out.append(copies)
     return np.concatenate(out)
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of two-word values."""
-    return np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1])
-
-
-def forest(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (as positions) of a minimum spanning forest of the pairs at `most` or fewer differing bits (Prim's rule)."""
-    n = len(values)
-    least, via = np.full(n, 255, np.int64), np.full(n, -1)
-    left = np.ones(n, bool)
-    now, edges = 0, []
-    for _ in range(n):
-        left[now] = False
-        d = apart(values, values[now]).astype(np.int64)
-        closer = left & (d < least)
-        least[closer], via[closer] = d[closer], now
-        open_ = np.flatnonzero(left)
-        if not len(open_):
-            break
-        now = int(open_[least[open_].argmin()])
-        if least[now] <= most:
-            edges.append((via[now], now))
+    """Differing bits of the 96 that entries carry."""
+    return np.bitwise_count(a["rest"] ^ b["rest"]) + np.bitwise_count(a["more"] ^ b["more"])
+
+
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether entries are candidates: of different components, near, and of sizes that allow the similarity."""
+    gap = a["size"].astype(np.int16) - b["size"]
+    return (apart(a, b) <= NEAR_96) & (a["root"] != b["root"]) & (np.abs(gap) <= STEPS)
+
+
+def middle(e: np.ndarray) -> int:
+    """Of some entries that with the most close ones."""
+    some = np.unique(np.linspace(0, len(e) - 1, min(len(e), 128)).astype(np.int64))
+    return int(some[(apart(e[some, None], e[None, :]) <= CLOSE_96).sum(axis=1).argmax()])
+
+
+def forest(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (as positions) of a spanning forest of the candidates; entries of one component are one node. It begins with a middle one."""
+    _, root = np.unique(e["root"], return_inverse=True)
+    order = np.argsort(root, kind="stable")
+    members = np.split(order, np.flatnonzero(np.diff(root[order])) + 1)
+    left = np.ones(len(members), bool)
+    edges: list[tuple[int, int]] = []
+    for first in (int(root[middle(e)]), *range(len(members))):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue:
+            for x in members[queue.pop(0)].tolist():
+                rest = np.flatnonzero(left[root])
+                hit = rest[near(e[x], e[rest])]
+                if len(hit):
+                    new, at = np.unique(root[hit], return_index=True)
+                    edges += [(x, k) for k in hit[at].tolist()]
+                    left[new] = False
+                    queue += new.tolist()
+            if not left.any():
+                queue = []
     a = np.array(edges, np.int64).reshape(-1, 2)
     return a[:, 0], a[:, 1]
 
 
-def near_pairs(values: np.ndarray, most: int, cap: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Positions of all pairs at `most` or fewer differing bits, or None where there are more than `cap`."""
+def all_near(e: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Positions of all candidates, or None where there are more than `most`."""
     left, right, n = [], [], 0
-    for at in range(0, len(values), 256):
-        x, y = np.nonzero(apart(values[at : at + 256, None], values[None, at:]) <= most)
+    for at in range(0, len(e), 128):
+        x, y = np.nonzero(near(e[at : at + 128, None], e[None, at:]))
         up = y > x
         n += int(up.sum())
-        if n > cap:
+        if n > most:
             return None
         left.append(x[up] + at)
         right.append(y[up] + at)
     return np.concatenate(left), np.concatenate(right)
 
 
-def sorted_meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of nodes that meet in a segment value and are near on the bits they carry, of a crowd a forest; key and node of each entry of a crowd."""
-    e = e[np.lexsort((e["node"], e["key"]))]
-    key, node, carried = e["key"], e["node"], np.stack([e["rest"], e["more"]], axis=1)
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(e) else np.empty(0, np.int64)
+def meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (pairs of nodes, u < v) among entries of equal keys; of a crowd a forest, then marked True."""
+    e = e[np.lexsort((e["node"], e["size"], e["key"]))]
+    starts = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(e) else np.empty(0, np.int64)
     sizes = np.diff(np.append(starts, len(e)))
     group = np.repeat(np.arange(len(starts)), sizes)
-    light = sizes <= LIGHT
-    left, right = [], []
-    for step in range(1, min(LIGHT, int(sizes.max(initial=1)))):
-        at = np.flatnonzero((group[step:] == group[:-step]) & light[group[:-step]])
-        if not len(at):
-            break
-        at = at[apart(carried[at], carried[at + step]) <= NEAR_128]
-        left.append(at)
-        right.append(at + step)
+    at = np.flatnonzero(sizes[group] <= LIGHT)
+    left, right, step = [], [], 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(e)]
+        at = at[(group[at] == group[at + step]) & (e["size"][at + step] - e["size"][at] <= STEPS)]
+        own, other = e[at], e[at + step]
+        hit = at[near(own, other)]
+        left.append(hit)
+        right.append(hit + step)
     a = np.concatenate(left) if left else np.empty(0, np.int64)
     b = np.concatenate(right) if right else np.empty(0, np.int64)
     crowded = np.bincount(group[a], minlength=len(starts)) > 2 * sizes
-    keep = ~crowded[group[a]]
-    left, right = [a[keep]], [b[keep]]
-    for g in np.flatnonzero(crowded | ~light):
-        values = carried[starts[g] : starts[g] + sizes[g]]
-        found = None if crowded[g] else near_pairs(values, NEAR_128, 2 * int(sizes[g]))
-        crowded[g] = found is None
-        x, y = forest(values, NEAR_128) if found is None else found
+    calm = ~crowded[group[a]]
+    left, right, thin = [a[calm]], [b[calm]], [np.zeros(int(calm.sum()), bool)]
+    for g in np.flatnonzero(crowded | (sizes > LIGHT)):
+        own = e[starts[g] : starts[g] + sizes[g]]
+        found = None if crowded[g] else all_near(own, 2 * int(sizes[g]))
+        x, y = forest(own) if found is None else found
         left.append(starts[g] + x)
         right.append(starts[g] + y)
-    a, b = node[np.concatenate(left)], node[np.concatenate(right)]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-    within = crowded[group]
-    return pairs[:, 0], pairs[:, 1], key[within], node[within]
+        thin.append(np.full(len(x), found is None))
+    a, b, t = e["node"][np.concatenate(left)], e["node"][np.concatenate(right)], np.concatenate(thin)
+    u, v = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((~t, v, u))
+    u, v, t = u[order], v[order], t[order]
+    new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.empty(0, bool)
+    return u[new], v[new], t[new]
+
 
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, 4)
 
-def meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of sorted_meetings."""
-    return sorted_meetings(e)[:2]
 
+def _crowded_keys(nodes: DataFrame, block: int) -> dict[int, int]:
+    """Blocks of the keys whose groups have far over `block` entries. There are 2**20 keys, whatever the input."""
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v) of nodes (node, fp) that meet; with a crowd's key, its members as u, and v null."""
-    n = nodes.count()
-    parts = max(1, -(-n * SEGMENTS * (1 + WIDTH // 2) // GROUP_ENTRIES))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SEGMENTS << WIDTH, np.int64)
+        for b in batches:
+            values = _words(b.column(0)).view(np.uint16).reshape(-1, SEGMENTS)
+            n += np.bincount((values + (np.arange(SEGMENTS) << WIDTH)).ravel(), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield batch(["key", "n"], at, n[at])
+
+    own = arrow_map(nodes, ["fp"], run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    large = {r["key"]: r["n"] for r in own.where(F.col("n") * (WIDTH + 1) > block).collect()}
+    filed: dict[int, int] = {}
+    for key, n in large.items():
+        for near_key in (key, *[key ^ (1 << b) for b in range(WIDTH) if key >> b & 1]):
+            filed[near_key] = filed.get(near_key, 0) + n
+    return {k: min(64, -(-n // block)) for k, n in filed.items() if n > block}
+
+
+def _candidates(nodes: DataFrame, ball: bool, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(u, v, thin) of nodes (node, root, size, fp) that meet; thin: where any crowd gave the pair."""
+    each = SEGMENTS * (1 + ball * WIDTH // 2)
+    parts = max(1, -(-nodes.count() * each // BUNDLE))
+    blocks = _crowded_keys(nodes, block) if ball else None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, rows=2048):
-            words = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, 4)
-            e = entries(b.column(0).to_numpy(), words)
-            part = (e["key"] * np.uint32(0x9E3779B1)) % np.uint32(parts)
+            size = _classes(b.column(2).to_numpy(), similarity)
+            e = entries(b.column(0).to_numpy(), b.column(1).to_numpy(), size, _words(b.column(3)), ball, blocks)
+            part = (e["key"] * np.uint32(0x9E3779B1) >> np.uint32(7)) % np.uint32(parts)
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
             e = e[order]
@@ -202,25 +313,26 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             yield batch(["part", "blob"], pa.array(some, pa.int32()), pa.array([e[bounds[k] : bounds[k + 1]].tobytes() for k in some], pa.binary()))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+        now, blobs, held = None, [], 0
 
         def close() -> pa.RecordBatch:
-            u, v, key, node = sorted_meetings(np.frombuffer(b"".join(blobs), ENTRY))
-            crowd = pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(key.astype(np.int64))])
-            return batch(["u", "v", "crowd"], np.concatenate([u, node]), pa.concat_arrays([pa.array(v), pa.nulls(len(node), pa.int64())]), crowd)
+            return batch(["u", "v", "thin"], *meetings(np.frombuffer(b"".join(blobs), ENTRY)))
 
         for b in slices(batches, rows=64, size=16 << 20):
             for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if blobs and part != now:
+                full = not ball and held > 4 * BUNDLE * ENTRY.itemsize  # the first step need not be complete
+                if blobs and (part != now or full):
                     yield close()
-                    blobs = []
+                    blobs, held = [], 0
                 now = part
                 blobs.append(blob)
+                held += len(blob)
         if blobs:
             yield close()
 
-    sent = nodes.select("node", "fp").mapInArrow(send, "part int, blob binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long, crowd long").distinct()
+    sent = nodes.select("node", "root", "size", "fp").mapInArrow(send, "part int, blob binary")
+    met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "u long, v long, thin boolean")
+    return met.groupBy("u", "v").agg(F.max("thin").alias("thin"))
 
 
 def _fit(p, q, similarity: float):
@@ -228,91 +340,105 @@ def _fit(p, q, similarity: float):
     return (p >= similarity * q - 1e-9) & (q >= similarity * p - 1e-9)
 
 
-def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges (as positions) of a spanning forest of the sets' pairs of the similarity."""
+def linked(root: np.ndarray, side: np.ndarray | None, words: np.ndarray | None, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Verified links (as positions) that connect all linked sets of different roots; with side, only pairs across."""
     sizes = np.array([len(x) for x in sets])
     starts = np.cumsum(sizes) - sizes
     names, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    left, edges = np.ones(len(sets), bool), []
-    for first in range(len(sets)):
-        queue = [first] if left[first] else []
-        left[first] = False
-        while queue:
-            x = queue.pop()
-            own = np.zeros(len(names), np.int64)
-            own[ids[starts[x] : starts[x] + sizes[x]]] = 1
-            both = np.add.reduceat(own[ids], starts)
-            found = np.flatnonzero(left & (both >= similarity * (sizes + sizes[x] - both))).tolist()
-            left[found] = False
-            edges += [(x, k) for k in found]
-            queue += found
+    _, label = np.unique(root, return_inverse=True)
+    far = lambda x, y: sum(np.bitwise_count(words[x, k] ^ words[y, k]).astype(np.int64) for k in range(4))
+    order = np.arange(len(sets))
+    if words is not None:  # those that many are near to come first
+        order = np.argsort([-int((far(x, order) <= NEAR_256 * 2 // 3).sum()) for x in order], kind="stable")
+    left, own, edges = np.ones(len(sets), bool), np.zeros(len(names), np.int64), []
+    for x in order.tolist():
+        left[x] = False
+        ok = left & (label != label[x]) & _fit(sizes, sizes[x], similarity)
+        if side is not None:
+            ok &= side != side[x]
+        other = np.flatnonzero(ok)
+        if words is not None:
+            other = other[far(x, other) <= NEAR_256]
+        if not len(other):
+            continue
+        own[ids[starts[x] : starts[x] + sizes[x]]] = 1
+        if len(other) * 8 < len(sets):
+            both = np.array([own[ids[starts[k] : starts[k] + sizes[k]]].sum() for k in other.tolist()])
+        else:
+            both = np.add.reduceat(own[ids], starts)[other]
+        own[ids[starts[x] : starts[x] + sizes[x]]] = 0
+        hit = other[both >= similarity * (sizes[other] + sizes[x] - both)]
+        if len(hit):
+            new, at = np.unique(label[hit], return_index=True)
+            edges += [(x, k) for k in hit[at].tolist()]
+            label[np.isin(label, new)] = label[x]
     return edges
 
 
-def _few_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): verified links that connect all nodes (node, few) that are linked; few: the sets."""
+def _compared(members: DataFrame, sets: DataFrame, similarity: float, prints: bool) -> DataFrame:
+    """(u, v): verified links that connect what is linked in each crowd of members (crowd, root, node, size). sets: node, fp, marks.
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            mark, at = [], []
-            for k, x in enumerate(b.column(1).to_pylist()):
-                n = len(x) // 8
-                first = np.frombuffer(x, np.int64)[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                mark += first.tolist()
-                at += [k] * len(first)
-            where = pa.array(at, pa.int64())
-            yield batch(["mark", "node", "few"], pa.array(mark, pa.int64()), b.column(0).take(where), b.column(1).take(where))
+    A crowd's largest component, where it has over NODES nodes, is not compared with itself; what remains is dealt to
+    blocks, and each pair of blocks is a piece of work.
+    """
+    blocks = lambda n, w: F.ceil(F.greatest(n / NODES, w / MARKS)).cast("int")
+    whole = members.groupBy("crowd", "root").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    top = F.max(F.struct("n", "root", "w")).alias("top")
+    crowds = whole.groupBy("crowd").agg(top, F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("roots")).where("roots > 1")
+    giant = F.col("top.n") > NODES
+    less = lambda c: F.col(c) - F.when(giant, F.col(f"top.{c}")).otherwise(0)
+    crowds = cut(crowds.select("crowd", F.when(giant, F.col("top.root")).alias("giant"), blocks(less("n"), less("w")).alias("m"), F.when(giant, blocks(F.col("top.n"), F.col("top.w"))).otherwise(0).alias("g")))
+    dealt = members.join(crowds, "crowd").withColumn("within", F.coalesce(F.col("root") == F.col("giant"), F.lit(False)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("within"), F.col("g")).otherwise(F.col("m"))).cast("int"))
+    # blocks of the rest are 0, 1, ...; those of the largest component -1, -2, ...
+    to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    met = F.when(F.col("within"), to(F.col("m"))).otherwise(F.concat(to(F.col("m")), F.transform(to(F.col("g")), lambda y: -1 - y)))
+    dealt = dealt.withColumn("own", F.when(F.col("within"), -1 - F.col("mine")).otherwise(F.col("mine"))).withColumn("other", F.explode(met))
+    pieces = dealt.select("crowd", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "root", "node")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def close() -> pa.RecordBatch:
-            pairs = set_forest([np.frombuffer(x, np.uint64) for _, x in held], similarity) if len(held) > 1 else []
-            u, v = (pa.array([held[p[k]][0] for p in pairs], pa.int64()) for k in (0, 1))
-            return batch(["u", "v"], u, v)
+            own, root, node = (np.concatenate([h[k] for h in held]) for k in range(3))
+            marks = [m for h in held for m in h[4]]
+            words = np.concatenate([h[3] for h in held]) if prints else None
+            pairs = linked(root, own if now[1] != now[2] else None, words, marks, similarity) if len(node) > 1 else []
+            i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+            return batch(["u", "v"], node[i], node[j])
 
-        for b in slices(batches):
-            for mark, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and mark != now:
-                    if len(held) > 1:
-                        yield close()
+        for b in slices(batches, rows=4096):
+            piece = list(zip(*[b.column(k).to_pylist() for k in range(3)], strict=True))
+            bounds = [0, *[k for k in range(1, len(piece)) if piece[k] != piece[k - 1]], len(piece)]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if held and piece[lo] != now:
+                    yield close()
                     held = []
-                now = mark
-                held.append(row)
+                now = piece[lo]
+                part = b.slice(lo, hi - lo)
+                held.append((*[part.column(k).to_numpy() for k in (3, 4, 5)], _words(part.column(6)) if prints else None, _arrays(part.column(7))))
         if held:
             yield close()
 
-    sent = nodes.select("node", "few").mapInArrow(send, "mark long, node long, few binary")
-    return sent.repartition("mark").sortWithinPartitions("mark").mapInArrow(meet, "u long, v long").distinct()
+    place = ["crowd", "x", "y"]
+    spread = pieces.join(sets, "node").select(*place, "own", "root", "node", "fp", "marks").repartition(*place).sortWithinPartitions(*place)
+    return spread.mapInArrow(run, "u long, v long").distinct()
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): all near pairs of different roots within each crowd of members (crowd, node, root, size, fp)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            node, root, size = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 2))
-            words = np.frombuffer(b"".join(r[3] for r in held), "<u8").reshape(-1, 4)
-            for at in range(0, len(held), 256):
-                d = sum(np.bitwise_count(words[at : at + 256, None, k] ^ words[None, at:, k]).astype(np.int64) for k in range(4))
-                x, y = np.nonzero((d <= NEAR_256) & (root[at : at + 256, None] != root[None, at:]))
-                up = (y > x) & _fit(size[x + at], size[y + at], similarity)
-                a, b = node[x[up] + at], node[y[up] + at]
-                yield batch(["u", "v"], np.minimum(a, b), np.maximum(a, b))
-
-        for b in slices(batches, rows=4096):
-            for crowd, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and crowd != now:
-                    yield from close()
-                    held = []
-                now = crowd
-                held.append(row)
-        if held:
-            yield from close()
+def _few_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): verified links that connect all nodes (node, size, few) that are linked; few: the sets.
 
-    return members.select("crowd", "node", "root", "size", "fp").repartition("crowd").sortWithinPartitions("crowd").mapInArrow(run, "u long, v long").distinct()
+    Sets of the similarity share one of their first size - ceil(similarity * size) + 1 marks in any common order; the
+    order is by number of sets, then by value, and marks of one set alone cannot be shared.
+    """
+    each = nodes.select("node", "size", F.explode("few").alias("mark"))
+    often = cut(each.groupBy("mark").agg(F.count("*").alias("sets")).where("sets > 1"))
+    shared = each.join(often, "mark").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("sets", "mark"))).alias("m"))
+    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("m"))
+    filed = shared.where(first > 0).select("node", "size", F.explode(F.slice("m", F.lit(1), first.cast("int"))).alias("m"))
+    members = cut(filed.select(F.col("m.mark").alias("crowd"), F.col("node").alias("root"), "node", "size"))
+    sets = nodes.select("node", F.lit(None).cast("binary").alias("fp"), F.col("few").alias("marks"))
+    return _compared(members, sets, similarity, False)
 
 
 def _distance(a: str, b: str):
@@ -322,16 +448,15 @@ def _distance(a: str, b: str):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets (node, marks: sorted hashes as bytes) have the Jaccard similarity."""
+    """Pairs whose shingle sets (node, marks) have the Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, rows=1024):
             good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for p, q in zip(_arrays(b.column(2)), _arrays(b.column(3)), strict=True):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(both >= similarity * (len(p) + len(q) - both))
-            yield batch(["u", "v"], b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good)))
+            yield batch(["u", "v"], b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_())))
 
     a = sets.select(F.col("node").alias("u"), F.col("marks").alias("a"))
     c = sets.select(F.col("node").alias("v"), F.col("marks").alias("b"))
@@ -341,41 +466,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def _sets(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(["node", "marks"], b.column(0), pa.array([marks(t, n) for t in b.column(1).to_pylist()], pa.binary()))
+            yield batch(["node", "marks"], b.column(0), _lists([marks_of(hashed(t, n)) for t in b.column(1).to_pylist()]))
+
+    return arrow_map(rows, ["row", "text"], run, "node long, marks array<long>")
+
 
-    return arrow_map(rows, ["row", "text"], run, "node long, marks binary")
+def _near(met: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of met (u, v), the pairs whose whole fingerprints are near."""
+    info = lambda name: nodes.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"), F.col("size").alias(f"size_{name}"))
+    both = met.join(info("u"), "u").join(info("v"), "v")
+    return both.where((_distance("fp_u", "fp_v") <= NEAR_256) & _fit(F.col("size_u"), F.col("size_v"), similarity)).select("u", "v")
 
 
-def kept(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with the root of their component (their own number where they have no link)."""
+    return nodes.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _links(nodes: DataFrame, texts: DataFrame, n: int, similarity: float, block: int) -> DataFrame:
+    """(u, v): verified links that connect all nodes (node, fp, size, few) found to be linked."""
+    few = cut(_few_links(nodes.where("size > 0 and few is not null"), similarity))
+    many = nodes.where(F.col("size") > EXACT).select("node", "size", "fp")
+    likely = cut(_near(_candidates(many.withColumn("root", F.col("node")), False, similarity), many, similarity))
+    rooted = cut(_rooted(many, likely).select("node", "root", "size", "fp"))
+    met = cut(_candidates(rooted, True, similarity, block))
+    pairs = cut(_near(met, many, similarity).union(likely))
+    thin = met.where("thin").select("u", "v")
+    ends = pairs.union(thin)
+    wanted = ends.select(F.col("u").alias("row")).union(ends.select("v")).distinct()
+    sets = cut(_sets(texts.join(wanted, "row"), n))
+    links = few.union(cut(_verified(pairs, sets, similarity)))
+
+    of = rooted.select("node", "root")
+    end = lambda name: of.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    marked = cut(thin.join(end("u"), "u").join(end("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+    within = rooted.groupBy("root").count().where("count > 1").select("root")
+    some = within.union(marked.select("u")).union(marked.select("v")).distinct()
+    crowd = components(marked).select(F.col("node").alias("root"), F.col("root").alias("crowd"))
+    crowds = cut(some.join(crowd, "root", "left").select("root", F.coalesce("crowd", "root").alias("crowd")))
+    now = components(links).withColumnRenamed("root", "now")
+    members = cut(rooted.join(crowds, "root").join(now, "node", "left").select("crowd", F.coalesce("now", "node").alias("root"), "node", "size"))
+    open_ = cut(members.groupBy("crowd").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("crowd"))
+    members = cut(members.join(open_, "crowd"))
+    prints = sets.join(many.select("node", "fp"), "node").select("node", "fp", "marks")
+    return links.union(cut(_compared(members, prints, similarity, True)))
+
+
+def kept(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """docs, all columns, with one document of each group: that of the smallest id (nulls last, then the first row).
 
     A group is a component of the links between documents whose shingle sets have the similarity; documents of equal
     sets are linked. docs must be a scan or a checkpointed table, for rows are numbered where they are read.
 
     Defined cases: null and empty texts are equal to each other; a null id is only kept where its group has no other;
-    repeated rows are copies; an empty table gives no rows; other columns are passed on.
+    repeated rows are copies; an empty table gives no rows; other columns are passed on, whatever their names.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    texts = numbered.select(F.col("__row").alias("row"), F.col(f"`{text_col}`").alias("text"))
-    prints = cut(_prints(texts, shingle, int(EXACT / similarity + 1e-9)))
-    nodes = cut(prints.groupBy("digest").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("fp", "size", "few")]))
-    few = cut(_few_links(nodes.where("size > 0 and few is not null"), similarity))
-    met = cut(_candidates(nodes.where(F.col("size") > EXACT)))
-    crowds = met.where("crowd is not null").select("crowd", F.col("u").alias("node"))
-    fps = lambda name: nodes.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"), F.col("size").alias(f"size_{name}"))
-    near = cut(met.where("crowd is null").select("u", "v").join(fps("u"), "u").join(fps("v"), "v").where((_distance("fp_u", "fp_v") <= NEAR_256) & _fit(F.col("size_u"), F.col("size_v"), similarity)).select("u", "v"))
-    wanted = near.select(F.col("u").alias("row")).union(near.select("v")).union(crowds.select("node")).distinct()
-    sets = cut(_sets(texts.join(wanted, "row"), shingle))
-    links = cut(_verified(near, sets, similarity).union(few))
-    found = components(links)
-    if not crowds.isEmpty():
-        members = crowds.join(nodes, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = components(links.union(_verified(cut(_across(members, similarity)), sets, similarity)))
-    rooted = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("group"))
-    grouped = prints.join(rooted, "digest").select("row", "group")
-    ids = numbered.select(F.col("__row").alias("row"), F.col(f"`{id_col}`").alias("id"))
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("f")
-    members = cut(grouped.join(ids, "row"))
-    stay = members.groupBy("group").agg(first, F.count("*").alias("n")).where("n > 1").select("group", F.col("f.row").alias("stays"))
-    gone = members.join(stay, "group").where("row <> stays").select(F.col("row").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    texts = numbered.select("row", F.col(f"doc.`{text_col}`").alias("text"))
+    prints = _prints(numbered, f"doc.`{id_col}`", f"doc.`{text_col}`", shingle, int(EXACT / similarity + 1e-9), docs.schema[id_col].dataType.simpleString())
+    best = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("best")
+    nodes = cut(prints.groupBy("digest").agg(best, F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("fp", "size", "few")]))
+    rooted = _rooted(nodes.select("node", "best"), _links(nodes, texts, shingle, similarity, block))
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    return numbered.join(stay, "row", "left_semi").select("doc.*")

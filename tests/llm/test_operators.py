@@ -243,8 +243,9 @@ def test_texts_that_share_a_fingerprint_are_verified(table_of):
     texts = [" ".join(["-"] * 100 + [f"w{k}x{i}" for k in range(40)]) for i in range(12)]
     texts += ["a b c d e f g h", "a b c d e f g h", None, "", " "]
     assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()} == brute_force_kept(texts) == {*range(13), 14}
-    u, v = simhash_wide.meetings(simhash_wide.entries(np.array([3, 5]), np.full((2, 4), 77, np.uint64)))
-    assert (u.tolist(), v.tolist()) == ([3], [5])
+    node = np.array([3, 5])
+    u, v, thin = simhash_wide.meetings(simhash_wide.entries(node, node, np.zeros(2, np.uint8), np.full((2, 4), 77, np.uint64), True))
+    assert (u.tolist(), v.tolist(), thin.tolist()) == ([3], [5], [False])
 
 
 def test_near_copies_with_repeated_lines(table_of):
@@ -277,14 +278,16 @@ def test_pairs_at_the_threshold(table_of):
 
 
 def test_crowds_give_forests():
+    """A crowd's pairs connect its components; members of one component are no candidates."""
     rng = np.random.default_rng(0)
     e = np.zeros(900, simhash_wide.ENTRY)
     e["node"] = np.arange(900)
+    e["root"] = np.where(np.arange(900) < 400, 1, np.arange(900))
     e["rest"][:700] = np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64))
     e["rest"][700:] = rng.integers(0, 2**63, 200)
     e["key"][800:] = 7
-    u, v = simhash_wide.meetings(e)
-    assert len(u) < 1500
+    u, v, thin = simhash_wide.meetings(e)
+    assert len(u) < 800 and thin.any() and (e["root"][u] != e["root"][v]).all()
     par = list(range(900))
 
     def find(x):
@@ -292,11 +295,60 @@ def test_crowds_give_forests():
             x = par[x]
         return x
 
-    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+    for a, b in zip([*u.tolist(), *range(399)], [*v.tolist(), *range(1, 400)], strict=True):
         par[find(a)] = find(b)
     assert len({find(k) for k in range(700)}) == 1
 
 
+@pytest.mark.parametrize(("copies", "edits"), [(8, 4), (120, 4), (700, 3), (700, 4), (1500, 4)])
+def test_groups_of_near_copies(table_of, copies, edits):
+    """One text and copies with 3 or 4 of 200 words changed: each is at 0.8 or more to it, fewer to each other."""
+    rng = random.Random(copies + edits)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7)))
+    base, texts = [word() for _ in range(200)], []
+    for _ in range(copies):
+        copy = list(base)
+        for k in rng.sample(range(200), edits):
+            copy[k] = word()
+        texts.append(" ".join(copy))
+    texts.insert(copies // 2, " ".join(base))
+    assert [r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts)).collect()] == [0]
+
+
+def test_blocks_of_groups(table_of):
+    """Groups of segment values split into blocks, and crowds into pieces, give the same."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7)))
+    texts = []
+    for _ in range(6):
+        base = [word() for _ in range(120)]
+        for _ in range(20):
+            copy = list(base)
+            for k in rng.sample(range(120), 3):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    want = brute_force_kept(texts)
+    assert {r.doc_id for r in simhash_wide.kept(docs_of(table_of, texts), block=4).collect()} == want
+    node = np.arange(30)
+    words = np.full((30, 4), 77, np.uint64)
+    e = simhash_wide.entries(node, node, np.zeros(30, np.uint8), words, True, {77: 3})
+    u, v, _ = simhash_wide.meetings(e[(e["key"] & 0xFFFFF) == 77])
+    par = list(range(30))
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        low, high = sorted((par[a], par[b]))
+        par = [low if p == high else p for p in par]
+    assert set(par) == {0}
+
+
+def test_near_duplicates_pass_on_clashing_columns(table_of):
+    docs = table_of([(7, "a b c", "x", 1), (3, "a b c", "y", 2), (4, None, "z", 3)], "doc_id long, text string, `row` string, `doc` int")
+    for c in ("__row", "root", "node", "a.b", "id"):
+        docs = docs.withColumn(c, F.col("doc") * 10)
+    got = simhash_wide.kept(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.row, r["__row"], r["a.b"]) for r in got.collect()) == [(3, "y", 20, 20), (4, "z", 30, 30)]
+
+
 # ---- search and lattice ----
 
 VECS = "vec_id long, embedding array<float>, label int"
