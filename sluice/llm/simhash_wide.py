@@ -3,7 +3,7 @@
 Texts of similarity 0.8 differ in about 15 % of a fingerprint's bits, too many for the 64-bit operator's radius. A
 256-bit fingerprint has 16 segments of 16 bits. Each distinct shingle set's fingerprint is filed under every segment's
 value and under that value with one set bit cleared. Entries travel packed as bytes and are grouped by segment value in
-numpy. Entries that meet and whose sizes allow the similarity are compared on the 96 bits they carry, then on all 256,
+numpy. Entries that meet and whose sizes allow the similarity are compared on the 160 bits they carry, then on all 256,
 and what remains is verified by the Jaccard similarity of the sets of word shingles. The README gives the recall.
 
 Large groups are met in three steps, none of which drops a link:
@@ -39,13 +39,14 @@ SEGMENTS, WIDTH = 16, 16
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 LANES = np.arange(32, dtype=np.int64) * 256
 #: key: segment and value (20 bits), piece (12 bits); root: a hash of the component; size: a logarithm.
-ENTRY = np.dtype([("key", "<u4"), ("root", "<u4"), ("node", "<i8"), ("rest", "<u8"), ("more", "<u4"), ("size", "u1")])
+ENTRY = np.dtype([("key", "<u4"), ("root", "<u4"), ("node", "<i8"), ("rest", "<u8"), ("more", "<u8"), ("last", "<u4"), ("size", "u1")])
 #: Entries of a task's bundle of groups on average, and of a block of a group.
 BUNDLE, BLOCK = 500_000, 16_384
 #: Group size up to which pairs are listed by shifting, beyond which by rows.
 LIGHT = 512
-#: Differing bits that are still candidates, of 96 and of 256, and of 96 where texts are likely copies of a middle one.
-NEAR_96, NEAR_256, CLOSE_96 = 32, 66, 20
+#: Differing bits that are still candidates, of 160 and of 256 (4.6 standard deviations beyond the mean
+#: of independent bits at 0.8), and of 160 where texts are likely copies of a middle one.
+NEAR_160, NEAR_256, CLOSE_160 = 45, 66, 33
 #: Shingles of the smaller set up to which pairs are found without fingerprints.
 EXACT = 32
 #: Nodes and shingles of a block of the exact comparison.
@@ -149,7 +150,6 @@ def entries(node: np.ndarray, root: np.ndarray, size: np.ndarray, words: np.ndar
     blocks: of keys whose group is split, the number of blocks; an entry goes to each piece that has its block.
     """
     values = words.view(np.uint16).reshape(len(node), SEGMENTS)
-    halves = words.view(np.uint32).reshape(len(node), 8)
     masks = np.uint16(1) << np.arange(WIDTH, dtype=np.uint16)
     roots = _hash32(root)
     out = []
@@ -162,7 +162,7 @@ def entries(node: np.ndarray, root: np.ndarray, size: np.ndarray, words: np.ndar
         for at, key in parts:
             e = np.empty(len(at), ENTRY)
             e["key"], e["node"], e["root"], e["size"] = key.astype(np.uint32) | np.uint32(s << WIDTH), node[at], roots[at], size[at]
-            e["rest"], e["more"] = words[at, (s // 4 + 1) % 4], halves[at, 2 * ((s // 4 + 2) % 4)]
+            e["rest"], e["more"], e["last"] = words[at, (s // 4 + 1) % 4], words[at, (s // 4 + 2) % 4], words[at, (s // 4 + 3) % 4].astype(np.uint32)
             out.append(e)
     e = np.concatenate(out)
     if not blocks:
@@ -180,20 +180,20 @@ def entries(node: np.ndarray, root: np.ndarray, size: np.ndarray, words: np.ndar
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of the 96 that entries carry."""
-    return np.bitwise_count(a["rest"] ^ b["rest"]) + np.bitwise_count(a["more"] ^ b["more"])
+    """Differing bits of the 160 that entries carry."""
+    return np.bitwise_count(a["rest"] ^ b["rest"]) + np.bitwise_count(a["more"] ^ b["more"]) + np.bitwise_count(a["last"] ^ b["last"])
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether entries are candidates: of different components, near, and of sizes that allow the similarity."""
     gap = a["size"].astype(np.int16) - b["size"]
-    return (apart(a, b) <= NEAR_96) & (a["root"] != b["root"]) & (np.abs(gap) <= STEPS)
+    return (apart(a, b) <= NEAR_160) & (a["root"] != b["root"]) & (np.abs(gap) <= STEPS)
 
 
 def middle(e: np.ndarray) -> int:
     """Of some entries that with the most close ones."""
     some = np.unique(np.linspace(0, len(e) - 1, min(len(e), 128)).astype(np.int64))
-    return int(some[(apart(e[some, None], e[None, :]) <= CLOSE_96).sum(axis=1).argmax()])
+    return int(some[(apart(e[some, None], e[None, :]) <= CLOSE_160).sum(axis=1).argmax()])
 
 
 def forest(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
