@@ -5,9 +5,10 @@ several tables. A vector is filed under its own cell and under the `probes` neig
 vectors on either side of a cell's border meet. Vectors that meet in a cell are verified by cosine in double
 precision; a pair that meets in several cells counts in the first one only.
 
-Equal vectors of one label are merged beforehand and carried with their number. Only vectors that share a label are
+Vectors of one label and direction (by a 128-bit digest of the unit vector) are merged beforehand and carried with their number. Only vectors that share a label are
 filed together. A cell of over `block` vectors is split into blocks, and each pair of blocks is one piece of work,
-so no task holds a whole cell. A cell gives link counts per vector and a spanning forest of its links, not its pairs.
+so no task holds a whole cell. Cells are met by ids and keys alone; vectors are joined, in their own precision, to the
+pieces of work of cells with two or more. A cell gives link counts per vector and a spanning forest of its links, not its pairs.
 
 Defined cases: a vector that is null, zero or has a null or non-finite component, or a null label, links with
 nothing and is its own component; a null id is kept, counts as a partner and gives its component no smaller id (a
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,39 +118,50 @@ def normalised(rows: list) -> list[np.ndarray | None]:
 
 
 def _units(vectors: DataFrame, id_col: str, label_col: str, vec_col: str) -> DataFrame:
-    """vec_id, label (as hash; null: links with nothing) and unit vector as bytes."""
+    """vec_id, label (as hash; null: links with nothing), a digest of the unit vector, and the vector as bytes of its own precision."""
+    kind = vectors.schema[vec_col].dataType.elementType.simpleString()
+    number = np.float32 if kind == "float" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = normalised(b.column(2).to_pylist())
-            yield batch(["vec_id", "label", "unit"], b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), pa.array([None if u is None else u.tobytes() for u in units], pa.binary()))
+            rows = b.column(2).to_pylist()
+            units = normalised(rows)
+            digests = [None if u is None else xxhash.xxh3_128_digest(u.tobytes()) for u in units]
+            blobs = [None if u is None else np.asarray(r, number).tobytes() for u, r in zip(units, rows, strict=True)]
+            yield batch(["vec_id", "label", "digest", "vec"], b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary()))
 
     hashed = vectors.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.when(F.col(f"`{label_col}`").isNotNull(), F.xxhash64(F.col(f"`{label_col}`").cast("string"))).alias("l"), F.col(f"`{vec_col}`").alias("v"))
-    return arrow_map(hashed, ["i", "l", "v"], run, "vec_id long, label long, unit binary")
+    return arrow_map(hashed, ["i", "l", "v"], run, "vec_id long, label long, digest binary, vec binary")
 
 
-def _filed(nodes: DataFrame, tables: int, probes: int, cell: float, seed: int) -> DataFrame:
-    """node, copies, unit, all its keys as bytes, and one row for each (place, key): place = table."""
+def unit_rows(blobs: list[bytes], number: type) -> np.ndarray:
+    """Unit vectors of one width in double precision."""
+    v = np.frombuffer(b"".join(blobs), number).reshape(len(blobs), -1).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _filed(nodes: DataFrame, number: type, tables: int, probes: int, cell: float, seed: int) -> DataFrame:
+    """node, copies, least, label, digest, vec and its cell keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blobs = b.column(2).to_pylist()
-            labels = b.column(1).to_numpy()
+        for b in slices(batches):
+            blobs = b.column(5).to_pylist()
+            labels = b.column(3).to_numpy()
             out: list = [None] * len(blobs)
             for width in {len(x) for x in blobs}:
                 at = [i for i, x in enumerate(blobs) if len(x) == width]
-                unit = np.frombuffer(b"".join(blobs[i] for i in at), np.float64).reshape(len(at), -1)
-                for i, k in zip(at, keys(unit, labels[at], tables, probes, cell, seed), strict=True):
+                for i, k in zip(at, keys(unit_rows([blobs[i] for i in at], number), labels[at], tables, probes, cell, seed), strict=True):
                     out[i] = k.ravel().tolist()
-            yield batch(["node", "keys"], b.column(0), pa.array(out, pa.list_(pa.int64())))
+            yield batch(["node", "copies", "least", "label", "digest", "vec", "keys"], *b.columns, pa.array(out, pa.list_(pa.int64())))
 
-    return arrow_map(nodes, ["node", "label", "unit"], run, "node long, keys array<long>")
+    return nodes.select("node", "copies", "least", "label", "digest", "vec").mapInArrow(run, "node long, copies long, least long, label long, digest binary, vec binary, keys array<long>")
 
 
 def pairs(unit: np.ndarray, key: np.ndarray, least: float, here: int, table: int, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs between rows `first` and rows `second` whose first meeting place is this cell of this table.
 
-    key: n x tables x (1 + probes). Where first and second are one block, each pair comes once.
+    key: n x tables x (1 + probes), low halves of cell keys, as `here`. Where first and second are one block, each pair comes once.
     """
     left, right = [], []
     one = first is second
@@ -161,7 +174,7 @@ def pairs(unit: np.ndarray, key: np.ndarray, least: float, here: int, table: int
         a, b = key[i], key[j]
         common = (a[:, :, :, None] == b[:, :, None, :]).any(axis=3)
         earlier = common[:, :table].any(axis=(1, 2))
-        lowest = np.where(common[:, table], a[:, table], np.iinfo(np.int64).max).min(axis=1)
+        lowest = np.where(common[:, table], a[:, table], np.iinfo(key.dtype).max).min(axis=1)
         at = ~earlier & (lowest == here)
         left.append(i[at])
         right.append(j[at])
@@ -181,7 +194,7 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _verify(work: DataFrame, least: float, tables: int, probes: int) -> DataFrame:
+def _verify(work: DataFrame, number: type, least: float, tables: int, probes: int) -> DataFrame:
     """node, links (copies of the partners met here) and the smallest node it was joined to, from rows sorted by piece of work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +208,13 @@ def _verify(work: DataFrame, least: float, tables: int, probes: int) -> DataFram
                 widths = {len(r[7]) for r in held}
                 for width in widths:
                     at = np.array([k for k, r in enumerate(held) if len(r[7]) == width])
-                    unit = np.frombuffer(b"".join(held[k][7] for k in at), np.float64).reshape(len(at), -1)
-                    key = np.array([held[k][8] for k in at], np.int64).reshape(len(at), tables, 1 + probes)
+                    unit = unit_rows([held[k][7] for k in at], number)
+                    key = np.array([held[k][8] for k in at], np.int64).astype(np.int32).reshape(len(at), tables, 1 + probes)
                     copies = np.array([held[k][6] for k in at])
                     mine = np.array([held[k][4] for k in at])
                     first = np.flatnonzero(mine == x)
                     second = first if x == y else np.flatnonzero(mine == y)
-                    i, j = pairs(unit, key, least, here, table, first, second)
+                    i, j = pairs(unit, key, least, int(np.int64(here).astype(np.int32)), table, first, second)
                     if len(i):
                         n = np.bincount(i, copies[j], len(at)) + np.bincount(j, copies[i], len(at))
                         low = spanning(len(at), i, j)
@@ -224,31 +237,30 @@ def _verify(work: DataFrame, least: float, tables: int, probes: int) -> DataFram
         yield flush()
 
     place = ["place", "key", "x", "y"]
-    spread = work.select(*place, "mine", "node", "copies", "unit", "keys").repartition(*place).sortWithinPartitions(*place)
+    spread = work.select(*place, "mine", "node", "copies", "vec", "keys").repartition(*place).sortWithinPartitions(*place)
     return spread.mapInArrow(run, "node long, n long, other long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 6, probes: int = 1, cell: float = 0.25, seed: int = 8, block: int = 2048, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 8, probes: int = 2, cell: float = 0.1, seed: int = 8, block: int = 2048, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row. cell is the lattice's scale on the unit sphere's projection."""
-    units = _units(vectors, id_col, label_col, vec_col).withColumn("links", F.col("label").isNotNull() & F.col("unit").isNotNull())
-    units = cut(units)
-    nodes = units.where("links").groupBy("label", "unit").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    filed = cut(_filed(nodes, tables, probes, cell, seed))
+    number = np.float32 if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else np.float64
+    units = _units(vectors, id_col, label_col, vec_col).withColumn("links", F.col("label").isNotNull() & F.col("vec").isNotNull())
+    nodes = units.where("links").groupBy("label", "digest").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vec").alias("vec"))
+    filed = cut(_filed(nodes.withColumn("node", F.monotonically_increasing_id()), number, tables, probes, cell, seed))
     places = filed.select("node", F.posexplode("keys").alias("at", "key")).select("node", "key", F.floor(F.col("at") / (1 + probes)).cast("int").alias("place"))
-    places = places.distinct()
-    full = places.groupBy("place", "key").count().where("count > 1").select("place", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    full = cut(places.groupBy("place", "key").count().where("count > 1").select("place", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     met = places.join(full, ["place", "key"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("place", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node")
-    work = met.join(filed, "node").join(nodes.select("node", "copies", "unit"), "node")
-    found = cut(_verify(work, least, tables, probes))
+    halves = F.transform("keys", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")).alias("keys")  # the low bits as an int
+    work = met.join(filed.select("node", "copies", "vec", halves), "node")
+    found = cut(_verify(work, number, least, tables, probes))
     roots_of = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     counted = found.groupBy("node").agg(F.sum("n").alias("n"))
-    rooted = nodes.join(counted, "node", "left").join(roots_of, "node", "left")
-    rooted = cut(rooted.select("label", "unit", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("label", "unit", "n_links", "component_id")
-    linked = units.where("links").join(classes, ["label", "unit"]).select("vec_id", "n_links", "component_id")
-    alone = units.where(~F.col("links")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    rooted = filed.select("node", "label", "digest", "least", "copies").join(counted, "node", "left").join(roots_of, "node", "left")
+    rooted = cut(rooted.select("label", "digest", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = cut(rooted.join(named, "root").select("label", "digest", "n_links", "component_id"))
+    out = units.select("vec_id", "links", "label", "digest").join(classes, ["label", "digest"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("links"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
