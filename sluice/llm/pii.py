@@ -3,7 +3,8 @@
 The base kinds are those of the contract: email, ip, card and phone, matched leftmost and non-overlapping per kind
 over the whole text; a match that fails its check is dropped. The method adds iban (confirmed mod 97) and ssn
 (three number groups with valid ranges). Every span has a score: the kind's own, raised when one of the kind's
-context words stands within `near` characters before it, lowered for repeated-digit fillers.
+context words stands within `near` characters before it, lowered for repeated-digit fillers. Base spans stay whatever
+their score; an added span stays only with LEAST or more, so three number groups need a context word to be a ssn.
 
 All offsets are code points, ends exclusive. Matching is linear in the text: e-mail addresses are looked for
 around each @, digit runs are entered at their first digit only.
@@ -34,6 +35,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.6}
+LEAST = 0.65
 CONTEXT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
@@ -105,7 +107,9 @@ def score(text: str, kind: str, start: int, end: int, near: int) -> float:
 
 
 def spans(text: str | None, near: int = 40) -> list[tuple[str, int, int, float]]:
-    return [(k, s, e, score(text, k, s, e, near)) for k, s, e in candidates(text)] if text else []
+    """(kind, start, end, score) of base spans and of added ones with enough score."""
+    found = [(k, s, e, score(text, k, s, e, near)) for k, s, e in candidates(text)] if text else []
+    return [x for x in found if x[0] in BASE or x[3] >= LEAST]
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 40) -> DataFrame:
