@@ -2,11 +2,13 @@
 
 Training counts (language, bucket) pairs over all training rows with map-side partial sums; the model is a matrix
 of log probabilities of `buckets` rows and one column per language, so its size depends on neither rows nor texts.
-Scoring turns a text into a bucket histogram and multiplies it with the matrix, in numpy.
+Scoring turns a text into its buckets with counts (a sparse row), and sums the matrix's rows of those buckets, each times
+its count, for a batch of texts at once in numpy.
 
 Defined cases: a null text or one without a letter gets `und` with score 0; rows with null text or null language
 train nothing; with nothing to learn from, every text gets `und`; a null id stays null; repeated rows count each
-and are scored each; an empty table gives no rows; columns other than those named are not read.
+and are scored each; of equally likely languages the first by name is given; an empty table gives no rows; columns other
+than those named are not read. Over `most_langs` languages are an error, for the model would grow with the data.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch
+from .common import arrow_map, batch, cut
 
 SCHEMA = "doc_id long, lang_pred string, score double"
 UNKNOWN = "und"
@@ -67,20 +69,39 @@ def count(train: DataFrame, text_col: str = "text", lang_col: str = "lang", buck
     return part.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = 8192, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = 8192, smoothing: float = 0.5, most_langs: int = 1024) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and the matrix of log probabilities (buckets x languages). Languages are taken as equally likely beforehand."""
-    rows = count(train, text_col, lang_col, buckets).groupBy("lang").agg(F.array_agg(F.struct("bucket", "n")).alias("c")).collect()
-    langs = sorted(r["lang"] for r in rows)
+    counts = cut(count(train, text_col, lang_col, buckets))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(most_langs + 1).collect())
+    if len(langs) > most_langs:
+        raise ValueError(f"over {most_langs} languages")
+    got = counts.toArrow()  # at most buckets rows of each language
     n = np.full((buckets, len(langs)), smoothing)
-    for r in rows:
-        n[[x["bucket"] for x in r["c"]], langs.index(r["lang"])] += [x["n"] for x in r["c"]]
+    n[np.asarray(got.column("bucket")), np.searchsorted(langs, got.column("lang").to_pylist())] += np.asarray(got.column("n"))
     return langs, np.log(n / n.sum(axis=0)) if langs else n
 
 
+def sparse(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' buckets, their counts, and where each text's begin."""
+    ids, counts = [], []
+    for t in texts:
+        n = histogram(t, buckets)
+        at = np.flatnonzero(n)
+        ids.append(at)
+        counts.append(n[at])
+    starts = np.cumsum([0, *[len(x) for x in ids[:-1]]])
+    return np.concatenate(ids), np.concatenate(counts), starts
+
+
+def likelihoods(texts: list[str], matrix: np.ndarray) -> np.ndarray:
+    """Log-likelihoods (texts x languages) over the root of each text's grams; every text has a gram."""
+    ids, counts, starts = sparse(texts, len(matrix))
+    return np.add.reduceat(matrix[ids] * counts[:, None], starts, axis=0) / np.sqrt(np.add.reduceat(counts, starts))[:, None]
+
+
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the likeliest language and its share of the likelihood per root of the text's grams, 0 to 1."""
-    buckets = len(logp)
-    model = docs.sparkSession.sparkContext.broadcast((langs, logp))
+    model = docs.sparkSession.sparkContext.broadcast((langs, logp))  # buckets x most_langs numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = model.value
@@ -90,8 +111,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, id_col: str = "
             real = [i for i, t in enumerate(texts) if t and names and has_letter(t)]
             for lo in range(0, len(real), 64):
                 part = real[lo : lo + 64]
-                counts = np.stack([histogram(texts[i], buckets) for i in part]).astype(np.float64)
-                like = counts @ matrix / np.sqrt(counts.sum(axis=1, keepdims=True))
+                like = likelihoods([texts[i] for i in part], matrix)
                 best = like.argmax(axis=1)
                 share = 1 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)
                 for i, k, s in zip(part, best.tolist(), share.tolist(), strict=True):
