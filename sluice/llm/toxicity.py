@@ -1,7 +1,7 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 Training. Up to `max_docs` labelled documents of each class, the first by a hash of their id, are the training
-sample (the only place with a bound; everything scored is whole). Token labels follow from the documents' labels:
+sample (the only place with a bound; everything scored is whole); of rows that share an id one is taken. Token labels follow from the documents' labels:
 a token of a toxic document is toxic if its word or one of its affixes occurs in far more toxic than clean sample
 documents (log-likelihood ratio). Windows of tokens around such tokens, and some others, train the field's weights
 (word and affix features, hashed) and transitions by stochastic gradient on the conditional likelihood.
@@ -12,8 +12,8 @@ offending spans. A worker keeps each distinct word's potential in a bounded tabl
 
 Defined cases: a null or empty text, or one without a word, has the score of a document without toxic tokens and no
 spans; with no toxic or no clean document to learn from, every score is the sample's share of toxic ones (0 without
-any); null labels teach nothing; of several labels of one id the largest counts; a null id is kept; repeated rows
-are scored each; an empty table gives no rows; columns other than those named are not read.
+any); null labels teach nothing; of several labels of one id the largest counts, of several rows of one id the first text
+teaches; a null id is kept; repeated rows are scored each; very long texts are scored whole; an empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -60,7 +60,9 @@ def buckets(word: str) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Lower-cased words, as many as WORD finds in the text itself."""
+    low = (text or "").lower()
+    return WORD.findall(low) if len(low) == len(text or "") else [w.lower() for w in WORD.findall(text)]
 
 
 # ---- training ----
@@ -72,7 +74,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int, id_col: str, text_
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_docs) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return cut(texts.join(F.broadcast(chosen), "id").select("text", "y").where("text is not null"))  # 2 * max_docs ids
+    rows = texts.where("text is not null").join(F.broadcast(chosen), "id")  # 2 * max_docs ids
+    return cut(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"))
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:
@@ -339,13 +342,7 @@ def spans(text: str, marginals: np.ndarray) -> list[dict]:
     """Runs of neighbouring words with a marginal of a half or more: code points, ends exclusive, and the largest marginal."""
     out: list[dict] = []
     last = -2
-    lower = text.lower()
-    if len(lower) != len(text):  # a letter whose lower case is longer: places are then those of the original words
-        lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    for k, m in enumerate(WORD.finditer(lower)):
-        if k >= len(marginals):
-            break
-        p = float(marginals[k])
+    for k, (m, p) in enumerate(zip(WORD.finditer(text), marginals.tolist(), strict=True)):
         if p >= 0.5:
             if last == k - 1:
                 out[-1]["end"], out[-1]["marginal"] = m.end(), max(p, out[-1]["marginal"])
@@ -378,7 +375,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs, all columns, without the documents whose score is the threshold or more."""
+    """docs, all columns, without the documents whose score is the threshold or more.
+
+    Null and empty texts score as texts without toxic tokens; repeated rows are judged each; very long texts whole; an
+    empty table gives no rows; with nothing to learn from all documents stay; other columns are passed on.
+    """
     shared = _Shared(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
