@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where the cluster names none (local tests only)."""
+    """Sets the checkpoint folder that spark.checkpoint.dir names. Only a session within one process may name none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "/tmp/sluice-checkpoints")
+        if named is None and not re.fullmatch(r"local(\[[^,\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -271,12 +271,14 @@ def cut_out(data: bytes, marks: list[int] | None) -> tuple[list[tuple[int, int]]
 def without_repeats(docs: DataFrame, length: int = 200, gram: int = 40, heavy: int = 5000, text_col: str = "text") -> DataFrame:
     """docs, all columns, with the repeats cut out of the text and n_chars (where there is one) renewed.
 
-    Bytes that remain of a character cut apart are dropped; a null text stays null.
+    Bytes that remain of a character cut apart are dropped; a null text stays null, an empty one empty; repeated rows
+    remove each other; an empty table gives no rows; other columns are passed on, whatever their names.
     """
     _, spans = _spans(docs, length, gram, heavy, None, text_col)
     names = docs.columns
     at = names.index(text_col)
-    joined = docs.withColumn("__doc", F.monotonically_increasing_id()).join(spans.withColumnsRenamed({"doc": "__doc", "spans": "__spans"}), "__doc", "left").select(*[F.col(f"`{c}`") for c in names], "__spans")
+    whole = docs.select(F.monotonically_increasing_id().alias("doc"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    joined = whole.join(spans, "doc", "left").select(*[F.col(f"row.`{c}`").alias(f"c{k}") for k, c in enumerate(names)], "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, rows=512):

@@ -369,7 +369,7 @@ def vectors():
 def test_topk(spark, table_of):
     rows = vectors()
     got = {}
-    for r in topk.search(table_of(rows, VECS), F.col("vec_id") % 100 == 0, chunk=7, block=64).collect():
+    for r in topk.search(table_of(rows, VECS), F.col("vec_id") % 100 == 0, chunk=7, block=64, candidates=50).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     part = [(i, np.floor(1024 * np.float32(v).astype(float)).astype(int) if v else np.zeros(0, int)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = {}
