@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is written as Parquet
 and read again. All but the last return the columns of documents.
+
+Defined cases, of every stage: null and empty texts stay what they are and are equal to each other as duplicates; repeated
+rows are near-duplicates and repeat each other's passages, and are else treated one by one; very long texts are treated
+whole; columns beyond those of documents are passed on whatever their names, up to packing, which returns pieces; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,12 +40,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data replaced by its kind in angle brackets."""
+    """Every span of personal data replaced by its kind in angle brackets; a null text stays null."""
     return _with_text(docs, _masked)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens with their ids (uint32, little-endian)."""
+    """Pieces of sequences of at most 1024 tokens with their ids (uint32, little-endian). A null text is an empty one."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

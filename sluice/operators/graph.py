@@ -1,11 +1,14 @@
 """Directed street graphs as edge tables: reachability, components, blocks, shortest paths.
 
-The iterative operators keep only a frontier between rounds and cut their lineage by a checkpoint in the folder the
-session names.
+The iterative operators join only a frontier in each round, rewrite what they have seen, and cut their lineage by a
+checkpoint in the folder the session names.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,10 @@ from pyspark.sql import functions as F
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/sluice-checkpoints")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^,\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint(eager=True)
 
 
