@@ -6,21 +6,10 @@ checkpoint in the folder the session names.
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[[^,\]]*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint(eager=True)
+from ..functions.recovery import cut as _cut
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, forward: bool = True, most: int = 1000) -> DataFrame:

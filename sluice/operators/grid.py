@@ -22,7 +22,7 @@ def ground(points: DataFrame, size: float) -> DataFrame:
 def dense_cells(points: DataFrame, size: float) -> DataFrame:
     """Cells with at least 2 points and at least a quarter of the scan's upper median count."""
     n = cells(points, size).groupBy("scan", "cx", "cy").agg(F.count("*").alias("n"))
-    median = n.groupBy("scan").agg(stats.upper_median(F.col("n")).alias("median"))
+    median = stats.placed(n, ["scan"], F.col("n")).groupBy("scan").agg(stats.upper_median().alias("median"))
     return n.join(median, "scan").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("median") / 4)).drop("median")
 
 
@@ -74,7 +74,8 @@ def level_offsets(points: DataFrame, size: float = 0.5, least: int = 50) -> Data
     g = ground(points, size).select("scan", "cx", "cy", "z")
     b = g.select(F.col("scan").alias("other"), "cx", "cy", F.col("z").alias("z2"))
     met = g.join(b, ["cx", "cy"]).where(F.col("scan") < F.col("other"))
-    return met.groupBy("scan", "other").agg(F.count("*").alias("cells"), stats.upper_median(F.col("z2") - F.col("z")).alias("offset")).where(F.col("cells") >= least)
+    keys = ["scan", "other"]
+    return stats.placed(met, keys, F.col("z2") - F.col("z")).groupBy(*keys).agg(F.max("size").alias("cells"), stats.upper_median().alias("offset")).where(F.col("cells") >= least)
 
 
 def line_fit(points: DataFrame, x: str = "x", y: str = "y", rounds: int = 3, inlier: float = 0.3) -> DataFrame:
@@ -96,13 +97,15 @@ def plane_fit(points: DataFrame) -> DataFrame:
     return m.select("scan", "n", a.alias("a"), b.alias("b"), (F.col("mz") - a * F.col("mx") - b * F.col("my")).alias("c"))
 
 
-def robust_plane(points: DataFrame, rounds: int = 4) -> DataFrame:
-    """plane_fit() repeated on the points within max(0.15, 2.5 x upper median residual) of the last plane."""
-    fit = plane_fit(points)
+def robust_plane(points: DataFrame, rounds: int = 4, size: float = 1.0) -> DataFrame:
+    """plane_fit() of each cell's lowest point, repeated on those left within max(0.15, 2.5 x upper median residual)."""
+    low = ground(points, size).select("scan", "pid", "x", "y", "z")
+    fit = plane_fit(low)
     for _ in range(rounds - 1):
-        off = points.join(fit.select("scan", "a", "b", "c"), "scan").withColumn("_r", F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("b") * F.col("y") - F.col("c")))
-        lim = off.groupBy("scan").agg(F.greatest(F.lit(0.15), 2.5 * stats.upper_median(F.col("_r"))).alias("_lim"))
-        fit = plane_fit(off.join(lim, "scan").where("_r < _lim").select(points.columns))
+        off = low.join(fit.select("scan", "a", "b", "c"), "scan").withColumn("_r", F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("b") * F.col("y") - F.col("c")))
+        lim = stats.placed(off, ["scan"], F.col("_r")).groupBy("scan").agg(F.greatest(F.lit(0.15), 2.5 * stats.upper_median()).alias("_lim"))
+        low = off.join(lim, "scan").where("_r < _lim").select(low.columns)
+        fit = plane_fit(low)
     return fit
 
 

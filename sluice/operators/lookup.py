@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
+from ..functions.recovery import cut
 
 LAGS = (7, 14, 21, 28, 35, 42)
 LEVELS = ("site_relation", "closure_type", "work_window", "time_band", "road_class")
@@ -19,35 +20,43 @@ def road_class(volume: Column) -> Column:
     return F.when(volume < 20000, "low (<20k/day)").when(volume < 40000, "medium (20-40k/day)").otherwise("high (>40k/day)")
 
 
+def _middle(x: str) -> Column:
+    """Median of a group of a few rows, as an aggregate: the list of a closure's or a baseline's days is short."""
+    s = F.sort_array(F.collect_list(x))
+    return F.when(F.size(s) > 0, (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)
+
+
 def against_baseline(days: DataFrame, keys: list[str], day: str, volume: str, least_days: int = 3, lags: tuple[int, ...] = LAGS) -> DataFrame:
     """days with the median volume of the same weekday in the weeks before (baseline), its number of days, and the relative change.
 
     Each day is sent forward to the days it is a baseline of, so the lags are one equi-join.
     """
     ahead = days.select(*keys, F.explode(F.transform(F.array(*[F.lit(k) for k in lags]), lambda k: F.date_add(F.col(day), k))).alias(day), F.col(volume).alias("_prior"))
-    base = days.join(ahead, [*keys, day]).groupBy(*keys, day, volume).agg(F.median("_prior").alias("baseline"), F.count("*").alias("baseline_days"))
+    base = days.join(ahead, [*keys, day]).groupBy(*keys, day, volume).agg(_middle("_prior").alias("baseline"), F.count("*").alias("baseline_days"))
     return base.where((F.col("baseline_days") >= least_days) & (F.col("baseline") > 0)).withColumn("change", F.col(volume) / F.col("baseline") - 1)
 
 
+def _summary(n: str) -> list[Column]:
+    """Aggregates over placed changes."""
+    return [F.max("size").alias(n), stats.quantile(0.1).alias("p10"), stats.quantile(0.5).alias("p50"), stats.quantile(0.9).alias("p90"), stats.mean().alias("mean_change"), stats.share_below(LARGE_DROP).alias("share_over_15pct_drop")]
+
+
 def quantile_summary(changes: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
-    p10, p50, p90 = stats.quantiles(F.col("change"), 0.1, 0.5, 0.9)
-    return changes.groupBy(*keys).agg(F.count("*").alias("n"), p10.alias("p10"), p50.alias("p50"), p90.alias("p90"), F.avg("change").alias("mean_change"), stats.share(F.col("change") < LARGE_DROP).alias("share_over_15pct_drop")).where(F.col("n") >= least)
+    return stats.placed(changes, keys, F.col("change")).groupBy(*keys).agg(*_summary("n")).where(F.col("n") >= least)
 
 
 def per_closure(impacts: DataFrame, keys: list[str]) -> DataFrame:
     """Median change and daily volume of each closure's site-days, with how many days and sites they are."""
-    return impacts.groupBy(*keys).agg(F.median("change").alias("change"), F.median("daily_volume").alias("site_daily_volume"), F.countDistinct("date_local").alias("n_days"), F.countDistinct("site_no").alias("n_sites"))
+    return impacts.groupBy(*keys).agg(_middle("change").alias("change"), _middle("daily_volume").alias("site_daily_volume"), F.size(F.collect_set("date_local")).cast("long").alias("n_days"), F.size(F.collect_set("site_no")).cast("long").alias("n_sites"))
 
 
 def build(changes: DataFrame, least: int = 20) -> DataFrame:
-    """Level 1 by all keys, level 2 without road class, level 3 by site relation and time band: one pass with grouping sets."""
-    cols = [F.col(c) for c in LEVELS]
-    sets = [list(LEVELS), [c for c in LEVELS if c != "road_class"], ["site_relation", "time_band"]]
-    p10, p50, p90 = stats.quantiles(F.col("change"), 0.1, 0.5, 0.9)
-    level = F.when(F.grouping("road_class") == 0, 1).when(F.grouping("closure_type") == 0, 2).otherwise(3)
-    named = [F.when(F.grouping(c) == 1, ANY).otherwise(F.col(c)).alias(f"_{c}") for c in LEVELS]
-    out = changes.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(level.alias("level"), *named, F.count("*").alias("n_closures"), p10.alias("p10"), p50.alias("p50"), p90.alias("p90"), F.avg("change").alias("mean_change"), stats.share(F.col("change") < LARGE_DROP).alias("share_over_15pct_drop"))
-    return out.where(F.col("n_closures") >= least).select("level", *[F.col(f"_{c}").alias(c) for c in LEVELS], "n_closures", "p10", "p50", "p90", "mean_change", "share_over_15pct_drop")
+    """Level 1 by all keys, level 2 without road class, level 3 by site relation and time band, from one pass over the changes."""
+    free = {1: (), 2: ("road_class",), 3: ("closure_type", "work_window", "road_class")}
+    sets = [F.struct(F.lit(level).alias("level"), *[(F.lit(ANY) if c in out else F.col(c)).alias(c) for c in LEVELS]) for level, out in free.items()]
+    rows = changes.select("change", F.inline(F.array(*sets)))
+    keys = ["level", *LEVELS]
+    return stats.placed(rows, keys, F.col("change")).groupBy(*keys).agg(*_summary("n_closures")).where(F.col("n_closures") >= least)
 
 
 def find(rows: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -81,7 +90,11 @@ def split(closures: DataFrame, day: str = "2026-01-01") -> tuple[DataFrame, Data
 def validation(tested: DataFrame) -> DataFrame:
     """Per site relation: absolute errors of the lookup's median and of no change, coverage, share of level 1."""
     miss, none = F.abs(F.col("change") - F.col("p50")), F.abs(F.col("change"))
-    return tested.groupBy("site_relation").agg(F.count("*").alias("n_test"), F.median(miss).alias("mae_model"), F.median(none).alias("mae_no_change"), F.avg(miss).alias("mean_abs_err_model"), F.avg(none).alias("mean_abs_err_no_change"), stats.share(F.col("change").between(F.col("p10"), F.col("p90"))).alias("p10_p90_coverage"), stats.share(F.col("level") == 1).alias("share_level1"))
+    key, tested = ["site_relation"], cut(tested)
+    out = tested.groupBy(*key).agg(F.count("*").alias("n_test"), F.avg(miss).alias("mean_abs_err_model"), F.avg(none).alias("mean_abs_err_no_change"), stats.share(F.col("change").between(F.col("p10"), F.col("p90"))).alias("p10_p90_coverage"), stats.share(F.col("level") == 1).alias("share_level1"))
+    for name, error in (("mae_model", miss), ("mae_no_change", none)):
+        out = out.join(stats.placed(tested, key, error).groupBy(*key).agg(stats.quantile(0.5).alias(name)), key)
+    return out
 
 
 def risk_band(share: Column) -> Column:

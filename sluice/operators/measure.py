@@ -26,7 +26,8 @@ def rotated(points: DataFrame, degrees: float | Column) -> DataFrame:
 def profile(points: DataFrame, bin_size: float = 0.05) -> DataFrame:
     """Height across the street: upper median of the lowest points of the cells along each bin of v."""
     cells = points.withColumns({"bv": F.floor(F.col("v") / bin_size), "bu": F.floor(F.col("u") / 0.25)}).groupBy("scan", "bv", "bu").agg(F.min("z").alias("z"))
-    return cells.groupBy("scan", "bv").agg(stats.upper_median(F.col("z")).alias("z"), F.count("*").alias("n"))
+    keys = ["scan", "bv"]
+    return stats.placed(cells, keys, F.col("z")).groupBy(*keys).agg(stats.upper_median().alias("z"), F.max("size").alias("n"))
 
 
 def steps(prof: DataFrame, near: int = 1, far: int = 8) -> DataFrame:
@@ -119,8 +120,23 @@ def densified(rings: DataFrame, step: float = 0.05) -> DataFrame:
 
 
 def evidence(fits: DataFrame) -> DataFrame:
-    """Score of registration hypotheses (rms, overlap, conflict, wall, texture) and whether they pass the hard gates; the best per pair first."""
-    score = F.col("overlap") * 2 + F.col("wall") + F.coalesce("texture", F.lit(0.0)) - 4 * F.col("rms") - 3 * F.col("conflict")
-    good = (F.col("rms") <= 0.12) & (F.col("overlap") >= 0.15) & (F.col("conflict") <= 0.2)
-    w = Window.partitionBy("fixed", "moving").orderBy(F.desc("accepted"), F.desc("score"), "yaw")
-    return fits.withColumns({"score": score, "accepted": good}).withColumn("rank", F.row_number().over(w))
+    """Rank of registration hypotheses by summed evidence, whether they pass the hard gates, and their order within each pair.
+
+    fits: fixed, moving, yaw (of the fit, degrees), shift (of the fit, m), rms, overlap, near (points); of the comparison
+    of both clouds agree, conflict (cells), object_agree, object_conflict, consistency, conflict_rate and objects (shares);
+    ncc and texture_cells of the ground's texture; wall_close, wall_points and wall_fit. Evidence that a fit lacks is null
+    and neither counts nor rejects. A rejected fit ranks 1000 lower.
+    """
+    none_or = lambda c, ok: F.col(c).isNull() | ok
+    zero = lambda e: F.coalesce(e, F.lit(0.0))
+    # Gates and weights.
+    good = ((F.col("overlap") >= 0.10) | (F.col("near") >= 1500)) & (F.col("rms") <= 0.10) & none_or("consistency", (F.col("consistency") >= 0.55) & (F.col("conflict_rate") <= 0.35)) & none_or("wall_fit", F.col("wall_fit") >= 0.2) & none_or("objects", F.col("objects") >= 0.4)
+    objects = zero(1.2 * F.col("object_agree") - 3.0 * F.col("object_conflict"))
+    cells = zero(0.02 * F.col("agree") - 0.2 * F.col("conflict"))
+    texture = zero(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), 0.2 * F.col("ncc") * F.sqrt("texture_cells"))))
+    texture = F.when(F.col("ncc").isNull(), 0.0).otherwise(texture)
+    walls = zero(0.02 * F.col("wall_close") - 0.03 * (F.col("wall_points") - F.col("wall_close")))
+    prior = -0.5 * F.pow(F.col("shift") / 10, 2) - 0.5 * F.pow(F.col("yaw") / 15, 2)
+    out = fits.withColumn("accepted", F.coalesce(good, F.lit(False)))
+    out = out.withColumn("score", objects + cells + texture + walls + prior - F.when(F.col("accepted"), 0.0).otherwise(1000.0))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("fixed", "moving").orderBy(F.desc(F.round("score", 9)), "yaw")))
