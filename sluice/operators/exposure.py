@@ -39,12 +39,22 @@ def days_of(closures: DataFrame, before: int = BASELINE_DAYS) -> DataFrame:
     return closures.withColumn("date_local", F.explode(F.sequence(F.date_sub("d_from", before), F.col("d_to"))))
 
 
+def flagged_days(closures: DataFrame, before: int = BASELINE_DAYS) -> DataFrame:
+    """days_of() with the day's place relative to the closure and the calendar's flags."""
+    offset, day = F.datediff("date_local", "d_from"), F.col("date_local")
+    days = days_of(closures, before).withColumns({"day_offset": offset, "dow": calendar.weekday(day), "is_weekend": calendar.is_weekend(day)})
+    return days.withColumns({"is_closure_day": F.col("day_offset") >= 0, "is_baseline_week": F.col("day_offset").isin(*range(-BASELINE_DAYS, 0, 7))})
+
+
+def hourly(days: DataFrame) -> DataFrame:
+    """Every row for each of the day's 24 hours, with the hour's band."""
+    hours = F.array(*[F.struct(F.lit(h).alias("hour_local"), calendar.time_band(F.lit(h)).alias("time_band")) for h in range(24)])
+    return days.select("*", F.inline(hours))
+
+
 def spine(closures: DataFrame, before: int = BASELINE_DAYS) -> DataFrame:
-    """Closure x day x hour with the day's place relative to the closure and the calendar's flags."""
-    hours = days_of(closures, before).withColumn("hour_local", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    offset = F.datediff("date_local", "d_from")
-    day = F.col("date_local")
-    return hours.withColumns({"day_offset": offset, "is_closure_day": offset >= 0, "is_baseline_week": offset.isin(*range(-BASELINE_DAYS, 0, 7)), "dow": calendar.weekday(day), "is_weekend": calendar.is_weekend(day), "time_band": calendar.time_band(F.col("hour_local"))})
+    """Closure x day x hour with flags."""
+    return hourly(flagged_days(closures, before))
 
 
 def nearby(left: DataFrame, right: DataFrame, key: str, metres: float = 200.0, d_lat: float = 0.002, d_lon: float = 0.0025) -> DataFrame:

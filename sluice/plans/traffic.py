@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import calendar, stats
+from ..functions.recovery import cut
 from ..operators import exposure, lookup
 from . import tables as t
 
@@ -27,7 +28,7 @@ SELECT site_no, count(*) AS n, round(quantile_cont(change, 0.1), 6) AS p10, roun
 
 def detector_slots(spark: SparkSession, d: str) -> DataFrame:
     """Users as detectors: an array of 96 quarter-hour counts a day (null where nothing was counted, negative where a count is odd)."""
-    e = t.table(spark, d, "events").where("user_id < 40").select("event_type", "user_id", F.to_date("ts").alias("day"), (F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)).cast("int").alias("q"), F.floor("value").cast("long").alias("v"))
+    e = t.table(spark, d, "events").select("event_type", "user_id", F.to_date("ts").alias("day"), (F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)).cast("int").alias("q"), F.floor("value").cast("long").alias("v"))
     e = e.groupBy("event_type", "user_id", "day", "q").agg(F.when(F.sum("v") % 7 == 0, -1).otherwise(F.sum("v")).alias("v"))
     m = e.groupBy("event_type", "user_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("q", "v"))).alias("m"))
     return m.select(F.col("event_type").alias("site_no"), F.col("user_id").alias("detector"), F.col("day").alias("date_local"), F.lit("north").alias("region"), F.transform(F.sequence(F.lit(0), F.lit(95)), lambda q: F.try_element_at("m", q)).alias("slots"))
@@ -37,7 +38,7 @@ def quarter_hours_to_site_hours(spark: SparkSession, d: str) -> DataFrame:
     return exposure.site_hours(exposure.hour_slots(detector_slots(spark, d)))
 
 
-SLOTS_SQL = """WITH e AS (SELECT event_type, user_id, CAST(ts AS DATE) AS day, CAST(hour(ts) * 4 + floor(minute(ts) / 15) AS INTEGER) AS q, CAST(floor(value) AS BIGINT) AS v FROM events WHERE user_id < 40),
+SLOTS_SQL = """WITH e AS (SELECT event_type, user_id, CAST(ts AS DATE) AS day, CAST(hour(ts) * 4 + floor(minute(ts) / 15) AS INTEGER) AS q, CAST(floor(value) AS BIGINT) AS v FROM events),
 s AS (SELECT event_type, user_id, day, q, CASE WHEN sum(v) % 7 = 0 THEN -1 ELSE sum(v) END AS v FROM e GROUP BY ALL),
 dd AS (SELECT DISTINCT event_type, user_id, day FROM s), h AS (SELECT dd.*, hh.h FROM dd, (SELECT unnest(range(24)) AS h) hh),
 x AS (SELECT h.event_type, h.user_id, h.day, h.h, sum(CASE WHEN s.v >= 0 THEN s.v END) AS volume, 4 - count(CASE WHEN s.v >= 0 THEN 1 END) AS n_missing FROM h LEFT JOIN s ON s.event_type = h.event_type AND s.user_id = h.user_id AND s.day = h.day AND s.q // 4 = h.h GROUP BY ALL)
@@ -127,9 +128,12 @@ BANDS_SQL = f"WITH {t.SITE_HOURS}, x AS (SELECT site, day, sum(volume) AS daily
 
 
 def closure_spine(spark: SparkSession, d: str) -> DataFrame:
-    """Summed over the whole spine: a row per closure type, day offset and band."""
-    s = exposure.spine(t.closures(spark, d).select("radar_id", "d_from", "d_to", "closure_type"))
-    return s.groupBy("closure_type", "day_offset", "time_band").agg(F.count("*").alias("n"), F.sum(F.col("is_closure_day").cast("long")).alias("n_closure"), F.sum(F.col("is_baseline_week").cast("long")).alias("n_baseline"), F.sum(F.col("is_weekend").cast("long")).alias("n_weekend"), F.sum("dow").alias("dow_sum"))
+    """Summed over the whole spine: a row per closure type, day offset and band. Equal days are counted before they get their hours."""
+    keys = ["closure_type", "day_offset", "is_closure_day", "is_baseline_week", "is_weekend", "dow"]
+    days = exposure.flagged_days(t.closures(spark, d).select("d_from", "d_to", "closure_type")).groupBy(*keys).agg(F.count("*").alias("days"))
+    sums = lambda name, e: F.sum(F.col("days") * e).alias(name)
+    flag = lambda c: F.col(c).cast("long")
+    return exposure.hourly(days).groupBy("closure_type", "day_offset", "time_band").agg(F.sum("days").alias("n"), sums("n_closure", flag("is_closure_day")), sums("n_baseline", flag("is_baseline_week")), sums("n_weekend", flag("is_weekend")), sums("dow_sum", F.col("dow")))
 
 
 SPINE_SQL = f"""WITH {t.CLOSURES}, s AS (SELECT closure_type, d_from, CAST(unnest(generate_series(d_from - 42, d_to, INTERVAL 1 DAY)) AS DATE) AS day FROM closures),
@@ -146,7 +150,7 @@ DURATION_SQL = f"WITH {t.CLOSURES}, c AS (SELECT *, d_to - d_from AS days FROM c
 
 
 def busy_day_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Site-days on which no closure of the last quarter of keys runs, and how many do have one."""
+    """Site-days with and without a closure of the type that closes the road (here the urgent ones)."""
     c = t.closures(spark, d).where("closure_type = '1-URGENT'")
     days = t.daily(spark, d).withColumnRenamed("day", "date_local")
     marked = exposure.flag_busy(days, exposure.busy_days(c))
@@ -157,7 +161,7 @@ BUSY_SQL = f"WITH {t.CLOSURES}, {t.DAILY}, b AS (SELECT DISTINCT site_no, CAST(u
 
 
 def free_days(spark: SparkSession, d: str) -> DataFrame:
-    """The anti-join form: site-days without any closure there."""
+    """The anti-join form: site-days without a closure that closes the road (here the urgent ones)."""
     c = t.closures(spark, d).where("closure_type = '1-URGENT'")
     return t.daily(spark, d).withColumnRenamed("day", "date_local").join(exposure.busy_days(c), ["site_no", "date_local"], "left_anti").select("site_no", "date_local", F.round("volume", 4).alias("volume"))
 
@@ -229,8 +233,8 @@ def lookup_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tested(spark: SparkSession, d: str, ranked: bool = False) -> DataFrame:
-    train, test = lookup.split(collapsed(spark, d), "2000-01-01")
-    table = lookup.build(train)
+    train, test = lookup.split(cut(collapsed(spark, d)), "2000-01-01")
+    table = cut(lookup.build(train))  # joined once for each level
     if ranked:
         rows = test.withColumn("rid", F.concat_ws("|", "radar_id", "time_band"))
         return lookup.find_ranked(rows, table, "rid").drop("rid")
