@@ -28,22 +28,19 @@ def rank(severity: Column) -> Column:
 
 
 def rate_metrics(values: DataFrame) -> DataFrame:
-    """request, mode, severity and metric of modelled values (request, mode, metric, value: the range's high end).
+    """request, mode, severity and metric of modelled modes (request, mode, metric, value: the range's high end).
 
-    The first metric, in the mode's order, that reaches the best level gives the reason; below all limits it is Low.
+    Every mode that has a row is modelled. The first of its metrics, in order, that reaches the best level gives the
+    reason; below all limits, or with none of its metrics, it is Low. Any diverted service makes public transport High.
     """
-    met = values.join(F.broadcast(limits(values.sparkSession)), ["mode", "metric"])
+    met = values.join(F.broadcast(limits(values.sparkSession)), ["mode", "metric"], "left")
     level = F.when(F.col("value") >= F.col("high"), 3).when(F.col("value") >= F.col("moderate"), 2).otherwise(1)
-    best = F.max_by(F.struct(level.alias("level"), "metric"), F.struct(level.alias("l"), (-F.col("metric_order")).alias("o")))
-    out = met.groupBy("request", "mode").agg(best.alias("b"))
+    best = F.max_by(F.struct(level.alias("level"), "metric"), F.struct(level.alias("l"), (-F.coalesce("metric_order", F.lit(99))).alias("o")))
+    diverted = F.max((F.col("mode") == "public_transport") & (F.col("metric") == "forced_diversions") & (F.col("value") > 0))
+    out = met.groupBy("request", "mode").agg(best.alias("b"), F.coalesce(diverted, F.lit(False)).alias("d"))
     severity = F.element_at(F.array(F.lit("Low"), F.lit("Moderate"), F.lit("High")), F.col("b.level"))
-    return out.select("request", "mode", severity.alias("severity"), F.when(F.col("b.level") > 1, F.col("b.metric")).alias("metric"))
-
-
-def diverted_transport(rated: DataFrame, forced: DataFrame) -> DataFrame:
-    """High for public transport where any of its services may be diverted; forced: request, forced_high."""
-    hit = (F.col("mode") == "public_transport") & (F.coalesce("forced_high", F.lit(0.0)) > 0)
-    return rated.join(forced, "request", "left").select("request", "mode", F.when(hit, "High").otherwise(F.col("severity")).alias("severity"), F.when(hit, "forced_diversions").otherwise(F.col("metric")).alias("metric"))
+    reason = F.when(F.col("b.level") > 1, F.col("b.metric"))
+    return out.select("request", "mode", F.when(F.col("d"), "High").otherwise(severity).alias("severity"), F.when(F.col("d"), "forced_diversions").otherwise(reason).alias("metric"))
 
 
 def touched(mode: Column, tram: Column, moves_people: Column, closure_type: Column) -> Column:

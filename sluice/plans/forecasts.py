@@ -66,10 +66,11 @@ SELECT o_orderkey, CAST(len(hours) AS BIGINT) AS n_hours, name AS "window" FROM
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
+    """Some modes have only a metric that their rule does not list; some transport has only diversions, of 0 or more."""
     k = F.col("c_custkey")
-    v = [("cars", "forced_diversions", F.pmod(k * 37, F.lit(1500))), ("cars", "max_queue", F.pmod(k * 11, F.lit(300))), ("cars", "delay", F.pmod(k * 7, F.lit(260))), ("trucks", "forced_diversions", F.pmod(k * 5, F.lit(130))), ("trucks", "max_queue", F.pmod(k * 3, F.lit(60))), ("public_transport", "delay", F.pmod(k * 13, F.lit(210))), ("pedestrians", "detour", F.pmod(k * 17, F.lit(140)))]
-    shown = {"public_transport": F.pmod(k, F.lit(3)) == 0, "pedestrians": F.pmod(k, F.lit(2)) == 0, "trucks": F.pmod(k, F.lit(5)) != 0}
-    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(x).alias("metric"), F.when(shown.get(m, F.lit(True)), e.cast("double")).alias("value")) for m, x, e in v])
+    v = [("cars", "forced_diversions", F.pmod(k * 37, F.lit(1500))), ("cars", "max_queue", F.pmod(k * 11, F.lit(300))), ("cars", "delay", F.pmod(k * 7, F.lit(260))), ("trucks", "forced_diversions", F.pmod(k * 5, F.lit(130))), ("trucks", "max_queue", F.pmod(k * 3, F.lit(60))), ("public_transport", "delay", F.pmod(k * 13, F.lit(210))), ("public_transport", "forced_diversions", F.pmod(k, F.lit(9)) - 6), ("pedestrians", "detour", F.pmod(k * 17, F.lit(140))), ("pedestrians", "delay", F.pmod(k, F.lit(50)))]
+    shown = {("public_transport", "delay"): F.pmod(k, F.lit(3)) == 0, ("public_transport", "forced_diversions"): F.pmod(k, F.lit(9)) > 5, ("pedestrians", "delay"): F.pmod(k, F.lit(6)) == 5, "pedestrians": F.pmod(k, F.lit(2)) == 0, "trucks": F.pmod(k, F.lit(5)) != 0}
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(x).alias("metric"), F.when(shown.get((m, x), shown.get(m, F.lit(True))), e.cast("double")).alias("value")) for m, x, e in v])
     return t.table(spark, d, "customer").select(k.alias("request"), F.inline(rows)).where("value is not null")
 
 
@@ -77,14 +78,14 @@ def severity_modes(spark: SparkSession, d: str) -> DataFrame:
     c = t.table(spark, d, "customer")
     k = F.col("c_custkey")
     rated = rating.rate_metrics(_values(spark, d))
-    rated = rating.diverted_transport(rated, c.select(k.alias("request"), F.pmod(k, F.lit(9)).cast("double").alias("forced_high")).where("forced_high > 6"))
     plans = c.select(k.alias("request"), (F.pmod(k, F.lit(4)) == 1).alias("tram"), (F.pmod(k, F.lit(7)) == 1).alias("moves_people"), F.when(F.pmod(k, F.lit(10)) == 0, "road closed").otherwise("lanes closed").alias("closure_type"))
     return rating.all_modes(plans, rated)
 
 
 VALUES = """v AS (SELECT c_custkey AS request, unnest([{'mode': 'cars', 'metric': 'forced_diversions', 'o': 0, 'value': c_custkey * 37 % 1500, 'h': 1000, 'm': 100}, {'mode': 'cars', 'metric': 'max_queue', 'o': 1, 'value': c_custkey * 11 % 300, 'h': 250, 'm': 50}, {'mode': 'cars', 'metric': 'delay', 'o': 2, 'value': c_custkey * 7 % 260, 'h': 200, 'm': 20},
 {'mode': 'trucks', 'metric': 'forced_diversions', 'o': 0, 'value': CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 5 % 130 END, 'h': 1000, 'm': 100}, {'mode': 'trucks', 'metric': 'max_queue', 'o': 1, 'value': CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 3 % 60 END, 'h': 250, 'm': 50},
-{'mode': 'public_transport', 'metric': 'delay', 'o': 0, 'value': CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 13 % 210 END, 'h': 200, 'm': 20}, {'mode': 'pedestrians', 'metric': 'detour', 'o': 0, 'value': CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 17 % 140 END, 'h': 100, 'm': 30}], recursive := true) FROM customer),
+{'mode': 'public_transport', 'metric': 'delay', 'o': 0, 'value': CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 13 % 210 END, 'h': 200, 'm': 20}, {'mode': 'public_transport', 'metric': 'forced_diversions', 'o': 99, 'value': CASE WHEN c_custkey % 9 > 5 THEN c_custkey % 9 - 6 END, 'h': NULL, 'm': NULL},
+{'mode': 'pedestrians', 'metric': 'detour', 'o': 0, 'value': CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 17 % 140 END, 'h': 100, 'm': 30}, {'mode': 'pedestrians', 'metric': 'delay', 'o': 99, 'value': CASE WHEN c_custkey % 6 = 5 THEN c_custkey % 50 END, 'h': NULL, 'm': NULL}], recursive := true) FROM customer),
 l AS (SELECT request, mode, metric, o, CASE WHEN value >= h THEN 3 WHEN value >= m THEN 2 ELSE 1 END AS lv FROM v WHERE value IS NOT NULL),
 b AS (SELECT request, mode, CASE WHEN mode = 'public_transport' AND request % 9 > 6 THEN 3 ELSE lv END AS lv, CASE WHEN mode = 'public_transport' AND request % 9 > 6 THEN 'forced_diversions' WHEN lv > 1 THEN metric END AS metric FROM l QUALIFY row_number() OVER (PARTITION BY request, mode ORDER BY lv DESC, o) = 1),
 am AS (SELECT c_custkey AS request, mode, k FROM customer, (VALUES ('cars', 0), ('pedestrians', 1), ('public_transport', 2), ('trucks', 3)) x(mode, k)),
@@ -154,9 +155,10 @@ NOISE_SQL = "SELECT o_custkey, round(CASE WHEN abs(sum(o_totalprice) - 2000000)
 
 
 def index_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    q = F.col("l_quantity")
-    x = F.col("l_extendedprice")
-    return t.table(spark, d, "lineitem").groupBy("l_suppkey").agg(stats.index_quantile(x, 0.9).alias("q90"), stats.upper_median(x).alias("upper_median"), stats.lower_quantile(x, 0.25).alias("lower_q25"), F.round(stats.middle_mean(q), 6).alias("middle_mean"), F.round(F.median(x), 6).alias("median"))
+    li, key = t.table(spark, d, "lineitem"), ["l_suppkey"]
+    x = stats.placed(li, key, F.col("l_extendedprice")).groupBy(*key).agg(stats.index_quantile(0.9).alias("q90"), stats.upper_median().alias("upper_median"), stats.lower_quantile(0.25).alias("lower_q25"), F.round(stats.quantile(0.5), 6).alias("median"))
+    q = stats.placed(li, key, F.col("l_quantity")).groupBy(*key).agg(F.round(stats.middle_mean(), 6).alias("middle_mean"))
+    return x.join(q, key)
 
 
 INDEX_SQL = """WITH s AS (SELECT l_suppkey, list_sort(list(l_extendedprice)) AS x, list_sort(list(l_quantity)) AS q, count(*) AS n, median(l_extendedprice) AS m FROM lineitem GROUP BY 1)
