@@ -44,7 +44,7 @@ def nearest(a: np.ndarray, b: np.ndarray, radius: float, k: int = 1) -> tuple[np
 
 
 def normals(xyz: np.ndarray, k: int = 10, radius: float = 0.3) -> np.ndarray:
-    """Upward normals: the least eigenvector of the covariance of a point and its neighbours; NaN with fewer than 3."""
+    """Upward normals: the least eigenvector of the covariance of a point and its neighbours; straight up with fewer than 5."""
     _, at = nearest(xyz, xyz, radius, k + 1)
     real = at >= 0
     n = real.sum(axis=1)
@@ -54,7 +54,7 @@ def normals(xyz: np.ndarray, k: int = 10, radius: float = 0.3) -> np.ndarray:
     _, vectors = np.linalg.eigh(np.einsum("nki,nkj->nij", q, q))
     out = vectors[:, :, 0]
     out = np.where(out[:, 2:3] < 0, -out, out)
-    out[n < 3] = np.nan
+    out[n < 5] = (0.0, 0.0, 1.0)
     return out
 
 

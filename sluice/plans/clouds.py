@@ -75,7 +75,7 @@ PLANE_SQL = f"{P}, m AS (SELECT scan, count(*) AS n, avg(x) AS mx, avg(y) AS my,
 
 
 def robust_plane(spark: SparkSession, d: str) -> DataFrame:
-    return grid.robust_plane(t.points(spark, d), 2).select("scan", "n", *[F.round(c, 6).alias(c) for c in "abc"])
+    return grid.robust_plane(t.points(spark, d)).select("scan", "n", *[F.round(c, 6).alias(c) for c in "abc"])
 
 
 def nearest_neighbour_radius(spark: SparkSession, d: str) -> DataFrame:

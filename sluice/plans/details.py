@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import demand, exposure, graph, measure, rating, report
-from . import forecasts
+from . import forecasts, places, simulations
 from . import tables as t
 
 
@@ -52,12 +52,12 @@ SELECT site_no, edge, round(sqrt(pow(e.x - s.x, 2) + pow(e.y - s.y, 2)), 5) AS d
 def nearest_sensors(spark: SparkSession, d: str) -> DataFrame:
     at = lambda c, n, step, base: (base + F.pmod(F.col(c), F.lit(n)) * step).alias
     p = t.table(spark, d, "customer").select("c_custkey", at("c_custkey", 53, 0.0011, -37.8)("lat"), at("c_custkey", 37, 0.0013, 144.9)("lon"))
-    s = t.table(spark, d, "supplier").where("s_suppkey % 4 <> 0").select("s_suppkey", at("s_suppkey", 37, 0.0012, -37.8)("lat"), at("s_suppkey", 53, 0.0011, 144.9)("lon"))
+    s = t.table(spark, d, "supplier").select("s_suppkey", at("s_suppkey", 37, 0.0012, -37.8)("lat"), at("s_suppkey", 53, 0.0011, 144.9)("lon"))
     return demand.nearest_of(p, s, "c_custkey", "s_suppkey", 400.0, 2).select("c_custkey", "s_suppkey", F.round("distance_m", 3).alias("distance_m"), F.col("rank").cast("long").alias("rank"))
 
 
 SENSORS_SQL = """WITH c AS (SELECT c_custkey, -37.8 + (c_custkey % 53) * 0.0011::DOUBLE AS lat, 144.9 + (c_custkey % 37) * 0.0013::DOUBLE AS lon FROM customer),
-s AS (SELECT s_suppkey, -37.8 + (s_suppkey % 37) * 0.0012::DOUBLE AS lat, 144.9 + (s_suppkey % 53) * 0.0011::DOUBLE AS lon FROM supplier WHERE s_suppkey % 4 <> 0),
+s AS (SELECT s_suppkey, -37.8 + (s_suppkey % 37) * 0.0012::DOUBLE AS lat, 144.9 + (s_suppkey % 53) * 0.0011::DOUBLE AS lon FROM supplier),
 p AS (SELECT c_custkey, s_suppkey, sqrt(pow((s.lon - c.lon) * 111320 * cos(radians(c.lat)), 2) + pow((s.lat - c.lat) * 110574, 2)) AS dd FROM c, s),
 r AS (SELECT c_custkey, s_suppkey, dd, row_number() OVER (PARTITION BY c_custkey ORDER BY dd, s_suppkey) AS rank FROM p WHERE dd <= 400)
 SELECT c_custkey, s_suppkey, round(dd, 3) AS distance_m, rank FROM r WHERE rank <= 2"""
@@ -73,12 +73,19 @@ LEG_SQL = "WITH e AS (SELECT l_partkey % 60 AS edge, CAST(month(l_shipdate) AS I
 
 
 def turn_rules(spark: SparkSession, d: str) -> DataFrame:
-    p = t.table(spark, d, "part")
+    """Parts as edges at the junctions of 20 sites, suppliers' parts as rules between them."""
     k = F.col("p_partkey")
-    edges = p.where("p_partkey % 3 <> 0").select((k % 20).alias("site"), F.col("p_brand").alias("name"), F.element_at(F.array(*[F.lit(c) for c in "NESW"]), (k % 4 + 1).cast("int")).alias("side"), k.alias("edge")).where("edge < 60")
-    rules = t.table(spark, d, "supplier").where("s_suppkey < 40").join(p.where("p_partkey < 60").select((k % 20).alias("site"), F.col("p_brand").alias("from_name"), k.alias("pk")), F.col("s_suppkey") % 20 == F.col("site")).select(F.concat_ws("-", "s_suppkey", "pk").alias("rule"), "site", "from_name", F.lit("N").alias("from_side"), F.col("from_name").alias("to_name"), F.when(F.col("pk") % 2 == 0, "ban").otherwise("hook_turn").alias("kind"))
-    restrictions = spark.range(60).select(F.col("id").alias("from_edge"), F.col("id").alias("to_edge")).where("from_edge % 5 = 0")
-    return demand.turn_status(rules, restrictions, edges).groupBy("status").agg(F.count("*").alias("n"))
+    p = t.table(spark, d, "part").select((k % 20).alias("site"), F.col("p_brand").alias("name"), F.element_at(F.array(*[F.lit(c) for c in "NESW"]), (k % 4 + 1).cast("int")).alias("side"), k.alias("edge"))
+    ps = t.table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+    rules = ps.join(p.select(F.col("edge").alias("l_partkey"), "site", "name"), "l_partkey").select(F.concat_ws("-", "l_suppkey", "l_partkey").alias("rule"), "site", F.col("name").alias("from_name"), F.lit("N").alias("from_side"), F.col("name").alias("to_name"), F.when(F.col("l_partkey") % 2 == 0, "ban").otherwise("hook_turn").alias("kind"))
+    restrictions = p.where("edge % 5 = 0").select(F.col("edge").alias("from_edge"), F.col("edge").alias("to_edge"))
+    return demand.turn_status(rules, restrictions, p).groupBy("status").agg(F.count("*").alias("n"))
+
+
+TURN_SQL = """WITH p AS (SELECT p_partkey % 20 AS site, p_brand AS name, ['N', 'E', 'S', 'W'][CAST(p_partkey % 4 + 1 AS INTEGER)] AS side, p_partkey AS edge FROM part),
+r AS (SELECT DISTINCT l_suppkey, l_partkey, site, name FROM lineitem JOIN p ON edge = l_partkey),
+m AS (SELECT r.l_partkey, a.edge AS f, b.edge AS g FROM r LEFT JOIN p a ON a.site = r.site AND a.name = r.name AND a.side = 'N' LEFT JOIN p b ON b.site = r.site AND b.name = r.name)
+SELECT CASE WHEN f IS NULL OR g IS NULL THEN 'unresolved' WHEN f = g AND f % 5 = 0 THEN 'confirmed' WHEN l_partkey % 2 = 0 THEN 'added' ELSE 'noted' END AS status, count(*) AS n FROM m GROUP BY 1"""
 
 
 def report_points(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +104,11 @@ def report_records(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("overall").agg(F.count("*").alias("n"), F.sum(F.size("points").cast("long")).alias("n_points"), F.sum(F.size("recommendations").cast("long")).alias("n_recommendations"))
 
 
+RECORDS_SQL = f"""WITH {forecasts.VALUES}, o AS (SELECT request, CASE severity WHEN 'Review required' THEN 'Moderate' ELSE severity END AS overall FROM r QUALIFY row_number() OVER (PARTITION BY request ORDER BY CASE severity WHEN 'High' THEN 3 WHEN 'Moderate' THEN 2 WHEN 'Review required' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END DESC, k) = 1),
+p AS (SELECT request, count(DISTINCT CASE mode WHEN 'pedestrians' THEN 1 WHEN 'public_transport' THEN 2 ELSE 3 END) AS n FROM r GROUP BY 1)
+SELECT overall, count(*) AS n, CAST(sum(p.n) AS BIGINT) AS n_points, CAST(sum(least(5, p.n)) AS BIGINT) AS n_recommendations FROM o JOIN p ON p.request = o.request GROUP BY 1"""
+
+
 def report_slots(spark: SparkSession, d: str) -> DataFrame:
     base = t.table(spark, d, "customer").select(F.col("c_custkey").alias("request"), "c_acctbal", "c_mktsegment")
     over = t.table(spark, d, "orders").select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("slot"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"))
@@ -129,13 +141,17 @@ def replaced_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plan_gap_findings(spark: SparkSession, d: str) -> DataFrame:
-    from .simulations import _edges, _seed
-
-    gone = graph.cut_off(_edges(spark, d), F.col("src") % 5 == 2, _seed(spark))
+    """Nations as bus routes, those of one remainder on the closed street."""
+    gone = graph.cut_off(simulations._edges(spark, d), F.col("src") % 5 == 2, simulations._seed(spark))
     buses = t.table(spark, d, "nation").where("n_nationkey % 6 = 0").select(F.col("n_nationkey").cast("string").alias("ref"))
     return report.plan_gaps(gone, buses)
 
 
+GAPS_SQL = simulations.CUT_SQL.replace("SELECT node FROM f EXCEPT SELECT node FROM b", "") + """, gone AS (SELECT node FROM f EXCEPT SELECT node FROM b)
+SELECT 'dead end' AS kind, CAST(node AS VARCHAR) AS what, 'no way in or out while the street is closed' AS finding FROM gone
+UNION ALL SELECT 'bus route', CAST(n_nationkey AS VARCHAR), 'route ' || n_nationkey || ' runs on the closed street' FROM nation WHERE n_nationkey % 6 = 0"""
+
+
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
     """Keys of two runs: in both, in either, lost by the second."""
     li = t.table(spark, d, "lineitem")
@@ -186,13 +202,25 @@ DENSE_SQL = "WITH s AS (SELECT s_suppkey, CAST(s_suppkey % 7 AS DOUBLE) AS ax, C
 
 
 def hypothesis_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as hypotheses; some lack a comparison of clouds, compact objects, a ground texture or walls."""
     k = F.col("p_partkey")
-    f = t.table(spark, d, "part").select((k % 6).alias("fixed"), (k % 5).alias("moving"), k.cast("double").alias("yaw"), (k % 20 / 100).alias("rms"), (k % 9 / 10).alias("overlap"), (k % 7 / 20).alias("conflict"), (k % 4 / 10).alias("wall"), F.lit(None).cast("double").alias("texture"))
+    num = lambda n, by, name: (k % n / by).alias(name)
+    some = lambda n, by, name, lack: F.when(k % lack != 0, k % n / by).alias(name)
+    f = t.table(spark, d, "part").select(
+        (k % 6).alias("fixed"), (k % 5).alias("moving"), (k % 31 - 15).cast("double").alias("yaw"), num(23, 2, "shift"), num(17, 100, "rms"), num(9, 20, "overlap"), (k % 2000).alias("near"),
+        some(400, 1, "agree", 7), some(40, 1, "conflict", 7), some(13, 1, "object_agree", 7), some(4, 1, "object_conflict", 7), some(10, 10, "consistency", 7), some(8, 20, "conflict_rate", 7), some(10, 10, "objects", 11),
+        some(19, 20, "ncc", 3), some(900, 1, "texture_cells", 3), some(300, 1, "wall_close", 4), (F.when(k % 4 != 0, k % 300 + k % 50).cast("double")).alias("wall_points"), some(10, 10, "wall_fit", 4),
+    )
     e = measure.evidence(f).where("rank = 1")
     return e.select("fixed", "moving", "yaw", F.round("score", 6).alias("score"), "accepted")
 
 
-EVIDENCE_SQL = "WITH f AS (SELECT p_partkey % 6 AS fixed, p_partkey % 5 AS moving, CAST(p_partkey AS DOUBLE) AS yaw, p_partkey % 20 / 100 AS rms, p_partkey % 9 / 10 AS overlap, p_partkey % 7 / 20 AS conflict, p_partkey % 4 / 10 AS wall FROM part), s AS (SELECT *, overlap * 2 + wall + 0.0::DOUBLE - 4 * rms - 3 * conflict AS score, rms <= 0.12::DOUBLE AND overlap >= 0.15::DOUBLE AND conflict <= 0.2::DOUBLE AS accepted FROM f) SELECT fixed, moving, yaw, round(score, 6) AS score, accepted FROM s QUALIFY row_number() OVER (PARTITION BY fixed, moving ORDER BY accepted DESC, round(score, 9) DESC, yaw) = 1"
+EVIDENCE_SQL = """WITH f AS (SELECT p_partkey AS k, CAST(p_partkey % 31 - 15 AS DOUBLE) AS yaw, p_partkey % 7 <> 0 AS c, p_partkey % 11 <> 0 AS o, p_partkey % 3 <> 0 AS x, p_partkey % 4 <> 0 AS w FROM part),
+g AS (SELECT *, (k % 9 / 20 >= 0.10::DOUBLE OR k % 2000 >= 1500) AND k % 17 / 100 <= 0.10::DOUBLE AND (NOT c OR (k % 10 / 10 >= 0.55::DOUBLE AND k % 8 / 20 <= 0.35::DOUBLE)) AND (NOT w OR k % 10 / 10 >= 0.2::DOUBLE) AND (NOT o OR k % 10 / 10 >= 0.4::DOUBLE) AS accepted FROM f),
+s AS (SELECT k % 6 AS fixed, k % 5 AS moving, yaw, accepted, CASE WHEN c THEN 1.2::DOUBLE * (k % 13) - 3 * (k % 4) + 0.02::DOUBLE * (k % 400) - 0.2::DOUBLE * (k % 40) ELSE 0 END
++ CASE WHEN x THEN greatest(-8, least(8, 0.2::DOUBLE * (k % 19 / 20) * sqrt(k % 900))) ELSE 0 END + CASE WHEN w THEN 0.02::DOUBLE * (k % 300) - 0.03::DOUBLE * (k % 50) ELSE 0 END
+- 0.5::DOUBLE * pow(k % 23 / 2 / 10, 2) - 0.5::DOUBLE * pow(yaw / 15, 2) - CASE WHEN accepted THEN 0 ELSE 1000 END AS score FROM g)
+SELECT fixed, moving, yaw, round(score, 6) AS score, accepted FROM s QUALIFY row_number() OVER (PARTITION BY fixed, moving ORDER BY round(score, 9) DESC, yaw) = 1"""
 
 
 def obstacle_match(spark: SparkSession, d: str) -> DataFrame:
@@ -212,27 +240,29 @@ def polyline_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_aadt(spark: SparkSession, d: str) -> DataFrame:
     """Segments' volumes summed over directions, joined to the closures nearest to them."""
-    from .places import nearest_segment
-
     summed = exposure.directions_summed(t.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("segment_id"), F.lit(2024).alias("year"), F.col("l_quantity").alias("aadt"), F.col("l_tax").alias("aadt_heavy"), F.col("l_linestatus").alias("direction")))
-    near = nearest_segment(spark, d)
+    near = places.nearest_segment(spark, d)
     return near.join(summed, near["s_suppkey"] == summed["segment_id"]).select("id", "segment_id", F.round("aadt", 2).alias("aadt"), "aadt_directions")
 
 
+AADT_SQL = places.SEGMENT_SQL.replace("SELECT id, s_suppkey, round(dist, 3) AS dist_m FROM q WHERE", ", n AS (SELECT id, s_suppkey FROM q WHERE") + """),
+a AS (SELECT l_suppkey, sum(l_quantity) AS aadt, string_agg(DISTINCT l_linestatus, ' + ' ORDER BY l_linestatus) AS dirs FROM lineitem GROUP BY 1)
+SELECT id, l_suppkey AS segment_id, round(aadt, 2) AS aadt, dirs AS aadt_directions FROM n JOIN a ON a.l_suppkey = n.s_suppkey"""
+
 QUERIES = {
     "detector_weekday_medians": (detector_weekday_medians, MEDIANS_SQL),
     "site_skip_reasons": (site_skip_reasons, SKIP_SQL),
     "approach_edges": (approach_edges, APPROACH_SQL),
     "nearest_sensors": (nearest_sensors, SENSORS_SQL),
     "leg_queues": (leg_queues, LEG_SQL),
-    "turn_rules": (turn_rules, None),
+    "turn_rules": (turn_rules, TURN_SQL),
     "report_points": (report_points, POINTS_SQL),
-    "report_records": (report_records, None),
+    "report_records": (report_records, RECORDS_SQL),
     "report_slots": (report_slots, "SELECT o_custkey AS request, o_orderkey AS slot, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END, c_acctbal) AS c_acctbal, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey"),
     "model_choice": (model_choice, CHOICE_SQL),
     "latest_snapshot_rows": (latest_snapshot_rows, "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1"),
     "replaced_source": (replaced_source, "SELECT o_orderstatus AS source, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END), 2) AS v FROM orders GROUP BY 1"),
-    "plan_gap_findings": (plan_gap_findings, None),
+    "plan_gap_findings": (plan_gap_findings, GAPS_SQL),
     "set_operations": (set_operations, SETS_SQL),
     "scan_acceptance": (scan_acceptance, ACCEPT_SQL),
     "height_profile": (height_profile, PROFILE_SQL),
@@ -242,5 +272,5 @@ QUERIES = {
     "hypothesis_evidence": (hypothesis_evidence, EVIDENCE_SQL),
     "obstacle_match": (obstacle_match, "SELECT s_suppkey AS scan, min(CAST(p_partkey % 19 AS DOUBLE)) AS along_m FROM supplier JOIN part ON p_partkey % 97 = s_suppkey WHERE abs(p_partkey % 19 - s_suppkey % 20) <= 1.5 GROUP BY 1"),
     "polyline_boxes": (polyline_boxes, "SELECT s_suppkey, greatest(s_suppkey % 40, s_suppkey % 23) >= 10 AND least(s_suppkey % 40, s_suppkey % 23) <= 20 AND greatest(s_suppkey % 17, s_suppkey % 31) >= 5 AND least(s_suppkey % 17, s_suppkey % 31) <= 15 AS near FROM supplier"),
-    "nearest_aadt": (nearest_aadt, None),
+    "nearest_aadt": (nearest_aadt, AADT_SQL),
 }

@@ -124,12 +124,12 @@ HALF_SQL = f"WITH {t.SITE_HOURS} SELECT site, day, hour, round(0.5::DOUBLE * vol
 
 
 def trailing_mean(spark: SparkSession, d: str) -> DataFrame:
-    s = _user_hours(spark, d).where("user_id < 20").groupBy("user_id", "bin").agg(F.sum("value").alias("value"))
+    s = _user_hours(spark, d).groupBy("user_id", "bin").agg(F.sum("value").alias("value"))
     dense = runs.dense_seconds(s, ["user_id"], "bin", "value")
     return runs.trailing_mean(dense, ["user_id"], "bin", "value", 24).select("user_id", "bin", F.round("trailing_mean", 6).alias("trailing_mean"), runs.level_bands(F.col("value") / 50, F.col("trailing_mean")).alias("level"))
 
 
-TRAILING_SQL = f"WITH {USER_HOURS}, s AS (SELECT user_id, bin, sum(value) AS value FROM u WHERE user_id < 20 GROUP BY 1, 2), g AS (SELECT user_id, CAST(unnest(range(min(bin), max(bin) + 1)) AS BIGINT) AS bin FROM s GROUP BY 1), x AS (SELECT g.user_id, g.bin, coalesce(s.value, 0) AS value FROM g LEFT JOIN s ON s.user_id = g.user_id AND s.bin = g.bin), y AS (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY bin RANGE BETWEEN 23 PRECEDING AND CURRENT ROW) AS m FROM x) SELECT user_id, bin, round(m, 6) AS trailing_mean, CASE WHEN value / 50 < 2 THEN 0 WHEN value / 50 / greatest(m, 1) < 0.2 THEN 0 WHEN value / 50 / greatest(m, 1) < 0.5 THEN 1 WHEN value / 50 / greatest(m, 1) < 1 THEN 2 ELSE 3 END AS level FROM y"
+TRAILING_SQL = f"WITH {USER_HOURS}, s AS (SELECT user_id, bin, sum(value) AS value FROM u GROUP BY 1, 2), g AS (SELECT user_id, CAST(unnest(range(min(bin), max(bin) + 1)) AS BIGINT) AS bin FROM s GROUP BY 1), x AS (SELECT g.user_id, g.bin, coalesce(s.value, 0) AS value FROM g LEFT JOIN s ON s.user_id = g.user_id AND s.bin = g.bin), y AS (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY bin RANGE BETWEEN 23 PRECEDING AND CURRENT ROW) AS m FROM x) SELECT user_id, bin, round(m, 6) AS trailing_mean, CASE WHEN value / 50 < 2 THEN 0 WHEN value / 50 / greatest(m, 1) < 0.2 THEN 0 WHEN value / 50 / greatest(m, 1) < 0.5 THEN 1 WHEN value / 50 / greatest(m, 1) < 1 THEN 2 ELSE 3 END AS level FROM y"
 
 
 def running_distinct(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ RUNNING_SQL = "WITH f AS (SELECT event_type, user_id, min(CAST(ts AS DATE)) AS d
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """A sparse graph of suppliers' keys."""
+    """A sparse graph of suppliers' keys; edges of one remainder stand for those that cars may not use."""
     s = F.col("s_suppkey")
     e = t.table(spark, d, "supplier").select(F.explode(F.array(F.struct(s.alias("src"), (s * 2).alias("dst")), F.struct((s * 3).alias("src"), s.alias("dst")), F.struct(s.alias("src"), (s + 17).alias("dst")))).alias("e")).select("e.*")
     return e.where("src % 7 <> 3").withColumn("length", (F.pmod(F.col("src") * 31 + F.col("dst") * 17, F.lit(90)) + 10).cast("double"))
@@ -158,7 +158,7 @@ def reachability(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(_edges(spark, d), _seed(spark)).select("node", F.col("steps").cast("long").alias("steps"))
 
 
-REACH = "r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS steps UNION SELECT dst, steps + 1 FROM r JOIN ed ON src = node WHERE steps < 200)"
+REACH = "r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS steps UNION SELECT dst, steps + 1 FROM r JOIN ed ON src = node WHERE steps < (SELECT count(DISTINCT dst) FROM ed))"
 
 
 def strong_set(spark: SparkSession, d: str) -> DataFrame:
@@ -180,18 +180,18 @@ def dead_ends(spark: SparkSession, d: str) -> DataFrame:
 
 
 def street_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return graph.blocks(_edges(spark, d).where("src % 3 = 1"))
+    return graph.blocks(_edges(spark, d))
 
 
-BLOCKS_SQL = f"WITH RECURSIVE {EDGES}, e2 AS (SELECT src AS u, dst AS v FROM ed WHERE src % 3 = 1 UNION SELECT dst, src FROM ed WHERE src % 3 = 1), r AS (SELECT DISTINCT u AS node, u AS root FROM e2 UNION SELECT v, root FROM r JOIN e2 ON u = node) SELECT node, min(root) AS block FROM r GROUP BY 1"
+BLOCKS_SQL = f"WITH RECURSIVE {EDGES}, e2 AS (SELECT src AS u, dst AS v FROM ed UNION SELECT dst, src FROM ed), r AS (SELECT DISTINCT u AS node, u AS root FROM e2 UNION SELECT v, root FROM r JOIN e2 ON u = node) SELECT node, min(root) AS block FROM r GROUP BY 1"
 
 
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.extra_distance(_edges(spark, d), F.col("src") % 5 == 2, _seed(spark))
 
 
-PATHS_SQL = f"""WITH RECURSIVE {EDGES}, f AS (SELECT CAST(1 AS BIGINT) AS node, 0.0::DOUBLE AS d, 0 AS n UNION SELECT node, min(d) AS d, n FROM (SELECT dst AS node, d + length AS d, n + 1 AS n FROM f JOIN ed ON src = node WHERE n < 40) GROUP BY node, n),
-g AS (SELECT CAST(1 AS BIGINT) AS node, 0.0::DOUBLE AS d, 0 AS n UNION SELECT node, min(d) AS d, n FROM (SELECT dst AS node, d + length AS d, n + 1 AS n FROM g JOIN ed ON src = node WHERE n < 40 AND src % 5 <> 2) GROUP BY node, n),
+PATHS_SQL = f"""WITH RECURSIVE {EDGES}, f AS (SELECT CAST(1 AS BIGINT) AS node, 0.0::DOUBLE AS d, 0 AS n UNION SELECT node, min(d) AS d, n FROM (SELECT dst AS node, d + length AS d, n + 1 AS n FROM f JOIN ed ON src = node WHERE n < (SELECT count(DISTINCT dst) FROM ed)) GROUP BY node, n),
+g AS (SELECT CAST(1 AS BIGINT) AS node, 0.0::DOUBLE AS d, 0 AS n UNION SELECT node, min(d) AS d, n FROM (SELECT dst AS node, d + length AS d, n + 1 AS n FROM g JOIN ed ON src = node WHERE n < (SELECT count(DISTINCT dst) FROM ed) AND src % 5 <> 2) GROUP BY node, n),
 a AS (SELECT node, min(d) AS open_m FROM f GROUP BY 1), b AS (SELECT node, min(d) AS closed_m FROM g GROUP BY 1) SELECT a.node, open_m, closed_m FROM a LEFT JOIN b ON a.node = b.node"""
 
 
