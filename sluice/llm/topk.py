@@ -78,7 +78,7 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     return at
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0, chunk: int = 8192, block: int = 4096, candidates: int = 65_536) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0, chunk: int = 8192, block: int = 4096, candidates: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best among all rows but its own.
 
     is_query tells queries by the columns of `vectors`. chunk and candidates are the rows of a query and of a candidate
