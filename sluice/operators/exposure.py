@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,11 +104,11 @@ def flag_busy(rows: DataFrame, busy: DataFrame, site: str = "site_no") -> DataFr
 
 def hour_slots(detector_days: DataFrame, slots: str = "slots") -> DataFrame:
     """Long form of 96 quarter hours: hour, volume (null when all four are missing) and n_missing. Negative or null is missing."""
-    quarter = lambda h: F.slice(F.col(slots), h * 4 + 1, F.lit(4))
-    valid = lambda h: F.filter(quarter(h), lambda v: v >= 0)
-    total = lambda h: F.when(F.size(valid(h)) > 0, F.aggregate(valid(h), F.lit(0).cast("long"), lambda a, v: a + v))
-    hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.struct(h.alias("hour_local"), total(h).alias("volume"), (4 - F.size(valid(h))).alias("n_missing")))
-    return detector_days.select("*", F.inline(hours)).drop(slots)
+    hours = detector_days.select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour_local"))
+    quarters = [F.get(F.col(slots), F.col("hour_local") * 4 + k) for k in range(4)]
+    known = reduce(Column.__add__, [F.when(q >= 0, 1).otherwise(0) for q in quarters])
+    total = reduce(Column.__add__, [F.when(q >= 0, q).otherwise(0).cast("long") for q in quarters])
+    return hours.withColumns({"volume": F.when(known > 0, total), "n_missing": 4 - known}).drop(slots)
 
 
 def site_hours(detector_hours: DataFrame) -> DataFrame:

@@ -20,9 +20,9 @@ def road_class(volume: Column) -> Column:
     return F.when(volume < 20000, "low (<20k/day)").when(volume < 40000, "medium (20-40k/day)").otherwise("high (>40k/day)")
 
 
-def _middle(x: str) -> Column:
-    """Median of a group of a few rows, as an aggregate: the list of a closure's or a baseline's days is short."""
-    s = F.sort_array(F.collect_list(x))
+def _middle(xs: Column) -> Column:
+    """Median of a short list without nulls; null of none."""
+    s = F.sort_array(xs)
     return F.when(F.size(s) > 0, (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)
 
 
@@ -32,7 +32,7 @@ def against_baseline(days: DataFrame, keys: list[str], day: str, volume: str, le
     Each day is sent forward to the days it is a baseline of, so the lags are one equi-join.
     """
     ahead = days.select(*keys, F.explode(F.transform(F.array(*[F.lit(k) for k in lags]), lambda k: F.date_add(F.col(day), k))).alias(day), F.col(volume).alias("_prior"))
-    base = days.join(ahead, [*keys, day]).groupBy(*keys, day, volume).agg(_middle("_prior").alias("baseline"), F.count("*").alias("baseline_days"))
+    base = days.join(ahead, [*keys, day]).groupBy(*keys, day, volume).agg(_middle(F.collect_list("_prior")).alias("baseline"), F.count("*").alias("baseline_days"))
     return base.where((F.col("baseline_days") >= least_days) & (F.col("baseline") > 0)).withColumn("change", F.col(volume) / F.col("baseline") - 1)
 
 
@@ -46,8 +46,11 @@ def quantile_summary(changes: DataFrame, keys: list[str], least: int = 20) -> Da
 
 
 def per_closure(impacts: DataFrame, keys: list[str]) -> DataFrame:
-    """Median change and daily volume of each closure's site-days, with how many days and sites they are."""
-    return impacts.groupBy(*keys).agg(_middle("change").alias("change"), _middle("daily_volume").alias("site_daily_volume"), F.size(F.collect_set("date_local")).cast("long").alias("n_days"), F.size(F.collect_set("site_no")).cast("long").alias("n_sites"))
+    """Median change and daily volume of each closure's site-days, with how many days and sites they are. Days without a change are left out."""
+    known = impacts.where(F.col("change").isNotNull() & F.col("daily_volume").isNotNull())
+    days = known.groupBy(*keys).agg(F.collect_list(F.struct("change", "daily_volume", "date_local", "site_no")).alias("_days"))
+    n = lambda c: F.size(F.array_distinct(F.col(f"_days.{c}"))).cast("long")
+    return days.select(*keys, _middle(F.col("_days.change")).alias("change"), _middle(F.col("_days.daily_volume")).alias("site_daily_volume"), n("date_local").alias("n_days"), n("site_no").alias("n_sites"))
 
 
 def build(changes: DataFrame, least: int = 20) -> DataFrame:

@@ -31,7 +31,7 @@ def detector_slots(spark: SparkSession, d: str) -> DataFrame:
     e = t.table(spark, d, "events").select("event_type", "user_id", F.to_date("ts").alias("day"), (F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)).cast("int").alias("q"), F.floor("value").cast("long").alias("v"))
     e = e.groupBy("event_type", "user_id", "day", "q").agg(F.when(F.sum("v") % 7 == 0, -1).otherwise(F.sum("v")).alias("v"))
     m = e.groupBy("event_type", "user_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("q", "v"))).alias("m"))
-    return m.select(F.col("event_type").alias("site_no"), F.col("user_id").alias("detector"), F.col("day").alias("date_local"), F.lit("north").alias("region"), F.transform(F.sequence(F.lit(0), F.lit(95)), lambda q: F.try_element_at("m", q)).alias("slots"))
+    return m.select(F.col("event_type").alias("site_no"), F.col("user_id").alias("detector"), F.col("day").alias("date_local"), F.lit("north").alias("region"), F.array(*[F.try_element_at("m", F.lit(q)) for q in range(96)]).alias("slots"))
 
 
 def quarter_hours_to_site_hours(spark: SparkSession, d: str) -> DataFrame:
