@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from . import rating
 
 Estimate = Callable[[DataFrame], DataFrame]
@@ -22,7 +23,7 @@ class Models:
         self.known[name] = (estimate, covers)
 
     def estimate(self, requests: DataFrame, preferred: list[str], default: str) -> DataFrame:
-        """Each request by the first preferred model that covers it, else by the default; a result without the cars' part falls back to the default with a note."""
+        """Each request by the first preferred model that covers it, else by the default; a result without the cars' part, or whose model names no method, falls back to the default with a note."""
         choice = F.lit(default)
         for name in reversed(preferred):
             choice = F.when(self.known[name][1](), name).otherwise(choice)
@@ -31,9 +32,10 @@ class Models:
         for name in dict.fromkeys([*preferred, default]):
             part = self.known[name][0](chosen.where(F.col("model") == name)).withColumn("model", F.lit(name))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        bad = out.where("cars is null").select("request")
+        whole = F.col("cars").isNotNull() & (F.col("method").isNotNull() if "method" in out.columns else F.lit(True))
+        bad = out.where(~whole).select("request")
         again = self.known[default][0](chosen.join(bad, "request", "left_semi")).withColumns({"model": F.lit(default), "note": F.lit("the chosen model gave no result")})
-        return out.where("cars is not null").withColumn("note", F.lit(None).cast("string")).unionByName(again, allowMissingColumns=True)
+        return out.where(whole).withColumn("note", F.lit(None).cast("string")).unionByName(again, allowMissingColumns=True)
 
 
 #: Which point of a report a mode belongs to.
@@ -84,3 +86,30 @@ def replace_source(stored: DataFrame, fresh: DataFrame, source: str = "source")
 
 def valid_enum(value: Column, allowed: list[str]) -> Column:
     return F.coalesce(value.isin(*allowed), F.lit(False))
+
+
+def parsed_records(rows: DataFrame, json: str, schema: str, required: list[str], enums: dict[str, list[str]]) -> DataFrame:
+    """rows with the columns `parsed` (fields as the schema says) and `fault`: what is missing or not allowed, null for a sound record."""
+    out = rows.withColumn("parsed", F.from_json(json, f"{schema}, _unread string", {"columnNameOfCorruptRecord": "_unread"}))
+    fault = F.when(F.col("parsed").isNull() | F.col("parsed._unread").isNotNull(), "not a record")
+    for f in required:
+        fault = fault.when(F.col(f"parsed.{f}").isNull(), f"{f} is missing")
+    for f, allowed in enums.items():
+        fault = fault.when(F.col(f"parsed.{f}").isNotNull() & ~valid_enum(F.col(f"parsed.{f}"), allowed), f"{f} is not allowed")
+    return out.withColumn("fault", fault)
+
+
+def span(low: Column, typical: Column, high: Column, unit: str) -> Column:
+    """A range in words; one number when both ends are the same."""
+    whole = F.format_string(f"%s to %s {unit}, typically %s", text.thousands(low), text.thousands(high), text.thousands(typical))
+    return F.when(low == high, F.format_string(f"%s {unit}", text.thousands(typical))).otherwise(whole)
+
+
+def car_sentence(lanes_open: Column, diversions: str, queue: str, delay: str) -> Column:
+    """What drivers meet; diversions, queue and delay name structs of low, typical and high. The texts are fixed values."""
+    n = lambda c, k: text.about(F.col(f"{c}.{k}"))
+    closed = F.format_string("About %s vehicles must take the detour during the works (%s to %s).", *[n(diversions, k) for k in ("typical", "low", "high")])
+    forced = F.format_string("About %s vehicles are forced onto other routes (%s to %s). Queues can reach %s m.", *[n(diversions, k) for k in ("typical", "low", "high")], n(queue, "high"))
+    queued = F.format_string("Queues can reach %s m. Delay totals %s to %s vehicle-hours.", n(queue, "high"), n(delay, "low"), n(delay, "high"))
+    none = F.lit("No queue is expected with the lanes left open.")
+    return F.when(lanes_open == 0, closed).when(F.col(f"{diversions}.typical") > 0, forced).when(F.col(f"{queue}.high") > 0, queued).otherwise(none)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import grid, registration
+from ..operators import fits, grid, registration
 from . import tables as t
 
 P = f"WITH {t.POINTS}"
@@ -132,6 +132,35 @@ def refined_registration(spark: SparkSession, d: str) -> DataFrame:
     return registration.refine(p, best, 4)
 
 
+def _clouds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each scan placed against the next one; the height a twentieth of z for ground, its amount for walls; a brightness and a normal from the key."""
+    p = t.points(spark, d).withColumn("b", (F.col("pid") * 37 % 101).cast("double"))
+    normal = {"nx": F.when(F.col("pid") % 2 == 0, 0.6).otherwise(1.0), "ny": F.when(F.col("pid") % 2 == 0, 0.8).otherwise(0.0), "nz": F.lit(0.0)}
+    return p.withColumnRenamed("scan", "pair"), p.withColumn("pair", F.col("scan") - 1).drop("scan").withColumns(normal)
+
+
+def wall_fit(spark: SparkSession, d: str) -> DataFrame:
+    m, f = (c.withColumn("h", F.abs("z")) for c in _clouds(spark, d))
+    out = fits.wall_fit(m, f, 1.5, 0.3, 8, 5)
+    return out.select("pair", "wall_points", "wall_close", F.round("wall_fit", 9).alias("wall_fit"))
+
+
+WALL_SQL = f"""{P}, m AS (SELECT a.scan AS pair, a.pid, b.pid AS fid, abs(b.z) BETWEEN 0.3 AND 3 AS wall, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2,
+abs((a.x - b.x) * CASE WHEN b.pid % 2 = 0 THEN 0.6::DOUBLE ELSE 1 END + (a.y - b.y) * CASE WHEN b.pid % 2 = 0 THEN 0.8::DOUBLE ELSE 0 END) AS off FROM points a JOIN points b ON b.scan = a.scan + 1 WHERE abs(a.z) BETWEEN 0.3 AND 3),
+n AS (SELECT * FROM m WHERE d2 <= 2.25 QUALIFY row_number() OVER (PARTITION BY pair, pid ORDER BY d2, fid) <= 8), o AS (SELECT pair, pid, min(off) AS off FROM n WHERE wall GROUP BY 1, 2)
+SELECT pair, count(*) AS wall_points, count(*) FILTER (off < 0.3::DOUBLE) AS wall_close, round(count(*) FILTER (off < 0.3::DOUBLE) / count(*), 9) AS wall_fit FROM o GROUP BY 1 HAVING count(*) >= 5"""
+
+
+def ground_texture(spark: SparkSession, d: str) -> DataFrame:
+    m, f = (c.withColumn("h", F.col("z") / 20) for c in _clouds(spark, d))
+    return fits.ground_texture(m, f, 0.8, 5).select("pair", "texture_cells", F.round("ncc", 6).alias("ncc"))
+
+
+TEXTURE_SQL = f"""{P}, p AS (SELECT *, CAST(pid * 37 % 101 AS DOUBLE) AS b FROM points), k AS (SELECT scan AS pair, min(x) AS x0, min(y) AS y0 FROM p GROUP BY 1), a AS (SELECT scan AS pair, * FROM p UNION ALL SELECT scan - 1, * FROM p),
+c AS (SELECT a.pair, a.scan = a.pair AS own, floor((x - x0) / 0.8::DOUBLE) AS cx, floor((y - y0) / 0.8::DOUBLE) AS cy, avg(b) AS b FROM a JOIN k ON k.pair = a.pair WHERE abs(z / 20) <= 0.1 GROUP BY ALL)
+SELECT m.pair, count(*) AS texture_cells, round(coalesce(corr(f.b, m.b), 0), 6) AS ncc FROM c m JOIN c f ON m.pair = f.pair AND m.cx = f.cx AND m.cy = f.cy WHERE m.own AND NOT f.own GROUP BY 1 HAVING count(*) >= 5"""
+
+
 QUERIES = {
     "grid_minimum": (grid_minimum, f"{P}, c AS (SELECT *, {CELLS} FROM points) SELECT scan, cx, cy, count(*) OVER (PARTITION BY scan, cx, cy) AS n, z, pid, x, y FROM c QUALIFY row_number() OVER (PARTITION BY scan, cx, cy ORDER BY z, pid) = 1"),
     "density_filter": (density_filter, DENSITY_SQL),
@@ -152,5 +181,7 @@ QUERIES = {
     "coarse_registration": (coarse_registration, None),
     "refined_registration": (refined_registration, None),
     "height_over_ground": (height_over_ground, HEIGHT_SQL),
+    "wall_fit": (wall_fit, WALL_SQL),
+    "ground_texture": (ground_texture, TEXTURE_SQL),
     "main_direction": (main_direction, DIRECTION_SQL),
 }

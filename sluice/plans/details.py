@@ -249,6 +249,38 @@ AADT_SQL = places.SEGMENT_SQL.replace("SELECT id, s_suppkey, round(dist, 3) AS d
 a AS (SELECT l_suppkey, sum(l_quantity) AS aadt, string_agg(DISTINCT l_linestatus, ' + ' ORDER BY l_linestatus) AS dirs FROM lineitem GROUP BY 1)
 SELECT id, l_suppkey AS segment_id, round(aadt, 2) AS aadt, dirs AS aadt_directions FROM n JOIN a ON a.l_suppkey = n.s_suppkey"""
 
+def car_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as results of the cars' part."""
+    k = F.col("o_orderkey")
+    rng = lambda x: F.struct(F.floor(x / 2).cast("double").alias("low"), x.cast("double").alias("typical"), (x * 3).cast("double").alias("high"))
+    o = t.table(spark, d, "orders").select(k.alias("request"), (k % 4).alias("lanes"), rng(F.when(k % 3 == 0, k % 7919).otherwise(0)).alias("div"), rng(F.when(k % 5 != 0, k % 501).otherwise(0)).alias("queue"), rng(k % 2003).alias("delay"))
+    return o.select("request", report.car_sentence(F.col("lanes"), "div", "queue", "delay").alias("sentence"), report.span(F.col("delay.low"), F.col("delay.typical"), F.col("delay.high"), "vehicle-hours").alias("delay"))
+
+
+def _said(x: str) -> str:
+    return f"format('{{:,}}', CAST(CASE WHEN {x} >= 1000 THEN floor({x} / 100 + 0.5) * 100 WHEN {x} >= 100 THEN floor({x} / 10 + 0.5) * 10 ELSE {x} END AS BIGINT))"
+
+
+SENTENCES_SQL = f"""WITH a AS (SELECT o_orderkey AS request, o_orderkey % 4 AS lanes, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7919 ELSE 0 END AS DOUBLE) AS dt, CAST(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 501 ELSE 0 END AS DOUBLE) AS qt, CAST(o_orderkey % 2003 AS DOUBLE) AS lt FROM orders),
+b AS (SELECT *, floor(dt / 2) AS dl, dt * 3 AS dh, qt * 3 AS qh, floor(lt / 2) AS ll, lt * 3 AS lh FROM a)
+SELECT request, CASE WHEN lanes = 0 THEN 'About ' || {_said('dt')} || ' vehicles must take the detour during the works (' || {_said('dl')} || ' to ' || {_said('dh')} || ').'
+WHEN dt > 0 THEN 'About ' || {_said('dt')} || ' vehicles are forced onto other routes (' || {_said('dl')} || ' to ' || {_said('dh')} || '). Queues can reach ' || {_said('qh')} || ' m.'
+WHEN qh > 0 THEN 'Queues can reach ' || {_said('qh')} || ' m. Delay totals ' || {_said('ll')} || ' to ' || {_said('lh')} || ' vehicle-hours.' ELSE 'No queue is expected with the lanes left open.' END AS sentence,
+CASE WHEN ll = lh THEN format('{{:,}}', CAST(lt AS BIGINT)) || ' vehicle-hours' ELSE format('{{:,}}', CAST(ll AS BIGINT)) || ' to ' || format('{{:,}}', CAST(lh AS BIGINT)) || ' vehicle-hours, typically ' || format('{{:,}}', CAST(lt AS BIGINT)) END AS delay FROM b"""
+
+
+def parsed_records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as JSON plans: some are no JSON, some lack the street, some have a priority that no plan may have."""
+    k = F.col("o_orderkey")
+    plan = F.to_json(F.struct(F.when(k % 7 != 0, F.col("o_orderstatus")).alias("street"), F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").alias("volume")))
+    rows = t.table(spark, d, "orders").select("o_orderkey", F.when(k % 11 == 0, "no plan").otherwise(plan).alias("json"))
+    out = report.parsed_records(rows, "json", "street string, kind string, volume double", ["street"], {"kind": ["1-URGENT", "2-HIGH", "3-MEDIUM"]})
+    return out.select("o_orderkey", "fault")
+
+
+PARSED_SQL = "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'not a record' WHEN o_orderkey % 7 = 0 THEN 'street is missing' WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'kind is not allowed' END AS fault FROM orders"
+
+
 QUERIES = {
     "detector_weekday_medians": (detector_weekday_medians, MEDIANS_SQL),
     "site_skip_reasons": (site_skip_reasons, SKIP_SQL),
@@ -259,6 +291,8 @@ QUERIES = {
     "report_points": (report_points, POINTS_SQL),
     "report_records": (report_records, RECORDS_SQL),
     "report_slots": (report_slots, "SELECT o_custkey AS request, o_orderkey AS slot, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END, c_acctbal) AS c_acctbal, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "car_sentences": (car_sentences, SENTENCES_SQL),
+    "parsed_records": (parsed_records, PARSED_SQL),
     "model_choice": (model_choice, CHOICE_SQL),
     "latest_snapshot_rows": (latest_snapshot_rows, "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1"),
     "replaced_source": (replaced_source, "SELECT o_orderstatus AS source, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END), 2) AS v FROM orders GROUP BY 1"),
