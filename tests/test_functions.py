@@ -51,3 +51,28 @@ def test_projections(spark):
 def test_geh(spark):
     r = one(spark, geo.geh(F.lit(0.0), F.lit(0.0)), geo.geh(F.lit(110.0), F.lit(100.0)))
     assert r[0] == 0 and r[1] == pytest.approx((2 * 100 / 210) ** 0.5)
+
+
+def test_hour_slots_without_counts(spark):
+    from sluice.operators import exposure
+
+    days = [("full", [1] * 96), ("odd", [None, -1, 5, 7] + [None] * 92), ("short", [2, 2, 2]), ("empty", []), ("none", None)]
+    out = exposure.hour_slots(spark.createDataFrame(days, "detector string, slots array<int>")).where("hour_local < 2").collect()
+    got = {(r.detector, r.hour_local): (r.volume, r.n_missing) for r in out}
+    assert got[("full", 0)] == got[("full", 1)] == (4, 0)
+    assert got[("odd", 0)] == (12, 2) and got[("odd", 1)] == (None, 4)
+    assert got[("short", 0)] == (6, 1)
+    assert all(got[(d, h)] == (None, 4) for d in ("empty", "none") for h in (0, 1))
+
+
+def test_block_sections_by_hand(spark):
+    from sluice.operators import sections
+
+    a, b = ("Main", "east"), ("Cross", "north")
+    edges = [("a1", 1, 2, *a), ("a2", 2, 3, *a), ("a3", 3, 4, *a), ("b1", 1, 9, *b), ("r1", 4, 5, None, None), ("r2", 6, 5, "", None), ("c1", 6, 7, "Far", "north"), ("lone", 20, 21, "Lane", None)]
+    rows = spark.createDataFrame(edges, "edge string, src int, dst int, name string, way string")
+    out = {r.edge: (r.behind, r.ahead) for r in sections.block_sections(rows).collect()}
+    assert out["a1"] == out["a2"] == out["a3"] == ("Cross", "Far")
+    assert out["b1"] == ("Main", sections.OUTSIDE)
+    assert "lone" not in out  # the study area's edge at both ends
+    assert sections.block_sections(rows.limit(0)).count() == 0
