@@ -9,11 +9,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geo
+from ..functions import geo, stats
+from . import graph
 
-# Heights of walls and of ground, metres.
+# Heights of walls, of ground, of open ground and of objects, metres.
 WALL = (0.3, 3.0)
 GROUND = 0.1
+OPEN = 0.08
+SOLID = (0.3, 2.0)
+AXES = ("x", "y", "z")
+CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+
+def _met(m: DataFrame, f: DataFrame, radius: float) -> DataFrame:
+    """Moving points (pair, pid, x, y, z) with the fixed ones (pair, fid, fx, fy, fz) within the radius and d2, the squared distance.
+
+    An equi-join on grid cells, each fixed point filed in its own cell alone.
+    """
+    for c in AXES:
+        m = m.select("*", F.explode(F.array(*[geo.cell(F.col(c), radius) + k for k in (-1, 0, 1)])).alias(f"c{c}"))
+    f = f.select("*", *[geo.cell(F.col(f"f{c}"), radius).alias(f"c{c}") for c in AXES])
+    d = [F.col(c) - F.col(f"f{c}") for c in AXES]
+    return m.join(f, ["pair", "cx", "cy", "cz"]).withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).where(F.col("d2") <= radius * radius)
+
+
+def _nearest(moving: DataFrame, fixed: DataFrame, radius: float, own: tuple[str, ...] = (), theirs: tuple[str, ...] = ()) -> DataFrame:
+    """pair, pid, x, y, z and `own` of each moving point with the nearest fixed one within the radius (fx, fy, fz, d2, theirs; the lesser pid among equals)."""
+    m = moving.select("pair", "pid", *AXES, *own)
+    f = fixed.select("pair", F.col("pid").alias("fid"), *[F.col(c).alias(f"f{c}") for c in AXES], *[F.col(c).alias(f"f{c}") for c in theirs])
+    kept = F.struct("d2", "fid", *[f"f{c}" for c in (*AXES, *theirs)], *AXES, *own)
+    return _met(m, f, radius).groupBy("pair", "pid").agg(F.min(kept).alias("n")).select("pair", "pid", "n.*")
 
 
 def wall_fit(moving: DataFrame, fixed: DataFrame, radius: float = 0.5, tolerance: float = 0.05, nearest: int = 8, least: int = 100) -> DataFrame:
@@ -21,16 +47,12 @@ def wall_fit(moving: DataFrame, fixed: DataFrame, radius: float = 0.5, tolerance
 
     moving: pair, pid, x, y, z, h, placed. fixed: pair, pid, x, y, z, h and the normal nx, ny, nz. Of the `nearest` fixed
     points within the radius (the lesser pid among equals) the wall ones count, the one whose plane is closest. Fewer than
-    `least` such points: no row. An equi-join on grid cells, each fixed point filed in its own cell alone.
+    `least` such points: no row.
     """
-    axes = ("x", "y", "z")
-    around = lambda c: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: geo.cell(F.col(c), radius) + d)).alias(f"c{c}")
-    m = moving.where(F.col("h").between(*WALL)).select("pair", "pid", *axes)
-    for c in axes:
-        m = m.select("*", around(c))
-    f = fixed.select("pair", F.col("pid").alias("fid"), *[F.col(c).alias(f"f{c}") for c in axes], "nx", "ny", "nz", F.col("h").between(*WALL).alias("wall"), *[geo.cell(F.col(c), radius).alias(f"c{c}") for c in axes])
-    d = [F.col(c) - F.col(f"f{c}") for c in axes]
-    met = m.join(f, ["pair", "cx", "cy", "cz"]).withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).where(F.col("d2") <= radius * radius)
+    m = moving.where(F.col("h").between(*WALL)).select("pair", "pid", *AXES)
+    f = fixed.select("pair", F.col("pid").alias("fid"), *[F.col(c).alias(f"f{c}") for c in AXES], "nx", "ny", "nz", F.col("h").between(*WALL).alias("wall"))
+    met = _met(m, f, radius)
+    d = [F.col(c) - F.col(f"f{c}") for c in AXES]
     rank = F.row_number().over(Window.partitionBy("pair", "pid").orderBy("d2", "fid"))
     near = met.withColumn("rank", rank).where((F.col("rank") <= nearest) & F.col("wall"))
     off = near.groupBy("pair", "pid").agg(F.min(F.abs(d[0] * F.col("nx") + d[1] * F.col("ny") + d[2] * F.col("nz"))).alias("off"))
@@ -55,3 +77,89 @@ def ground_texture(moving: DataFrame, fixed: DataFrame, cell: float = 0.1, least
     ncc = F.corr("fixed", "moving")
     out = both.groupBy("pair").agg(F.count("*").alias("texture_cells"), F.when(~F.isnan(ncc), ncc).alias("ncc"))
     return out.where(F.col("texture_cells") >= least).withColumn("ncc", F.coalesce("ncc", F.lit(0.0)))
+
+
+def structure_share(moving: DataFrame, fixed: DataFrame, tolerance: float = 0.07, radius: float = 1.0, band: tuple[float, float] = (0.3, 2.5)) -> DataFrame:
+    """pair, structure_points, matched and near: moving points between the heights of `band`, the shares with a fixed one within the tolerance and the radius."""
+    m, f = (c.where((F.col("h") > band[0]) & (F.col("h") < band[1])) for c in (moving, fixed))
+    met = _nearest(m, f, radius).groupBy("pair").agg(F.count("*").alias("_near"), F.count(F.when(F.col("d2") < tolerance * tolerance, 1)).alias("_matched"))
+    out = m.groupBy("pair").agg(F.count("*").alias("structure_points")).join(met, "pair", "left")
+    return out.select("pair", "structure_points", *[(F.coalesce(F.col(f"_{c}"), F.lit(0)) / F.col("structure_points")).alias(c) for c in ("matched", "near")])
+
+
+def vertical_agreement(moving: DataFrame, fixed: DataFrame, tolerance: float = 0.06, radius: float = 0.5, flat: float = 0.5, parallel: float = 0.8) -> DataFrame:
+    """pair, vertical_points, agree and median_distance: moving points on vertical surfaces (normals nx, ny, nz), the share whose nearest fixed
+    point is within the tolerance and parallel, and the median distance of those that have one within the radius."""
+    normal = ("nx", "ny", "nz")
+    m = moving.where(F.abs("nz") < flat)
+    dot = sum((F.col(c) * F.col(f"f{c}") for c in normal[1:]), F.col("nx") * F.col("fnx"))
+    met = _nearest(m, fixed, radius, normal, normal).withColumns({"_d": F.sqrt("d2"), "_ok": (F.col("d2") < tolerance * tolerance) & (F.abs(dot) > parallel)})
+    middle = stats.placed(met, ["pair"], F.col("_d")).groupBy("pair").agg(stats.quantile(0.5).alias("median_distance"))
+    out = m.groupBy("pair").agg(F.count("*").alias("vertical_points")).join(met.groupBy("pair").agg(F.count_if("_ok").alias("_n")), "pair", "left").join(middle, "pair", "left")
+    return out.select("pair", "vertical_points", (F.coalesce("_n", F.lit(0)) / F.col("vertical_points")).alias("agree"), "median_distance")
+
+
+def plane_distances(moving: DataFrame, fixed: DataFrame, radius: float = 0.4, tolerance: float = 0.05) -> DataFrame:
+    """pair, surface (wall or ground), points, median_off and close: distance of moving points to the plane of the nearest fixed point of the same surface."""
+    surface = F.when((F.col("h") > WALL[0]) & (F.col("h") < WALL[1]), "wall").when(F.abs("h") < WALL[0], "ground").alias("surface")
+    m, f = (c.select("*", surface).where("surface is not null").withColumn("pair", F.struct("pair", "surface")) for c in (moving, fixed))
+    off = F.abs(sum(((F.col(c) - F.col(f"f{c}")) * F.col(f"fn{c}") for c in AXES[1:]), (F.col("x") - F.col("fx")) * F.col("fnx")))
+    met = _nearest(m, f, radius, (), ("nx", "ny", "nz")).select("pair", off.alias("off"))
+    out = stats.placed(met, ["pair"], F.col("off")).groupBy("pair").agg(F.max("size").alias("points"), stats.quantile(0.5).alias("median_off"), stats.share_below(tolerance).alias("close"))
+    return out.select("pair.pair", "pair.surface", "points", "median_off", "close")
+
+
+def _cells(moving: DataFrame, fixed: DataFrame, cell: float) -> DataFrame:
+    """Per pair and cell within a cell of the moving scan: points of ground and of objects of both (g, o, mg, mo) and of the fixed one at all.
+
+    Cells are counted from the moving scan's least x and y.
+    """
+    box = moving.groupBy("pair").agg(*[f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))])
+    at = {c: F.floor((F.col(c) - F.col(f"{c}0")) / cell) for c in "xy"}
+    last = {c: F.ceil((F.col(f"{c}1") - F.col(f"{c}0")) / cell) + 1 for c in "xy"}
+    ground, solid = F.abs("h") < OPEN, (F.col("h") > SOLID[0]) & (F.col("h") < SOLID[1])
+    both = fixed.select("pair", "x", "y", "h", F.lit(False).alias("m")).unionByName(moving.select("pair", "x", "y", "h", F.lit(True).alias("m"))).join(box, "pair")
+    both = both.where(at["x"].between(-1, last["x"]) & at["y"].between(-1, last["y"]))
+    n = {"g": ground & ~F.col("m"), "o": solid & ~F.col("m"), "mg": ground & F.col("m"), "mo": solid & F.col("m"), "seen": ~F.col("m")}
+    return both.groupBy("pair", at["x"].alias("cx"), at["y"].alias("cy")).agg(*[F.count_if(e).alias(k) for k, e in n.items()])
+
+
+def _spread(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """Cells, and those next to one, with their own counts, the greatest of the neighbours (d_) and how many of the cross of five have ground (x_)."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
+    out = cells.withColumn("_s", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("_s.i"), "cy": F.col("cy") + F.col("_s.j")})
+    here, cross = (F.col("_s.i") == 0) & (F.col("_s.j") == 0), F.abs("_s.i") + F.abs("_s.j") <= 1
+    own = [F.max(F.when(here, F.col(c)).otherwise(0)).alias(c) for c in ("g", "o", "mg", "mo")]
+    return out.groupBy("pair", "cx", "cy").agg(*own, *[F.max(c).alias(f"d_{c}") for c in ("o", "mo", "seen")], *[F.count_if(cross & (F.col(c) > 0)).alias(f"x_{c}") for c in ("g", "mg")])
+
+
+def occupancy(moving: DataFrame, fixed: DataFrame, cell: float = 0.1, least: tuple[int, int] = (3, 2)) -> DataFrame:
+    """pair, agree and conflict: object cells on or beside one of the other scan, and on what the other sees as ground (`least` points fixed, moving)."""
+    c = _spread(_cells(moving, fixed, cell), CROSS)
+    agree = [(F.col("mo") > 0) & (F.col("d_o") > 0), (F.col("o") > 0) & (F.col("d_mo") > 0)]
+    conflict = [(F.col("mo") > 0) & (F.col("g") >= least[0]) & (F.col("d_o") == 0), (F.col("o") > 0) & (F.col("mg") >= least[1]) & (F.col("d_mo") == 0)]
+    return c.groupBy("pair").agg(*[(F.count_if(a) + F.count_if(b)).alias(n) for n, (a, b) in (("agree", agree), ("conflict", conflict))])
+
+
+def consistency(moving: DataFrame, fixed: DataFrame, cell: float = 0.1, compact: int = 40, least: int = 20) -> DataFrame:
+    """pair, agree, conflict, consistency, conflict_rate, object_agree, object_conflict and objects: objects of a scan against open ground of the other.
+
+    An object cell agrees on or beside one of the other scan; it conflicts on confirmed ground (a cell whose four neighbours
+    are ground too). Objects are connected cells (by sides), compact with `compact` of them at most: one agrees when half of
+    its cells do, else conflicts when half lie on confirmed ground. Fewer than `least` cells that agree or conflict: no row.
+    """
+    c = _spread(_cells(moving, fixed, cell), AROUND).withColumns({"_g": F.col("x_g") == 5, "_mg": F.col("x_mg") == 5})
+    on, m_on = F.col("d_o") > 0, F.col("d_mo") > 0
+    has, m_has = F.col("o") > 0, F.col("mo") > 0
+    n = c.groupBy("pair").agg((F.count_if(m_has & on) + F.count_if(has & m_on)).alias("agree"), (F.count_if(m_has & F.col("_g") & ~on) + F.count_if(has & F.col("_mg") & ~m_on)).alias("conflict"), F.count_if(m_has & (F.col("d_seen") > 0)).alias("_inside"))
+    sides = F.array(F.struct(F.lit(True).alias("m"), m_has.alias("has"), on.alias("on"), F.col("_g").alias("ground")), F.struct(F.lit(False).alias("m"), has.alias("has"), m_on.alias("on"), F.col("_mg").alias("ground")))
+    objects = c.select("pair", "cx", "cy", F.inline(sides)).where("has").select(F.struct("pair", "m", "cx", "cy").alias("node"), "on", (~F.col("on") & F.col("ground")).alias("open"))
+    ends = F.array(*[F.struct("node.pair", "node.m", (F.col("node.cx") + i).alias("cx"), (F.col("node.cy") + j).alias("cy")) for i, j in ((0, 0), (1, 0), (0, 1))])
+    edges = objects.select(F.col("node").alias("src"), F.explode(ends).alias("dst")).join(objects.select(F.col("node").alias("dst")), "dst").select("src", "dst")
+    each = objects.join(graph.blocks(edges), "node").groupBy("block").agg(F.count("*").alias("cells"), F.count_if("on").alias("on"), F.count_if("open").alias("open")).where(F.col("cells") <= compact)
+    agrees, conflicts = 2 * F.col("on") >= F.col("cells"), 2 * F.col("open") >= F.col("cells")
+    judged = each.groupBy("block.pair").agg(F.count_if(agrees).alias("object_agree"), F.count_if(~agrees & conflicts).alias("object_conflict"))
+    both, all_objects = F.col("agree") + F.col("conflict"), F.col("object_agree") + F.col("object_conflict")
+    out = n.where(both >= least).join(judged, "pair", "left").fillna(0, ["object_agree", "object_conflict"])
+    rate = F.when(F.col("_inside") > 0, F.least(F.lit(1.0), F.col("conflict") / F.col("_inside"))).otherwise(0.0)
+    return out.select("pair", "agree", "conflict", (F.col("agree") / both).alias("consistency"), rate.alias("conflict_rate"), "object_agree", "object_conflict", F.when(all_objects >= 3, F.col("object_agree") / all_objects).alias("objects"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clouds, details, forecasts, places, simulations, streets, traffic
+from . import clouds, details, forecasts, places, scenes, simulations, streets, traffic
 
-MODULES = (traffic, places, forecasts, simulations, streets, clouds, details)
+MODULES = (traffic, places, forecasts, simulations, streets, clouds, scenes, details)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

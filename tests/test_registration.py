@@ -94,3 +94,23 @@ def test_all_neighbouring_scans_are_registered(spark, sf):
     assert len(want) > 3
     for query in (clouds.coarse_registration, clouds.refined_registration):
         assert {(r.fixed, r.moving) for r in query(spark, sf).select("fixed", "moving").collect()} == want
+
+
+def test_lines_along_step_edges(spark):
+    from sluice.operators import scene
+
+    rng = np.random.default_rng(5)
+    kerb, other = np.column_stack([np.full(600, 40), np.arange(600)]), np.column_stack([70 + np.arange(400) // 10, np.arange(400)])
+    noise = rng.integers(0, 600, (60, 2))
+    df = spark.createDataFrame([("a", *map(int, p)) for p in np.concatenate([kerb, other, noise])], "scan string, cx long, cy long")
+    lines = scene.edge_lines(df, 0.05, draws=400).orderBy("line").collect()
+    assert [round(r.angle) for r in lines] == [90, 84] and abs(lines[0].x - 2.025) < 0.02 and lines[0].points >= 600
+
+
+def test_step_edges_find_a_kerb(spark):
+    from sluice.operators import scene
+
+    x, y = np.meshgrid(np.arange(0, 2, 0.025), np.arange(0, 2, 0.025))
+    df = spark.createDataFrame([("a", k, float(a) + 0.01, float(b) + 0.01, 0.12 if a >= 1 else 0.0) for k, (a, b) in enumerate(zip(x.ravel(), y.ravel(), strict=True))], "scan string, pid long, x double, y double, z double")
+    rows = scene.step_edges(df).collect()
+    assert rows and {r.cx for r in rows} <= {18, 19, 20, 21} and len({r.cy for r in rows}) > 25
