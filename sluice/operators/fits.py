@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, stats
+from ..functions.recovery import cut
 from . import graph
 
 # Heights of walls, of ground, of open ground and of objects, metres.
@@ -148,7 +149,7 @@ def consistency(moving: DataFrame, fixed: DataFrame, cell: float = 0.1, compact:
     are ground too). Objects are connected cells (by sides), compact with `compact` of them at most: one agrees when half of
     its cells do, else conflicts when half lie on confirmed ground. Fewer than `least` cells that agree or conflict: no row.
     """
-    c = _spread(_cells(moving, fixed, cell), AROUND).withColumns({"_g": F.col("x_g") == 5, "_mg": F.col("x_mg") == 5})
+    c = cut(_spread(_cells(moving, fixed, cell), AROUND)).withColumns({"_g": F.col("x_g") == 5, "_mg": F.col("x_mg") == 5})
     on, m_on = F.col("d_o") > 0, F.col("d_mo") > 0
     has, m_has = F.col("o") > 0, F.col("mo") > 0
     n = c.groupBy("pair").agg((F.count_if(m_has & on) + F.count_if(has & m_on)).alias("agree"), (F.count_if(m_has & F.col("_g") & ~on) + F.count_if(has & F.col("_mg") & ~m_on)).alias("conflict"), F.count_if(m_has & (F.col("d_seen") > 0)).alias("_inside"))

@@ -47,7 +47,7 @@ def dead_ends(edges: DataFrame) -> DataFrame:
 
 def blocks(edges: DataFrame, most: int = 100) -> DataFrame:
     """node and block (its smallest node) of the undirected components of edges (src, dst), by least label with pointer jumps."""
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct()
+    both = _cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct())
     label = _cut(both.select(F.col("u").alias("node")).distinct().withColumn("block", F.col("node")))
     for _ in range(most):
         near = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("block").alias("near"))

@@ -299,9 +299,101 @@ def placement(points: np.ndarray, lines: np.ndarray, prior: tuple[float, float,
     return best
 
 
+def icp_2d(features: list[tuple[np.ndarray, np.ndarray, float]], start: tuple[np.ndarray, np.ndarray], rounds: int = 40, reach: tuple[float, float] = (2.0, 0.3)) -> tuple[np.ndarray, np.ndarray]:
+    """Rotation and shift that lay feature points on map points of their kind: (points, map points, weight) each, from a starting pose.
+
+    The reach shrinks evenly over the first six tenths of the rounds.
+    """
+    r, t = start
+    for k in range(rounds):
+        radius = reach[0] + (reach[1] - reach[0]) * min(1.0, k / (rounds * 0.6))
+        own, theirs, weights = [], [], []
+        for p, q, w in features:
+            if not len(p) or not len(q):
+                continue
+            y = p @ r.T + t
+            at = nearest(y, q, radius)[1][:, 0]
+            own.append(y[at >= 0])
+            theirs.append(q[at[at >= 0]])
+            weights.append(np.full((at >= 0).sum(), w))
+        if not own or np.concatenate(weights).sum() < 5:
+            break
+        turned, shift = rigid_2d(np.concatenate(own), np.concatenate(theirs), np.concatenate(weights))
+        r, t = turned @ r, turned @ t + shift
+        if abs(np.arctan2(turned[1, 0], turned[0, 0])) < 1e-6 and np.hypot(*shift) < 1e-4:
+            break
+    return r, t
+
+
+def map_fit(features: list[tuple[np.ndarray, np.ndarray, float]], r: np.ndarray, t: np.ndarray, rules: list[tuple[float, float, float]]) -> tuple[float | None, float | None, list[float | None]]:
+    """Weighted mean of truncated distances, of kernel costs 1 - exp(-d^2 / sigma^2), and each kind's share nearer than its limit.
+
+    rules: (truncation, sigma, limit) of each kind. A kind without points or map points counts nothing.
+    """
+    total = mean = cost = 0.0
+    shares: list[float | None] = []
+    for (p, q, w), (most, sigma, limit) in zip(features, rules, strict=True):
+        if not len(p) or not len(q):
+            shares.append(None)
+            continue
+        d = np.minimum(nearest(p @ r.T + t, q, most)[0][:, 0], most)
+        mean, cost, total = mean + w * d.mean(), cost + w * (1 - np.exp(-((d / sigma) ** 2))).mean(), total + w
+        shares.append(float((d < limit).mean()))
+    return (mean / total if total else None), (cost / total if total else None), shares
+
+
+# Weights, truncations, kernel widths and limits of walls and poles; shares that accept a placement.
+WEIGHTS, MAP_RULES = (1.0, 0.5), [(1.5, 0.45, 0.3), (2.0, 1.2, 0.8)]
+POLES_OK, LEAST_POLES, WALLS_OK, RUNNER_UP = 0.4, 3, 0.6, 1.15
+
+
+def on_map(walls: np.ndarray, poles: np.ndarray, map_walls: np.ndarray, map_poles: np.ndarray, starts: list[tuple[float, float, float]], most_shift: float = 25.0, most_yaw: float = 35.0) -> dict:
+    """The best placement on the map from starting poses (dx, dy, degrees about the features' centre), and whether to apply it.
+
+    Applied when enough poles stand at mapped ones, or most walls lie on mapped ones and no pose elsewhere is nearly as
+    good; within the limits of shift and heading; and better than where the scan was.
+    """
+    if (len(walls) < 40 and len(poles) < 6) or (len(map_walls) < 20 and len(map_poles) < 20):
+        return {"applied": False, "dx": 0.0, "dy": 0.0, "degrees": 0.0, "mean_m": None, "walls": None, "poles": None, "why": "too little to match"}
+    features = [(walls, map_walls, WEIGHTS[0]), (poles, map_poles, WEIGHTS[1])]
+    centre = np.concatenate([walls, poles]).mean(axis=0)
+    tried = []
+    for dx, dy, degrees in starts:
+        a = np.radians(degrees)
+        r = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
+        r, t = icp_2d(features, (r, centre - r @ centre + [dx, dy]))
+        mean, cost, shares = map_fit(features, r, t, MAP_RULES)
+        shift, yaw = r @ centre + t - centre, float(np.degrees(np.arctan2(r[1, 0], r[0, 0])))
+        tried.append((9.0 if cost is None else cost, mean, shares, shift, yaw))
+    penalty = lambda f: f[0] + 0.3 * (np.hypot(*f[3]) / 15) ** 2 + 0.15 * (f[4] / 25) ** 2
+    tried.sort(key=penalty)
+    cost, mean, (on_walls, at_poles), shift, yaw = best = tried[0]
+    rival = any(np.hypot(*(f[3] - shift)) > 2 and penalty(f) < penalty(best) * RUNNER_UP for f in tried[1:])
+    good = (at_poles is not None and len(poles) >= LEAST_POLES and at_poles >= POLES_OK) or (on_walls is not None and on_walls >= WALLS_OK and not rival)
+    before = map_fit(features, np.eye(2), np.zeros(2), MAP_RULES)[1]
+    why = "walls and poles do not line up" if not good else "too far" if np.hypot(*shift) > most_shift + 3 or abs(yaw) > most_yaw + 3 else "no better than before" if before is not None and cost >= before else ""
+    return {"applied": not why, "dx": float(shift[0]), "dy": float(shift[1]), "degrees": yaw, "mean_m": mean, "walls": on_walls, "poles": at_poles, "why": why}
+
+
 # ---- over DataFrames ----
 
 
+def placed_on_map(features: DataFrame, mapped: DataFrame, starts: list[tuple[float, float, float]]) -> DataFrame:
+    """One row per site: its placement on the map (see on_map). features and mapped: site, kind (wall or pole), x, y.
+
+    A site's wall cells and the map's points around it are one task; both are bounded by the site's extent.
+    """
+    kind = features.schema["site"].dataType.simpleString()
+    both = features.select("site", "kind", "x", "y", F.lit(True).alias("own")).unionByName(mapped.select("site", "kind", "x", "y", F.lit(False).alias("own")).join(features.select("site").distinct(), "site", "left_semi"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["x", "y"])
+        of = lambda own, k: rows.loc[(rows["own"] == own) & (rows["kind"] == k), ["x", "y"]].to_numpy(float)
+        return pd.DataFrame([{"site": key[0], **on_map(of(True, "wall"), of(True, "pole"), of(False, "wall"), of(False, "pole"), starts)}])
+
+    return both.groupBy("site").applyInPandas(run, f"site {kind}, applied boolean, dx double, dy double, degrees double, mean_m double, walls double, poles double, why string")
+
+
 def with_normals(points: DataFrame, k: int = 10, radius: float = 0.3, tile: float = 10.0) -> DataFrame:
     """points with nx, ny, nz: tiles with a halo of the radius, so no task holds a scan."""
     c = lambda e: F.floor(e / tile)
@@ -319,9 +411,10 @@ def with_normals(points: DataFrame, k: int = 10, radius: float = 0.3, tile: floa
     return spread.groupBy("scan", "tx", "ty").applyInPandas(run, f"scan {kind}, pid long, x double, y double, z double, nx double, ny double, nz double")
 
 
-def coarse_search(points: DataFrame, pairs: DataFrame, yaws: list[float], cell: float = 0.2, n: int = 3) -> DataFrame:
+def coarse_search(points: DataFrame, pairs: DataFrame, yaws: list[float], cell: float = 0.2, n: int = 3, most_shift: float | None = None) -> DataFrame:
     """Candidate poses of pairs (fixed, moving): one task per pair and heading correlates both feature channels.
 
+    most_shift: poses that move the moving scan's centre farther are no candidates.
     Scans are voxel samples of bounded size here; a pair's points go to each of its headings' tasks.
     """
     kind = points.schema["scan"].dataType.simpleString()
@@ -338,6 +431,11 @@ def coarse_search(points: DataFrame, pairs: DataFrame, yaws: list[float], cell:
             h1, e1, o1 = features(one, cell)
             h2, e2, o2 = features(two, cell)
             score = correlate(h1, h2) + correlate(e1, e2)
+            if most_shift is not None:
+                cx, cy = two[:, :2].mean(axis=0) - xyz[side == 1, :2].mean(axis=0)
+                dx = o1[0] - o2[0] + (np.arange(score.shape[1]) - h2.shape[1] + 1) * cell + cx
+                dy = o1[1] - o2[1] + (np.arange(score.shape[0]) - h2.shape[0] + 1) * cell + cy
+                score[np.hypot(dx[None, :], dy[:, None]) > most_shift] = -np.inf
             for i, j, s in peaks(score, n, int(2 / cell)):
                 out.append((*key, o1[0] - o2[0] + (j - h2.shape[1] + 1) * cell, o1[1] - o2[1] + (i - h2.shape[0] + 1) * cell, s / 2))
         return pd.DataFrame(out, columns=["fixed", "moving", "yaw", "dx", "dy", "score"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fits, scene
+from ..operators import fits, placing, scene
 from . import tables as t
 
 P = f"WITH {t.POINTS}"
@@ -131,7 +131,40 @@ def edge_lines(spark: SparkSession, d: str) -> DataFrame:
     return scene.edge_lines(edges, 1.0, reach=0.6, draws=200, least=4, angles=(0.0, 180.0))
 
 
+def level_merge(spark: SparkSession, d: str) -> DataFrame:
+    points = t.points(spark, d).withColumn("site", F.col("scan") % 2)
+    return placing.levelled(points, 2.0, 3).select("site", "scan", F.round("offset", 4).alias("offset"))
+
+
+def _level_sql() -> str:
+    """The merge of levels as one chain of tables, a scan of each site at a time (the points have ten scans)."""
+    parts = [f"{P}, g AS (SELECT scan % 2 AS site, scan, floor(x / 2) AS cx, floor(y / 2) AS cy, min(z) AS z FROM points GROUP BY ALL), o AS (SELECT site, scan, row_number() OVER (PARTITION BY site ORDER BY scan) AS k FROM (SELECT DISTINCT site, scan FROM g)), n AS (SELECT g.*, k FROM g JOIN o USING (site, scan)), m1 AS (SELECT site, cx, cy, z FROM n WHERE k = 1), d1 AS (SELECT site, scan, 0.0::DOUBLE AS d FROM o WHERE k = 1)"]
+    for k in range(2, 6):
+        parts.append(f"s{k} AS (SELECT n.site, n.scan, list_sort(list(m.z - n.z)) AS s FROM n JOIN m{k - 1} m USING (site, cx, cy) WHERE k = {k} GROUP BY 1, 2)")
+        parts.append(f"d{k} AS (SELECT o.site, o.scan, CASE WHEN len(s) >= 3 THEN s[CAST(floor(len(s) * 0.5::DOUBLE) + 1 AS BIGINT)] ELSE 0 END AS d FROM o LEFT JOIN s{k} s ON s.site = o.site AND s.scan = o.scan WHERE k = {k})")
+        parts.append(f"m{k} AS (SELECT site, cx, cy, min(z) AS z FROM (SELECT * FROM m{k - 1} UNION ALL SELECT n.site, cx, cy, z + d FROM n JOIN d{k} USING (site, scan)) GROUP BY 1, 2, 3)")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f'SELECT site, scan, round(d, 4) AS "offset" FROM d{k}' for k in range(1, 6))
+
+
+def placed_motions(spark: SparkSession, d: str) -> DataFrame:
+    """Each point under its scan's motion after another, and back under the inverse of both."""
+    turn = F.radians(F.col("scan") * 10.0)
+    c, s, zero, one = F.cos(turn), F.sin(turn), F.lit(0.0), F.lit(1.0)
+    own = F.array(c, -s, zero, F.col("scan") * 1.0, s, c, zero, F.lit(-2.0), zero, zero, one, F.lit(0.5), zero, zero, zero, one)
+    both = placing.times(placing.pose([0.8, -0.6, 0, 1, 0.6, 0.8, 0, -2, 0, 0, 1, 0.5, 0, 0, 0, 1]), own)
+    p = t.points(spark, d).withColumn("m", both)
+    there = placing.moved(p, F.col("m")).withColumn("degrees", F.round(placing.heading(F.col("m")), 5))
+    back = placing.moved(there, placing.inverse(F.col("m"))).select("pid", *[F.round(k, 5).alias(f"back_{k}") for k in "xyz"])
+    return there.select("pid", "degrees", *[F.round(k, 5).alias(k) for k in "xyz"]).join(back, "pid")
+
+
+MOTIONS_SQL = f"""{P}, a AS (SELECT *, radians(scan * 10.0::DOUBLE) AS r FROM points), b AS (SELECT *, cos(r) * x - sin(r) * y + scan AS u, sin(r) * x + cos(r) * y - 2 AS v FROM a), q AS (SELECT *, degrees(r) + degrees(atan2(0.6::DOUBLE, 0.8::DOUBLE)) AS g FROM b)
+SELECT pid, round(CASE WHEN g > 180 THEN g - 360 ELSE g END, 5) AS degrees, round(0.8::DOUBLE * u - 0.6::DOUBLE * v + 1, 5) AS x, round(0.6::DOUBLE * u + 0.8::DOUBLE * v - 2, 5) AS y, round(z + 1, 5) AS z, round(x, 5) AS back_x, round(y, 5) AS back_y, round(z, 5) AS back_z FROM q"""
+
+
 QUERIES = {
+    "level_merge": (level_merge, _level_sql()),
+    "placed_motions": (placed_motions, MOTIONS_SQL),
     "structure_share": (structure_share, STRUCTURE_SQL),
     "vertical_agreement": (vertical_agreement, VERTICAL_SQL),
     "plane_distances": (plane_distances, PLANES_SQL),

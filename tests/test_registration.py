@@ -114,3 +114,18 @@ def test_step_edges_find_a_kerb(spark):
     df = spark.createDataFrame([("a", k, float(a) + 0.01, float(b) + 0.01, 0.12 if a >= 1 else 0.0) for k, (a, b) in enumerate(zip(x.ravel(), y.ravel(), strict=True))], "scan string, pid long, x double, y double, z double")
     rows = scene.step_edges(df).collect()
     assert rows and {r.cx for r in rows} <= {18, 19, 20, 21} and len({r.cy for r in rows}) > 25
+
+
+def test_site_on_the_map(spark):
+    front = np.concatenate([np.column_stack([np.arange(0, 30, 0.1), np.zeros(300)]), np.column_stack([np.zeros(150), np.arange(0, 15, 0.1)])])
+    trees = np.array([[4.0, 5.0], [9.0, 6.5], [17.0, 5.2], [23.0, 7.0]])
+    t = np.radians(4.0)
+    r = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
+    rows = [(1, "wall", *map(float, p), False) for p in front] + [(1, "pole", *map(float, p), False) for p in trees]
+    rows += [(1, "wall", *map(float, p), True) for p in front[::2] @ r.T + [1.0, -0.7]] + [(1, "pole", *map(float, p), True) for p in trees @ r.T + [1.0, -0.7]]
+    rows += [(2, "wall", 1.0, 1.0, True), (2, "wall", 1.0, 1.0, False)]
+    df = spark.createDataFrame(rows, "site int, kind string, x double, y double, own boolean")
+    starts = [(dx, dy, a) for dx in (-1.0, 0.0) for dy in (0.0, 1.0) for a in (-4.0, 0.0)] + [(12.0, 9.0, 20.0)]
+    out = {r.site: r for r in R.placed_on_map(df.where("own"), df.where("not own"), starts).collect()}
+    assert out[1].applied and abs(out[1].degrees + 4.0) < 0.3 and out[1].walls > 0.95 and out[1].poles == 1.0 and out[1].mean_m < 0.05
+    assert not out[2].applied and out[2].why == "too little to match"
