@@ -108,3 +108,18 @@ def calibration(tested: DataFrame) -> DataFrame:
     """Predicted and actual share of large drops by predicted risk."""
     band = risk_band(F.col("share_over_15pct_drop")).alias("predicted_risk_band")
     return tested.groupBy("site_relation", band).agg(F.count("*").alias("n_test"), F.avg("share_over_15pct_drop").alias("predicted_share_over_15pct_drop"), stats.share(F.col("change") < LARGE_DROP).alias("actual_share_over_15pct_drop"))
+
+
+def sql_function(lookup: DataFrame, name: str = "closure_effect") -> None:
+    """Registers a SQL table function over the lookup: name(closure_type, work_window, time_band, road_class [, site_relation]).
+
+    It gives the most specific row as find() does; the relation is 'same street' unless named. Nothing that fits is an error.
+    """
+    spark = lookup.sparkSession
+    lookup.createOrReplaceTempView(f"{name}_rows")
+    facts = "level, n_closures, p10, p50, p90, mean_change, share_over_15pct_drop"
+    kind = ", ".join(f"{c} {lookup.schema[c].dataType.simpleString()}" for c in facts.split(", "))
+    fits = "r.level = 3 OR (r.closure_type = of_type AND r.work_window = of_window AND (r.level = 2 OR r.road_class = of_road))"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(of_type STRING, of_window STRING, of_band STRING, of_road STRING, of_relation STRING DEFAULT 'same street')
+    RETURNS TABLE ({kind}) RETURN SELECT hit.* FROM (SELECT CASE WHEN count(*) = 0 THEN raise_error('no lookup row fits') ELSE min_by(struct({facts}), level) END AS hit
+    FROM {name}_rows r WHERE r.site_relation = of_relation AND r.time_band = of_band AND ({fits}))""")

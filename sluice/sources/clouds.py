@@ -158,3 +158,82 @@ def las_files(pts: DataFrame) -> DataFrame:
         return pd.DataFrame({"scan": [scan], "content": [las_bytes(rows[["x", "y", "z"]].to_numpy(float), rgb)]})
 
     return pts.groupBy("scan").applyInPandas(run, "scan string, content binary")
+
+
+def move_las(data: bytes, pivot: tuple[float, float], degrees: float, shift: tuple[float, float], scale: float = 1.0, scale_z: bool = False) -> bytes:
+    """A LAS file turned and scaled about a pivot and shifted: only coordinates, offsets and bounds are written anew.
+
+    scale_z scales heights too, about their median. Offsets are set anew so that whole numbers stay small; what still does
+    not fit in 32 bits is an error.
+    """
+    h, out = las_header(data), bytearray(data)
+    n = min(h["n"], (len(data) - h["offset"]) // h["size"])
+    raw = np.frombuffer(out, np.uint8, n * h["size"], h["offset"]).reshape(n, h["size"])
+    xyz = np.ascontiguousarray(raw[:, :12]).view("<i4") * h["scale"] + h["shift"]
+    a, new = np.radians(degrees), xyz.copy()
+    x, y = xyz[:, 0] - pivot[0], xyz[:, 1] - pivot[1]
+    new[:, 0] = pivot[0] + shift[0] + scale * (np.cos(a) * x - np.sin(a) * y)
+    new[:, 1] = pivot[1] + shift[1] + scale * (np.sin(a) * x + np.cos(a) * y)
+    if scale_z and n:
+        new[:, 2] = np.median(xyz[:, 2]) + scale * (xyz[:, 2] - np.median(xyz[:, 2]))
+    return _rewritten(out, h, raw, new)
+
+
+def _rewritten(out: bytearray, h: dict, raw: np.ndarray, xyz: np.ndarray) -> bytes:
+    """The file with its records' coordinates replaced."""
+    if not len(xyz):
+        return bytes(out)
+    low, high = xyz.min(axis=0), xyz.max(axis=0)
+    shift = np.array([*np.floor(low[:2]), h["shift"][2]])
+    whole = np.rint((xyz - shift) / h["scale"])
+    if np.abs(whole).max() > 2**31 - 1:
+        raise ValueError("the extent is too large for the scale")
+    raw[:, :12] = np.ascontiguousarray(whole.astype("<i4")).view(np.uint8).reshape(-1, 12)
+    struct.pack_into("<3d", out, 155, *shift)
+    struct.pack_into("<6d", out, 179, high[0], low[0], high[1], low[1], high[2], low[2])
+    return bytes(out)
+
+
+def join_las(files: list[bytes]) -> bytes:
+    """Files of one point format as one, under the first one's header and projection records; other fields stay as they are."""
+    heads = [las_header(d) for d in files]
+    first = heads[0]
+    if any((h["format"], h["size"]) != (first["format"], first["size"]) for h in heads):
+        raise ValueError("the files have different point formats")
+    parts, places = [], []
+    for d, h in zip(files, heads, strict=True):
+        n = min(h["n"], (len(d) - h["offset"]) // h["size"])
+        raw = np.frombuffer(d, np.uint8, n * h["size"], h["offset"]).reshape(n, h["size"])
+        parts.append(raw)
+        places.append(np.ascontiguousarray(raw[:, :12]).view("<i4") * h["scale"] + h["shift"])
+    total = sum(map(len, parts))
+    out = bytearray(files[0][: first["offset"]] + np.concatenate(parts).tobytes())
+    struct.pack_into("<I", out, 107, total)
+    struct.pack_into("<5I", out, 111, total, 0, 0, 0, 0)
+    raw = np.frombuffer(out, np.uint8, total * first["size"], first["offset"]).reshape(total, first["size"])
+    return _rewritten(out, first, raw, np.concatenate(places))
+
+
+def moved_files(files: DataFrame, motions: DataFrame) -> DataFrame:
+    """scan and content of LAS files (scan, content), each under its motion: scan, px, py, degrees, dx, dy, scale."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [move_las(r["content"], (r["px"], r["py"]), r["degrees"], (r["dx"], r["dy"]), r["scale"]) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.binary())], names=["scan", "content"])
+
+    kind = files.schema["scan"].dataType.simpleString()
+    met = files.join(motions, "scan").select("scan", "content", *[F.col(c).cast("double") for c in ("px", "py", "degrees", "dx", "dy", "scale")])
+    return met.mapInArrow(run, f"scan {kind}, content binary")
+
+
+def joined_files(files: DataFrame) -> DataFrame:
+    """site and content: the LAS files of each site (site, scan, content) as one, in order of their names. The result is one file by nature."""
+    kind = files.schema["site"].dataType.simpleString()
+
+    def run(key, rows):
+        import pandas as pd
+
+        return pd.DataFrame({"site": [key[0]], "content": [join_las([bytes(c) for c in rows.sort_values("scan")["content"]])]})
+
+    return files.groupBy("site").applyInPandas(run, f"site {kind}, content binary")

@@ -140,3 +140,35 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = {(r.site, r.hour_start): r.n_rows for r in spark.table("hours").groupBy("site", "hour_start").agg(F.max("n_rows").alias("n_rows")).collect()}
     want = {(r.event_type, r.h): r["count"] for r in events.groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).count().collect()}
     assert got == want
+
+
+def test_las_files_moved_and_joined(spark):
+    rng = np.random.default_rng(4)
+    one, two = rng.uniform(0, 9, (20, 3)), rng.uniform(100, 120, (10, 3))
+    rgb = rng.integers(0, 255, (20, 3))
+    rows = [(1, "a", clouds.las_bytes(one, rgb)), (1, "b", clouds.las_bytes(two, rgb[:10]))]
+    files = spark.createDataFrame(rows, "site int, scan string, content binary")
+    motions = spark.createDataFrame([("a", 1.0, 2.0, 90.0, 10.0, -5.0, 2.0), ("b", 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "scan string, px double, py double, degrees double, dx double, dy double, scale double")
+    moved = clouds.moved_files(files.select("scan", "content"), motions)
+    _, xyz, colours = clouds.read_las(bytes(moved.where("scan = 'a'").first().content))
+    want = np.column_stack([11 - 2 * (one[:, 1] - 2), -3 + 2 * (one[:, 0] - 1), one[:, 2]])
+    assert np.allclose(xyz, want, atol=1e-4) and (colours == rgb).all()
+    whole = clouds.joined_files(moved.selectExpr("1 AS site", "scan", "content")).collect()
+    _, xyz, colours = clouds.read_las(bytes(whole[0].content))
+    assert len(whole) == 1 and np.allclose(xyz, np.concatenate([want, two]), atol=1e-4) and len(colours) == 30
+    with pytest.raises(ValueError, match="formats"):
+        clouds.join_las([clouds.las_bytes(one), clouds.las_bytes(one, rgb)])
+
+
+def test_lookup_as_a_table_function(spark):
+    from sluice.operators import lookup
+
+    cols = "level int, site_relation string, closure_type string, work_window string, time_band string, road_class string, n_closures long, p10 double, p50 double, p90 double, mean_change double, share_over_15pct_drop double"
+    rows = [(1, "same street", "lane", "night", "day", "low", 30, -0.3, -0.1, 0.1, -0.1, 0.2), (2, "same street", "lane", "night", "day", "any", 50, -0.2, -0.05, 0.1, -0.1, 0.2), (3, "cross street", "any", "any", "day", "any", 99, -0.1, 0.0, 0.1, 0.0, 0.1)]
+    lookup.sql_function(spark.createDataFrame(rows, cols), "effect_of")
+    at = lambda args: spark.sql(f"SELECT level, n_closures FROM effect_of({args})").collect()[0]
+    assert tuple(at("'lane', 'night', 'day', 'low'")) == (1, 30)
+    assert tuple(at("'lane', 'night', 'day', 'high'")) == (2, 50)
+    assert tuple(at("'full', 'night', 'day', 'low', 'cross street'")) == (3, 99)
+    with pytest.raises(Exception, match="no lookup row fits"):
+        at("'full', 'night', 'day', 'low'")
