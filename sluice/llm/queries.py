@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, lattice, packing, pii, sentencepiece_codec, simhash, substrings, topk, toxicity
+from . import chat, html_text, language_id, lattice, packing, pii, prefix_trie, sentencepiece_codec, simhash, substrings, topk, toxicity, whitening
 from .common import table
 
 
@@ -70,6 +70,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, langs, logp).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    heads = lambda c: F.crc32(c.cast("string").cast("binary")) % 6
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns, lambda c: c - c % 100, heads, most=5))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -82,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_pii": op9_pii,
         "op10_language": op10_language,
+        "op11_html": op11_html,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_whitening": op13_whitening,
     }
 
 
