@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared checkpoint folder and read again.
+
+    For loops: a checkpoint keeps the size that the optimizer estimated for its plan, and estimates of joined checkpoints multiply
+    from round to round until the numbers themselves fill the driver. A table has the size of its files.
+    """
+    checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most `rows` rows and about `size` bytes; a longer single row comes alone."""
     for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch, cut, slices
+from .common import batch, cut, slices, written
 
 #: Of a turn's digest: four parts of 32 bits. Sums of up to 2^31 turns stay exact in a long.
 PARTS = ("s0", "s1", "s2", "s3")
@@ -113,7 +113,7 @@ def subtree_sums(tree: DataFrame, values: list[str], max_rounds: int = 200) -> D
     edges = tree.where("parent is not null")
     carried = [f"^{v}" for v in values]  # of the nodes that were spliced out just above a node
     start = tree.select("node", "parent", *values).join(count(edges), F.col("node") == F.col("_up"), "left")
-    alive = cut(start.select("node", "parent", *values, *[F.lit(0).cast("long").alias(c) for c in carried], F.coalesce("kids", F.lit(0)).alias("kids")))
+    alive = written(start.select("node", "parent", *values, *[F.lit(0).cast("long").alias(c) for c in carried], F.coalesce("kids", F.lit(0)).alias("kids")))
     done: list[DataFrame] = []
     spliced: list[DataFrame] = []
     for turn in range(max_rounds):
@@ -128,11 +128,11 @@ def subtree_sums(tree: DataFrame, values: list[str], max_rounds: int = 200) -> D
         raked = rest.join(below, F.col("node") == F.col("_up"))
         raked = raked.select("node", "parent", *[(F.col(v) + F.coalesce(f"+{v}", F.lit(0))).alias(v) for v in values], *carried, (F.col("kids") - F.col("gone")).alias("kids"), "only", *[f"-{v}" for v in values])
         out = (F.col("kids") == 1) & F.col("parent").isNotNull() & _before("node", "parent", turn) & _before("node", "only", turn)
-        raked = cut(raked.withColumn("out", F.coalesce(out, F.lit(False))))
+        raked = written(raked.withColumn("out", F.coalesce(out, F.lit(False))))
         gone = raked.where("out")
         spliced.append(gone.select("node", "only", *[(F.col(v) + F.col(f"-{v}")).alias(v) for v in values]))
         lifted = gone.select(F.col("only").alias("_child"), F.col("parent").alias("higher"), *[(F.col(v) + F.col(f"^{v}")).alias(f"+{v}") for v in values])
-        alive = cut(raked.where("not out").join(lifted, F.col("node") == F.col("_child"), "left").select("node", F.coalesce("higher", "parent").alias("parent"), *values, *[(F.col(f"^{v}") + F.coalesce(f"+{v}", F.lit(0))).alias(f"^{v}") for v in values], "kids"))
+        alive = written(raked.where("not out").join(lifted, F.col("node") == F.col("_child"), "left").select("node", F.coalesce("higher", "parent").alias("parent"), *values, *[(F.col(f"^{v}") + F.coalesce(f"+{v}", F.lit(0))).alias(f"^{v}") for v in values], "kids"))
     else:
         raise RuntimeError("the tree did not contract")
     return _expanded(done, spliced, values)
@@ -144,7 +144,7 @@ def _expanded(raked: list[DataFrame], spliced: list[DataFrame], values: list[str
     for own, leaves in zip(reversed(spliced), reversed(raked[:-1]), strict=True):
         below = known.select(F.col("node").alias("_only"), *[F.col(v).alias(f"+{v}") for v in values])
         new = own.join(below, F.col("only") == F.col("_only")).select("node", *[(F.col(v) + F.col(f"+{v}")).alias(v) for v in values])
-        known = cut(known.unionByName(new).unionByName(leaves).coalesce(_partitions(known)))
+        known = written(known.unionByName(new).unionByName(leaves).coalesce(_partitions(known)))
     return known
 
 
@@ -201,7 +201,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     """
     tree, ends = nodes(turns, convs)
     kids = tree.where("parent is not null").groupBy(F.col("parent").alias("_up")).agg(F.count("*").alias("n_children"))
-    tree = cut(tree.join(kids, F.col("node") == F.col("_up"), "left").select("node", "parent", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "chars"))
+    tree = written(tree.join(kids, F.col("node") == F.col("_up"), "left").select("node", "parent", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "chars"))
     weights = tree.select("node", "parent", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens"))
     sums = subtree_sums(weights, ["n_leaves", "saved_tokens"])
     name = F.concat_ws(":", F.col("node.c").cast("string"), F.col("node.d").cast("string"))
