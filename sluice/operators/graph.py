@@ -1,7 +1,7 @@
 """Directed street graphs as edge tables: reachability, components, blocks, shortest paths.
 
 The iterative operators join only a frontier in each round, rewrite what they have seen, and cut their lineage by a
-checkpoint in the folder the session names.
+table in the folder the session names.
 """
 
 from __future__ import annotations

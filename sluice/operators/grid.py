@@ -27,9 +27,10 @@ def dense_cells(points: DataFrame, size: float) -> DataFrame:
 
 
 def voxel_sample(points: DataFrame, size: float, most: int | None = None) -> DataFrame:
-    """The first point of each voxel; above `most`, every ceil(n / most)-th of a scan by order of pid."""
+    """The first point of each voxel (with its brightness b, where points have one); above `most`, every ceil(n / most)-th of a scan by order of pid."""
     v = [cell(F.col(c), size) for c in ("x", "y", "z")]
-    kept = points.groupBy("scan", *[e.alias(f"v{k}") for k, e in enumerate(v)]).agg(F.min(F.struct("pid", "x", "y", "z")).alias("p")).select("scan", "p.*")
+    lit = ["b"] if "b" in points.columns else []
+    kept = points.groupBy("scan", *[e.alias(f"v{k}") for k, e in enumerate(v)]).agg(F.min(F.struct("pid", "x", "y", "z", *lit)).alias("p")).select("scan", "p.*")
     if most is None:
         return kept
     from pyspark.sql.window import Window

@@ -5,6 +5,8 @@ Kernels take and give arrays and know nothing of Spark; the functions at the end
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,28 +99,86 @@ def grow(mask: np.ndarray, by: int) -> np.ndarray:
     return ~shrink(np.pad(~mask, by, constant_values=True), by)[by : by + mask.shape[0], by : by + mask.shape[1]]
 
 
-def features(xyz: np.ndarray, cell: float = 0.2, top: float = 2.5) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
-    """Object height over the cell's ground and ground edges, as channels over an eroded footprint, and the grid's origin."""
-    origin = (xyz[:, 0].min(), xyz[:, 1].min())
-    shape = (int((xyz[:, 1].max() - origin[1]) // cell) + 1, int((xyz[:, 0].max() - origin[0]) // cell) + 1)
-    low = raster(xyz[:, 0], xyz[:, 1], xyz[:, 2], cell, origin, shape, "min")
-    high = raster(xyz[:, 0], xyz[:, 1], xyz[:, 2], cell, origin, shape, "max")
-    seen = np.isfinite(low)
-    ground = np.where(seen, low, np.nanmedian(low))
-    inner = shrink(seen, 2)
-    return np.where(seen, np.clip(high - low, 0, top), 0.0), np.where(inner, np.clip(sobel(ground), 0, 0.6), 0.0), origin
+# Full marks of object height and ground step (m), weights of the channels, least overlap (square metres, share of the moving cells), least score.
+TALL, STEP, CHANNELS, LEAST_OVERLAP, LEAST_SHARE, LEAST_SCORE = 2.5, 0.6, (1.0, 1.0, 0.4), 8.0, 0.12, 0.02
+#: Heights and steps up to so many metres are noise: bare ground agrees with bare ground everywhere.
+NOISE = 0.05
+
+
+class Rasters(NamedTuple):
+    """What a scan shows in each cell of a grid: where it has points, its channels, and their energy."""
 
+    seen: np.ndarray
+    channels: list[np.ndarray]
+    energy: np.ndarray
+    origin: tuple[float, float]
 
-def correlate(fixed: np.ndarray, moving: np.ndarray) -> np.ndarray:
-    """Normalised cross-correlation over all whole-cell shifts (full size), by FFT; shift (0, 0) is at (moving rows - 1, moving columns - 1)."""
-    shape = tuple(a + b - 1 for a, b in zip(fixed.shape, moving.shape, strict=True))
-    f = lambda m: np.fft.rfft2(m, shape)
-    back = lambda m: np.fft.irfft2(m, shape)
-    turned, ones_f, ones_m = moving[::-1, ::-1], np.ones_like(fixed), np.ones_like(moving)
-    cross = back(f(fixed) * f(turned))
-    energy_f, energy_m = back(f(fixed**2) * f(ones_m)), back(f(ones_f) * f(turned**2))
-    least = 0.05 * (fixed**2).sum() * (moving**2).sum() + 1e-12  # shifts with little in common don't count
-    return cross / np.sqrt(np.maximum(energy_f * energy_m, least))
+
+def rasters(xyz: np.ndarray, bright: np.ndarray | None, cell: float) -> Rasters:
+    """Object height, ground edges (on the footprint eroded by two cells) and edges of the ground's brightness (0 to 1), weighted."""
+    x, y, z = xyz.T
+    origin = (float(x.min()), float(y.min()))
+    shape = (int((y.max() - origin[1]) // cell) + 1, int((x.max() - origin[0]) // cell) + 1)
+    low, high = (raster(x, y, z, cell, origin, shape, how) for how in ("min", "max"))
+    seen = np.isfinite(low)
+    height = np.where(seen, np.clip(np.nan_to_num(high - low) - NOISE, 0, TALL) / TALL, 0.0)
+    edge = np.where(shrink(seen, 2), np.clip(8 * sobel(np.where(seen, low, np.nanmedian(low))) - NOISE, 0, STEP) / STEP, 0.0)
+    paint = np.zeros(shape)
+    if bright is not None and np.isfinite(bright).any():
+        at = ((y - origin[1]) // cell).astype(int), ((x - origin[0]) // cell).astype(int)
+        ground = np.isfinite(bright) & (z - low[at] < 0.25)
+        mean = raster(x[ground], y[ground], bright[ground], cell, origin, shape, "mean")
+        lit = np.isfinite(mean)
+        if lit.any():
+            paint = np.where(shrink(lit, 2), np.minimum(8 * sobel(np.where(lit, mean, np.nanmean(mean))), 1.0), 0.0)
+    channels = [w * c for w, c in zip(CHANNELS, (height, edge, paint), strict=True)]
+    return Rasters(seen.astype(float), channels, sum(c * c for c in channels), origin)
+
+
+def agreement(fixed: Rasters, moving: Rasters, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation of the channels over all whole-cell shifts, normalised by both sides' energy where they overlap, and the overlap in cells.
+
+    By FFT, full size; shift (0, 0) is at (moving rows - 1, moving columns - 1). Shifts with less than `least` cells in common
+    get -inf; a small overlap weighs less by its fourth root.
+    """
+    shape = tuple(a + b - 1 for a, b in zip(fixed.seen.shape, moving.seen.shape, strict=True))
+    ahead = lambda m: np.fft.rfft2(m, shape)
+    turned = lambda m: np.fft.rfft2(m[::-1, ::-1], shape)
+    back = lambda f: np.fft.irfft2(f, shape)
+    seen_f, seen_m = ahead(fixed.seen), turned(moving.seen)
+    overlap = np.rint(back(seen_f * seen_m))
+    cross = back(sum(ahead(a) * turned(b) for a, b in zip(fixed.channels, moving.channels, strict=True)))
+    energy = np.maximum(back(ahead(fixed.energy) * seen_m), 1e-6) * np.maximum(back(seen_f * turned(moving.energy)), 1e-6)
+    score = cross / np.sqrt(energy) * np.minimum(1.0, overlap / max(1.0, moving.seen.sum())) ** 0.25
+    return np.where(overlap >= max(1.0, least), score, -np.inf), overlap
+
+
+def finer(one: np.ndarray, two: np.ndarray, start: tuple[float, float, float], lights: tuple[np.ndarray | None, np.ndarray | None] = (None, None), reach: float = 2.5, window: float = 3.0, cell: float = 0.1, most: int = 512) -> tuple[float, float, float]:
+    """The best pose (degrees, dx, dy) within a shift and a heading of the start, on 10 cm cells of the overlap; the start where that is too small."""
+    degrees, dx, dy = start
+    placed = turn(two, degrees) + [dx, dy, 0.0]
+    low = np.maximum(one[:, :2].min(axis=0), placed[:, :2].min(axis=0)) - 3.0
+    high = np.minimum(one[:, :2].max(axis=0), placed[:, :2].max(axis=0)) + 3.0
+    inside = [((p[:, :2] >= low) & (p[:, :2] <= high)).all(axis=1) for p in (one, placed)]
+    if (high - low).min() < 4 or min(m.sum() for m in inside) < 200:
+        return start
+    size = max(cell, float((high - low).max()) / most)
+    own, theirs = one[inside[0]], placed[inside[1]]
+    light = [None if v is None else v[m] for v, m in zip(lights, inside, strict=True)]
+    fixed, centre = rasters(own, light[0], size), np.array([*theirs[:, :2].mean(axis=0), 0.0])
+    best = (-np.inf, start)
+    for more in np.arange(-window, window + 1e-9, 1.5):
+        moved = turn(theirs - centre, more) + centre
+        moving = rasters(moved, light[1], size)
+        score, _ = agreement(fixed, moving, LEAST_OVERLAP / size**2)
+        sx = fixed.origin[0] - moving.origin[0] + (np.arange(score.shape[1]) - moving.seen.shape[1] + 1) * size
+        sy = fixed.origin[1] - moving.origin[1] + (np.arange(score.shape[0]) - moving.seen.shape[0] + 1) * size
+        score = np.where((np.abs(sx)[None, :] <= reach) & (np.abs(sy)[:, None] <= reach), score, -np.inf)
+        i, j = np.unravel_index(int(score.argmax()), score.shape)
+        if score[i, j] > best[0]:
+            shift = turn(np.array([[dx, dy, 0.0]]) - centre, more)[0] + centre
+            best = (float(score[i, j]), (degrees + float(more), float(shift[0] + sx[j]), float(shift[1] + sy[i])))
+    return best[1]
 
 
 def peaks(image: np.ndarray, n: int, apart: int) -> list[tuple[int, int, float]]:
@@ -273,30 +333,47 @@ def occupancy_conflict(fixed: np.ndarray, moving: np.ndarray, cell: float = 0.25
     return float(((ground >= 3) & solid & ~own).sum() / max(1, solid.sum()))
 
 
-def placement(points: np.ndarray, lines: np.ndarray, prior: tuple[float, float, float] = (0.0, 0.0, 0.0), cell: float = 0.25, reach: float = 15.0, yaws: np.ndarray | None = None) -> tuple[float, float, float, float]:
-    """Shift and heading (dx, dy, degrees) that lay wall points best along map line points, and the cost: truncated mean distance plus the prior's penalty."""
-    yaws = np.arange(-24.0, 25.0, 2.0) if yaws is None else yaws
-    low = lines.min(axis=0) - reach - 5
-    shape = tuple(((lines.max(axis=0) + reach + 5 - low) // cell + 1).astype(int)[::-1])
-    mask = np.zeros(shape, bool)
-    mask[((lines[:, 1] - low[1]) // cell).astype(int), ((lines[:, 0] - low[0]) // cell).astype(int)] = True
-    field = np.minimum(distance_transform(mask) * cell, 1.5)
-    centre = points.mean(axis=0)
-    best = (0.0, 0.0, 0.0, np.inf)
-    shifts = np.arange(-reach, reach + 1e-9, 0.5)
-    for yaw in yaws:
-        a = np.radians(yaw)
-        p = (points - centre) @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]]) + centre
-        for dx in shifts:
-            j = ((p[:, 0] + dx - low[0]) // cell).astype(int)
-            for dy in shifts:
-                i = ((p[:, 1] + dy - low[1]) // cell).astype(int)
-                ok = (i >= 0) & (i < shape[0]) & (j >= 0) & (j < shape[1])
-                cost = (field[i[ok], j[ok]].sum() + 1.5 * (~ok).sum()) / len(p)
-                cost += 0.3 * (np.hypot(dx - prior[0], dy - prior[1]) / 15) ** 2 + 0.15 * ((yaw - prior[2]) / 25) ** 2
-                if cost < best[3]:
-                    best = (float(dx), float(dy), float(yaw), float(cost))
-    return best
+def map_starts(kinds: list[tuple[np.ndarray, np.ndarray, float, float]], most_shift: float = 25.0, most_yaw: float = 35.0, cell: float = 0.25, n: int = 6, most: int = 1024) -> list[tuple[float, float, float]]:
+    """Up to n distinct poses (dx, dy, degrees about the points' centre) that lay points best on map points of their kind.
+
+    kinds: points, map points, weight and kernel width. The cost of a pose is the weighted mean of 1 - exp(-(d / width)^2)
+    over the points, d being the distance to the map, plus a penalty for far poses. Costs of all shifts come from one
+    product of spectra for each heading, in steps of 2 degrees.
+    """
+    used = [(p, q, w, s) for p, q, w, s in kinds if len(p) and len(q) and w > 0]
+    if not used:
+        return []
+    everything = np.concatenate([p for p, _, _, _ in used])
+    centre = everything.mean(axis=0)
+    half = float(np.hypot(*(everything - centre).T).max()) + most_shift + 5
+    cell = max(cell, 2 * half / most)
+    size, low = int(2 * half / cell) + 1, centre - half
+
+    def counts(p: np.ndarray) -> np.ndarray:
+        at = ((p - low) // cell).astype(int)
+        at = at[((at >= 0) & (at < size)).all(axis=1)]
+        return np.bincount(at[:, 1] * size + at[:, 0], minlength=size * size).reshape(size, size)
+
+    spectra = [(p, w / len(p), np.fft.rfft2(1 - np.exp(-((distance_transform(counts(q) > 0) * cell / s) ** 2)))) for p, q, w, s in used]
+    lim = int(most_shift / cell)
+    steps = np.arange(-lim, lim + 1)
+    far = np.hypot(*np.meshgrid(steps * cell, steps * cell))
+    found = []
+    for degrees in np.arange(-most_yaw, most_yaw + 1e-9, 2.0):
+        a = np.radians(degrees)
+        r = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
+        total = sum(w * f * np.conj(np.fft.rfft2(counts((p - centre) @ r.T + centre))) for p, w, f in spectra)
+        cost = np.fft.irfft2(total, (size, size))[np.ix_(steps % size, steps % size)] / sum(w for _, _, w, _ in used)
+        cost = cost + 0.3 * (far / 15) ** 2 + 0.15 * (degrees / 25) ** 2
+        p = np.pad(cost, 1, constant_values=-np.inf)  # poses at the edge are no minima
+        lowest = np.minimum.reduce([p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
+        i, j = np.nonzero(cost <= lowest)
+        found += [(float(cost[a, b]), float(degrees), float(steps[b] * cell), float(steps[a] * cell)) for a, b in zip(i, j, strict=True)]
+    out: list[tuple[float, float, float]] = []
+    for _, degrees, dx, dy in sorted(found):
+        if len(out) < n and not any(abs(o[2] - degrees) < 5 and np.hypot(o[0] - dx, o[1] - dy) < 3 for o in out):
+            out.append((dx, dy, degrees))
+    return out
 
 
 def icp_2d(features: list[tuple[np.ndarray, np.ndarray, float]], start: tuple[np.ndarray, np.ndarray], rounds: int = 40, reach: tuple[float, float] = (2.0, 0.3)) -> tuple[np.ndarray, np.ndarray]:
@@ -342,56 +419,69 @@ def map_fit(features: list[tuple[np.ndarray, np.ndarray, float]], r: np.ndarray,
     return (mean / total if total else None), (cost / total if total else None), shares
 
 
-# Weights, truncations, kernel widths and limits of walls and poles; shares that accept a placement.
-WEIGHTS, MAP_RULES = (1.0, 0.5), [(1.5, 0.45, 0.3), (2.0, 1.2, 0.8)]
+# Weights, truncations, kernel widths and limits of walls, poles and kerbs; shares that accept a placement.
+KINDS = ("wall", "pole", "kerb")
+WEIGHTS, MAP_RULES = (1.0, 0.5, 0.0), [(1.5, 0.45, 0.3), (2.0, 1.2, 0.8), (1.0, 0.45, 0.3)]
 POLES_OK, LEAST_POLES, WALLS_OK, RUNNER_UP = 0.4, 3, 0.6, 1.15
 
 
-def on_map(walls: np.ndarray, poles: np.ndarray, map_walls: np.ndarray, map_poles: np.ndarray, starts: list[tuple[float, float, float]], most_shift: float = 25.0, most_yaw: float = 35.0) -> dict:
-    """The best placement on the map from starting poses (dx, dy, degrees about the features' centre), and whether to apply it.
+def on_map(own: dict[str, np.ndarray], mapped: dict[str, np.ndarray], most_shift: float = 25.0, most_yaw: float = 35.0, weights: tuple[float, ...] = WEIGHTS) -> dict:
+    """The best placement of features on the map's (points by kind), and whether to apply it: shift of the features' centre (cx, cy) and heading.
 
-    Applied when enough poles stand at mapped ones, or most walls lie on mapped ones and no pose elsewhere is nearly as
-    good; within the limits of shift and heading; and better than where the scan was.
+    Starts come from map_starts. Applied when enough poles stand at mapped ones, or most walls lie on mapped ones and no
+    pose elsewhere is nearly as good; within the limits of shift and heading; and better than where the features were.
+    score: the mean distance and the penalty of a far pose; lower is better, null where there is too little to match.
     """
-    if (len(walls) < 40 and len(poles) < 6) or (len(map_walls) < 20 and len(map_poles) < 20):
-        return {"applied": False, "dx": 0.0, "dy": 0.0, "degrees": 0.0, "mean_m": None, "walls": None, "poles": None, "why": "too little to match"}
-    features = [(walls, map_walls, WEIGHTS[0]), (poles, map_poles, WEIGHTS[1])]
-    centre = np.concatenate([walls, poles]).mean(axis=0)
+    features = [(own[k], mapped[k], w) for k, w in zip(KINDS, weights, strict=True)]
+    empty = {"applied": False, "dx": 0.0, "dy": 0.0, "degrees": 0.0, "cx": 0.0, "cy": 0.0, "mean_m": None, "walls": None, "poles": None, "kerbs": None, "score": None, "runner_up_m": None}
+    if (len(own["wall"]) < 40 and len(own["pole"]) < 6) or (len(mapped["wall"]) < 20 and len(mapped["pole"]) < 20 and len(mapped["kerb"]) < 20):
+        return empty | {"why": "too little to match"}
+    starts = map_starts([(p, q, w, rule[1]) for (p, q, w), rule in zip(features, MAP_RULES, strict=True)], most_shift, most_yaw)
+    weighed = [p for p, q, w in features if w and len(q) and len(p)]
+    if not starts:
+        return empty | {"why": "no candidate"}
+    centre = np.concatenate(weighed).mean(axis=0)
+    fitted = [f for f in features if f[2]]
     tried = []
     for dx, dy, degrees in starts:
         a = np.radians(degrees)
         r = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
-        r, t = icp_2d(features, (r, centre - r @ centre + [dx, dy]))
+        r, t = icp_2d(fitted, (r, centre - r @ centre + [dx, dy]))
         mean, cost, shares = map_fit(features, r, t, MAP_RULES)
         shift, yaw = r @ centre + t - centre, float(np.degrees(np.arctan2(r[1, 0], r[0, 0])))
         tried.append((9.0 if cost is None else cost, mean, shares, shift, yaw))
-    penalty = lambda f: f[0] + 0.3 * (np.hypot(*f[3]) / 15) ** 2 + 0.15 * (f[4] / 25) ** 2
+    far = lambda f: 0.3 * (np.hypot(*f[3]) / 15) ** 2 + 0.15 * (f[4] / 25) ** 2
+    penalty = lambda f: f[0] + far(f)
     tried.sort(key=penalty)
-    cost, mean, (on_walls, at_poles), shift, yaw = best = tried[0]
-    rival = any(np.hypot(*(f[3] - shift)) > 2 and penalty(f) < penalty(best) * RUNNER_UP for f in tried[1:])
-    good = (at_poles is not None and len(poles) >= LEAST_POLES and at_poles >= POLES_OK) or (on_walls is not None and on_walls >= WALLS_OK and not rival)
+    cost, mean, (on_walls, at_poles, on_kerbs), shift, yaw = best = tried[0]
+    rivals = [f for f in tried[1:] if np.hypot(*(f[3] - shift)) > 2 and penalty(f) < penalty(best) * RUNNER_UP]
+    good = (at_poles is not None and len(own["pole"]) >= LEAST_POLES and at_poles >= POLES_OK) or (on_walls is not None and on_walls >= WALLS_OK and not rivals)
     before = map_fit(features, np.eye(2), np.zeros(2), MAP_RULES)[1]
     why = "walls and poles do not line up" if not good else "too far" if np.hypot(*shift) > most_shift + 3 or abs(yaw) > most_yaw + 3 else "no better than before" if before is not None and cost >= before else ""
-    return {"applied": not why, "dx": float(shift[0]), "dy": float(shift[1]), "degrees": yaw, "mean_m": mean, "walls": on_walls, "poles": at_poles, "why": why}
+    found = {"dx": float(shift[0]), "dy": float(shift[1]), "degrees": yaw, "cx": float(centre[0]), "cy": float(centre[1]), "mean_m": mean, "walls": on_walls, "poles": at_poles, "kerbs": on_kerbs}
+    return {"applied": not why, **found, "score": None if mean is None else float(mean + far(best)), "runner_up_m": float(np.hypot(*(rivals[0][3] - shift))) if rivals else None, "why": why}
 
 
 # ---- over DataFrames ----
 
 
-def placed_on_map(features: DataFrame, mapped: DataFrame, starts: list[tuple[float, float, float]]) -> DataFrame:
-    """One row per site: its placement on the map (see on_map). features and mapped: site, kind (wall or pole), x, y.
+PLACED = "applied boolean, dx double, dy double, degrees double, cx double, cy double, mean_m double, walls double, poles double, kerbs double, score double, runner_up_m double, why string"
 
-    A site's wall cells and the map's points around it are one task; both are bounded by the site's extent.
+
+def placed_on_map(features: DataFrame, mapped: DataFrame, most_shift: float = 25.0, most_yaw: float = 35.0) -> DataFrame:
+    """One row per site of features: its placement on the map (see on_map). features and mapped: site, kind (wall, pole or kerb), x, y.
+
+    A site's feature cells and the map's points around it are one task; both are bounded by the site's extent.
     """
     kind = features.schema["site"].dataType.simpleString()
     both = features.select("site", "kind", "x", "y", F.lit(True).alias("own")).unionByName(mapped.select("site", "kind", "x", "y", F.lit(False).alias("own")).join(features.select("site").distinct(), "site", "left_semi"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["x", "y"])
-        of = lambda own, k: rows.loc[(rows["own"] == own) & (rows["kind"] == k), ["x", "y"]].to_numpy(float)
-        return pd.DataFrame([{"site": key[0], **on_map(of(True, "wall"), of(True, "pole"), of(False, "wall"), of(False, "pole"), starts)}])
+        own, theirs = ({k: rows.loc[(rows["own"] == mine) & (rows["kind"] == k), ["x", "y"]].to_numpy(float) for k in KINDS} for mine in (True, False))
+        return pd.DataFrame([{"site": key[0], **on_map(own, theirs, most_shift, most_yaw)}])
 
-    return both.groupBy("site").applyInPandas(run, f"site {kind}, applied boolean, dx double, dy double, degrees double, mean_m double, walls double, poles double, why string")
+    return both.groupBy("site").applyInPandas(run, f"site {kind}, {PLACED}")
 
 
 def with_normals(points: DataFrame, k: int = 10, radius: float = 0.3, tile: float = 10.0) -> DataFrame:
@@ -411,61 +501,85 @@ def with_normals(points: DataFrame, k: int = 10, radius: float = 0.3, tile: floa
     return spread.groupBy("scan", "tx", "ty").applyInPandas(run, f"scan {kind}, pid long, x double, y double, z double, nx double, ny double, nz double")
 
 
-def coarse_search(points: DataFrame, pairs: DataFrame, yaws: list[float], cell: float = 0.2, n: int = 3, most_shift: float | None = None) -> DataFrame:
-    """Candidate poses of pairs (fixed, moving): one task per pair and heading correlates both feature channels.
+def _lit(points: DataFrame) -> DataFrame:
+    """points with a brightness b, null where they have none."""
+    return points.select("scan", "x", "y", "z", (F.col("b") if "b" in points.columns else F.lit(None)).cast("double").alias("b"))
+
 
-    most_shift: poses that move the moving scan's centre farther are no candidates.
-    Scans are voxel samples of bounded size here; a pair's points go to each of its headings' tasks.
+def _sides(rows: pd.DataFrame) -> tuple[tuple[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray | None]]:
+    """The points and the brightness of both sides; the brightness counts only where both have one."""
+    xyz, bright, side = rows[["x", "y", "z"]].to_numpy(float), rows["b"].to_numpy(float), rows["side"].to_numpy()
+    lit = all(np.isfinite(bright[side == k]).any() for k in (0, 1))
+    return tuple((xyz[side == k], bright[side == k] if lit else None) for k in (0, 1))  # type: ignore[return-value]
+
+
+def coarse_search(points: DataFrame, pairs: DataFrame, yaws: list[float], cell: float = 0.2, n: int = 4, most_shift: float | None = None, together: int = 8, least: float = LEAST_OVERLAP) -> DataFrame:
+    """Candidate poses of pairs (fixed, moving) with their score and overlap (square metres): `n` of each heading, 2 m apart.
+
+    A task correlates a pair at `together` headings. most_shift: poses that move the moving scan's centre farther are no
+    candidates, nor are those that overlap by less than `least` square metres or an eighth of the moving scan. Scans are voxel samples of bounded size (grid.voxel_sample); points may have a brightness b.
     """
     kind = points.schema["scan"].dataType.simpleString()
-    tasks = pairs.withColumn("yaw", F.explode(F.array(*[F.lit(float(y)) for y in yaws])))
-    a = tasks.join(points.withColumnRenamed("scan", "fixed"), "fixed").select("fixed", "moving", "yaw", F.lit(0).alias("side"), "x", "y", "z")
-    b = tasks.join(points.withColumnRenamed("scan", "moving"), "moving").select("fixed", "moving", "yaw", F.lit(1).alias("side"), "x", "y", "z")
+    blocks = [sorted(map(float, yaws))[k : k + together] for k in range(0, len(yaws), together)]
+    tasks = pairs.select("fixed", "moving", F.posexplode(F.array(*[F.array(*map(F.lit, b)) for b in blocks])).alias("block", "yaws"))
+    lit = _lit(points)
+    a, b = (tasks.join(lit.withColumnRenamed("scan", name), name).select("fixed", "moving", "block", "yaws", F.lit(k).alias("side"), "x", "y", "z", "b") for k, name in enumerate(("fixed", "moving")))
+    names = ["fixed", "moving", "yaw", "dx", "dy", "score", "overlap_m2"]
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        xyz = rows[["x", "y", "z"]].to_numpy(float)
-        side = rows["side"].to_numpy()
-        one, two = xyz[side == 0], turn(xyz[side == 1], key[2])
+        (one, light), (two, other) = _sides(rows)
         out = []
         if len(one) > 10 and len(two) > 10:
-            h1, e1, o1 = features(one, cell)
-            h2, e2, o2 = features(two, cell)
-            score = correlate(h1, h2) + correlate(e1, e2)
-            if most_shift is not None:
-                cx, cy = two[:, :2].mean(axis=0) - xyz[side == 1, :2].mean(axis=0)
-                dx = o1[0] - o2[0] + (np.arange(score.shape[1]) - h2.shape[1] + 1) * cell + cx
-                dy = o1[1] - o2[1] + (np.arange(score.shape[0]) - h2.shape[0] + 1) * cell + cy
-                score[np.hypot(dx[None, :], dy[:, None]) > most_shift] = -np.inf
-            for i, j, s in peaks(score, n, int(2 / cell)):
-                out.append((*key, o1[0] - o2[0] + (j - h2.shape[1] + 1) * cell, o1[1] - o2[1] + (i - h2.shape[0] + 1) * cell, s / 2))
-        return pd.DataFrame(out, columns=["fixed", "moving", "yaw", "dx", "dy", "score"])
-
-    return a.unionByName(b).groupBy("fixed", "moving", "yaw").applyInPandas(run, f"fixed {kind}, moving {kind}, yaw double, dx double, dy double, score double")
-
-
-def refine(points: DataFrame, poses: DataFrame, dof: int = 6) -> DataFrame:
-    """ICP of each pose (fixed, moving, yaw, dx, dy): transform, RMS, overlap and the share of conflicting cells."""
+            fixed = rasters(one, light, cell)
+            for yaw in rows["yaws"].iloc[0]:
+                turned = turn(two, yaw)
+                moving = rasters(turned, other, cell)
+                score, overlap = agreement(fixed, moving, max(least / cell**2, LEAST_SHARE * moving.seen.sum()))
+                dx = fixed.origin[0] - moving.origin[0] + (np.arange(score.shape[1]) - moving.seen.shape[1] + 1) * cell
+                dy = fixed.origin[1] - moving.origin[1] + (np.arange(score.shape[0]) - moving.seen.shape[0] + 1) * cell
+                if most_shift is not None:
+                    cx, cy = turned[:, :2].mean(axis=0) - two[:, :2].mean(axis=0)
+                    score = np.where(np.hypot(dx[None, :] + cx, dy[:, None] + cy) <= most_shift, score, -np.inf)
+                out += [(key[0], key[1], float(yaw), float(dx[j]), float(dy[i]), s, float(overlap[i, j] * cell**2)) for i, j, s in peaks(score, n, int(2 / cell)) if s > LEAST_SCORE]
+        return pd.DataFrame(out, columns=names)
+
+    return a.unionByName(b).groupBy("fixed", "moving", "block").applyInPandas(run, f"fixed {kind}, moving {kind}, yaw double, dx double, dy double, score double, overlap_m2 double")
+
+
+def distinct_poses(candidates: DataFrame, most: int, degrees: float = 5.0, metres: float = 2.5) -> DataFrame:
+    """The best `most` candidates of each pair (as of coarse_search) that differ from better ones in heading or place. A pair has a few of each heading."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list = []
+        for r in rows.sort_values(["score", "yaw", "dx", "dy"], ascending=[False, True, True, True]).itertuples(index=False):
+            if len(kept) < most and not any(abs(k.yaw - r.yaw) <= degrees and np.hypot(k.px - r.px, k.py - r.py) <= metres for k in kept):
+                kept.append(r)
+        return pd.DataFrame(kept, columns=rows.columns)[names]
+
+    names = candidates.columns
+    where = {"px": F.col("dx"), "py": F.col("dy")}
+    return candidates.withColumns(where).groupBy("fixed", "moving").applyInPandas(run, candidates.schema)
+
+
+def refine(points: DataFrame, poses: DataFrame, dof: int = 6, settle: bool = False) -> DataFrame:
+    """ICP of each pose (fixed, moving, yaw, dx, dy): transform, RMS, overlap and the share of conflicting cells.
+
+    settle: the pose is first searched for on 10 cm cells around. Scans are voxel samples of bounded size.
+    """
     kind = points.schema["scan"].dataType.simpleString()
     keys = ["fixed", "moving", "yaw", "dx", "dy"]
     p = poses.select(*keys)
-    a = p.join(points.withColumnRenamed("scan", "fixed"), "fixed").select(*keys, F.lit(0).alias("side"), "x", "y", "z")
-    b = p.join(points.withColumnRenamed("scan", "moving"), "moving").select(*keys, F.lit(1).alias("side"), "x", "y", "z")
+    lit = _lit(points)
+    a, b = (p.join(lit.withColumnRenamed("scan", name), name).select(*keys, F.lit(k).alias("side"), "x", "y", "z", "b") for k, name in enumerate(("fixed", "moving")))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        xyz, side = rows[["x", "y", "z"]].to_numpy(float), rows["side"].to_numpy()
-        one, two = xyz[side == 0], xyz[side == 1]
+        (one, light), (two, other) = _sides(rows)
+        yaw, dx, dy = finer(one, two, key[2:5], (light, other)) if settle and len(one) and len(two) else key[2:5]
         start = np.eye(4)
-        start[:2, :2] = turn(np.eye(3), key[2])[:2, :2].T
-        start[:2, 3] = key[3:5]
+        start[:2, :2] = turn(np.eye(3), yaw)[:2, :2].T
+        start[:2, 3] = dx, dy
         pose, rms, share = icp(one, two, start, dof)
         conflict = occupancy_conflict(one, two @ pose[:3, :3].T + pose[:3, 3])
         return pd.DataFrame([(*key, pose.ravel().tolist(), rms, share, conflict)], columns=[*keys, "transform", "rms", "overlap", "conflict"])
 
     return a.unionByName(b).groupBy(*keys).applyInPandas(run, f"fixed {kind}, moving {kind}, yaw double, dx double, dy double, transform array<double>, rms double, overlap double, conflict double")
-
-
-def grouped_scans(edges: DataFrame, most: float) -> DataFrame:
-    """Scans (a, b, distance) grouped where linked within a distance."""
-    from .graph import blocks
-
-    return blocks(edges.where(F.col("distance") <= most).select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("scan"), F.col("block").alias("group"))

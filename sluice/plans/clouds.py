@@ -120,14 +120,14 @@ def point_normals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coarse_registration(spark: SparkSession, d: str) -> DataFrame:
-    p = t.points(spark, d)
+    p = grid.voxel_sample(t.points(spark, d), 0.05, 60_000)
     scans = p.select(F.col("scan").alias("moving")).distinct()
     pairs = scans.select((F.col("moving") - 1).alias("fixed"), "moving").join(scans.withColumnRenamed("moving", "fixed"), "fixed", "left_semi")
-    return registration.coarse_search(p, pairs, [-10.0, 0.0, 10.0], 0.5)
+    return registration.coarse_search(p, pairs, [-10.0, 0.0, 10.0], 0.5, least=1.0)
 
 
 def refined_registration(spark: SparkSession, d: str) -> DataFrame:
-    p = t.points(spark, d)
+    p = grid.voxel_sample(t.points(spark, d), 0.05, 60_000)
     best = coarse_registration(spark, d).groupBy("fixed", "moving").agg(F.max_by(F.struct("yaw", "dx", "dy"), "score").alias("b")).select("fixed", "moving", "b.*")
     return registration.refine(p, best, 4)
 

@@ -40,12 +40,59 @@ def test_icp_recovers_pose(scene):
     assert np.linalg.norm(back - scene[::2], axis=1).mean() < 0.03 and rms < 0.05 and share > 0.9
 
 
+def best_shift(one, two, cell, bright=(None, None)):
+    """(dx, dy, score) that brings `two` onto `one` by the best agreement."""
+    a, b = R.rasters(one, bright[0], cell), R.rasters(two, bright[1], cell)
+    score, _ = R.agreement(a, b, 8 / cell**2)
+    i, j, s = R.peaks(score, 1, 8)[0]
+    return a.origin[0] - b.origin[0] + (j - b.seen.shape[1] + 1) * cell, a.origin[1] - b.origin[1] + (i - b.seen.shape[0] + 1) * cell, s
+
+
 def test_coarse_shift(scene):
-    one, e1, o1 = R.features(scene, 0.25)
-    two, e2, o2 = R.features(scene + [3.0, -1.5, 0], 0.25)
-    i, j, s = R.peaks(R.correlate(one, two), 1, 8)[0]
-    assert abs(o1[0] - o2[0] + (j - two.shape[1] + 1) * 0.25 + 3.0) <= 0.5
-    assert abs(o1[1] - o2[1] + (i - two.shape[0] + 1) * 0.25 - 1.5) <= 0.5 and s > 0.9
+    dx, dy, s = best_shift(scene, scene + [3.0, -1.5, 0], 0.25)
+    assert abs(dx + 3.0) <= 0.5 and abs(dy - 1.5) <= 0.5 and s > 0.9
+
+
+def wall_with_bays(rng, length, bays):
+    """A wall along x with ground before it and bays (start, width) that stand out."""
+    ground = np.column_stack([rng.uniform(0, length, 9000), rng.uniform(0, 8, 9000), rng.normal(0, 0.004, 9000)])
+    wall = np.column_stack([rng.uniform(0, length, 6000), rng.normal(8, 0.01, 6000), rng.uniform(0, 2.4, 6000)])
+    parts = [np.column_stack([rng.uniform(x, x + w, 900), rng.uniform(7, 8, 900), rng.uniform(0, 2.4, 900)]) for x, w in bays]
+    return np.concatenate([ground, wall, *parts])
+
+
+def test_self_similar_wall_is_matched_where_it_overlaps():
+    """Equal bays every 4 m but where the scans overlap: the wall alone makes a plain sum take the largest overlap."""
+    rng = np.random.default_rng(11)
+    bays = [(x, 1.0) for x in (2, 6, 10, 26, 30, 34)] + [(13, 0.6), (15.2, 2.0), (20.5, 1.4)]
+    whole = wall_with_bays(rng, 40, bays)
+    one, two = whole[whole[:, 0] < 24], whole[(whole[:, 0] > 12)]
+    moved = two + [5.0, 1.0, 0.0]
+    dx, dy, _ = best_shift(one, moved, 0.2)
+    assert abs(dx + 5.0) <= 0.4 and abs(dy + 1.0) <= 0.4
+    a, b = R.rasters(one, None, 0.2), R.rasters(moved, None, 0.2)
+    shape = tuple(m + n - 1 for m, n in zip(a.seen.shape, b.seen.shape, strict=True))
+    plain = np.fft.irfft2(sum(np.fft.rfft2(p, shape) * np.fft.rfft2(q[::-1, ::-1], shape) for p, q in zip(a.channels, b.channels, strict=True)), shape)
+    i, j, _ = R.peaks(plain, 1, 8)[0]
+    assert abs(a.origin[0] - b.origin[0] + (j - b.seen.shape[1] + 1) * 0.2 + 5.0) > 1  # the plain sum takes another bay
+
+
+def test_paint_fixes_a_featureless_street():
+    """Flat ground: only marks on it tell the place."""
+    rng = np.random.default_rng(12)
+    xy = rng.uniform(0, 24, (30000, 2))
+    mark = ((np.abs(xy[:, 0] - 9) < 0.3) | (np.abs(xy[:, 1] - 14) < 0.3) & (xy[:, 0] < 16) | (np.hypot(xy[:, 0] - 17, xy[:, 1] - 6) < 1)).astype(float)
+    flat = np.column_stack([xy, np.zeros(len(xy))])
+    a, b = xy[:, 0] < 20, xy[:, 0] > 4
+    dx, dy, s = best_shift(flat[a], flat[b] + [1.6, -2.2, 0], 0.2, (mark[a], mark[b]))
+    assert abs(dx + 1.6) <= 0.3 and abs(dy - 2.2) <= 0.3 and s > 0.5
+
+
+def test_finer_search(scene):
+    yaw, dx, dy = R.finer(scene, R.turn(scene, 3.0) + [1.3, -0.9, 0], (-2.0, -1.5, 0.5))
+    back = R.turn(R.turn(scene, 3.0) + [1.3, -0.9, 0], yaw) + [dx, dy, 0]
+    assert np.linalg.norm(back - scene, axis=1).mean() < 0.3
+    assert R.finer(scene, scene + [500.0, 0, 0], (1.0, 2.0, 3.0)) == (1.0, 2.0, 3.0)
 
 
 def test_distance_transform_and_labels():
@@ -72,10 +119,12 @@ def test_rigid_and_ransac():
     assert n >= 50 and np.allclose(got, r, atol=1e-6) and np.allclose(shift, [4, -3], atol=1e-6)
 
 
-def test_placement():
+def test_map_starts():
     line = np.concatenate([np.column_stack([np.arange(0, 30, 0.25), np.zeros(120)]), np.column_stack([np.zeros(60), np.arange(0, 15, 0.25)])])
-    dx, dy, yaw, cost = R.placement(line[::3] + [2.0, 1.0], line, reach=4.0, yaws=np.array([-2.0, 0.0, 2.0]))
-    assert (abs(dx + 2) <= 0.5, abs(dy + 1) <= 0.5, yaw) == (True, True, 0.0) and cost < 0.3
+    starts = R.map_starts([(line[::3] + [2.0, 1.0], line, 1.0, 0.45), (np.zeros((0, 2)), line, 0.5, 1.2)], most_shift=6, most_yaw=6)
+    dx, dy, yaw = starts[0]
+    assert (abs(dx + 2) <= 0.5, abs(dy + 1) <= 0.5, abs(yaw) <= 1) == (True, True, True) and len(starts) <= 6
+    assert R.map_starts([(np.zeros((0, 2)), line, 1.0, 0.45)]) == []
 
 
 def test_tiles_give_whole_scan_normals(spark, scene):
@@ -117,15 +166,18 @@ def test_step_edges_find_a_kerb(spark):
 
 
 def test_site_on_the_map(spark):
-    front = np.concatenate([np.column_stack([np.arange(0, 30, 0.1), np.zeros(300)]), np.column_stack([np.zeros(150), np.arange(0, 15, 0.1)])])
+    """The known pose is found from 15 m and 20 degrees away, without starting poses."""
+    front = np.concatenate([np.column_stack([np.arange(0, 30, 0.1), np.zeros(300)]), np.column_stack([np.zeros(150), np.arange(0, 15, 0.1)]), np.column_stack([np.full(60, 21.0), np.arange(-6, 0, 0.1)])])
     trees = np.array([[4.0, 5.0], [9.0, 6.5], [17.0, 5.2], [23.0, 7.0]])
-    t = np.radians(4.0)
+    t = np.radians(20.0)
     r = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
-    rows = [(1, "wall", *map(float, p), False) for p in front] + [(1, "pole", *map(float, p), False) for p in trees]
-    rows += [(1, "wall", *map(float, p), True) for p in front[::2] @ r.T + [1.0, -0.7]] + [(1, "pole", *map(float, p), True) for p in trees @ r.T + [1.0, -0.7]]
+    centre = np.concatenate([front, trees]).mean(axis=0)
+    away = lambda p: (p - centre) @ r.T + centre + [12.0, -9.0]
+    rows = [(1, kind, *map(float, p), False) for kind, points in (("wall", front), ("pole", trees), ("kerb", front + [0.0, 2.0])) for p in points]
+    rows += [(1, kind, *map(float, p), True) for kind, points in (("wall", away(front[::2])), ("pole", away(trees)), ("kerb", away(front[::5] + [0.0, 2.0]))) for p in points]
     rows += [(2, "wall", 1.0, 1.0, True), (2, "wall", 1.0, 1.0, False)]
     df = spark.createDataFrame(rows, "site int, kind string, x double, y double, own boolean")
-    starts = [(dx, dy, a) for dx in (-1.0, 0.0) for dy in (0.0, 1.0) for a in (-4.0, 0.0)] + [(12.0, 9.0, 20.0)]
-    out = {r.site: r for r in R.placed_on_map(df.where("own"), df.where("not own"), starts).collect()}
-    assert out[1].applied and abs(out[1].degrees + 4.0) < 0.3 and out[1].walls > 0.95 and out[1].poles == 1.0 and out[1].mean_m < 0.05
-    assert not out[2].applied and out[2].why == "too little to match"
+    out = {r.site: r for r in R.placed_on_map(df.where("own"), df.where("not own")).collect()}
+    assert out[1].applied and abs(out[1].degrees + 20.0) < 0.3 and out[1].walls > 0.95 and out[1].poles == 1.0 and out[1].kerbs > 0.95 and out[1].mean_m < 0.05
+    assert abs(np.hypot(out[1].dx, out[1].dy) - 15) < 1
+    assert not out[2].applied and out[2].why == "too little to match" and out[2].score is None
