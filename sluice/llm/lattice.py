@@ -161,7 +161,7 @@ def _filed(nodes: DataFrame, number: type, tables: int, probes: int, cell: float
 def pairs(unit: np.ndarray, key: np.ndarray, least: float, here: int, table: int, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs between rows `first` and rows `second` whose first meeting place is this cell of this table.
 
-    key: n x tables x (1 + probes), low halves of cell keys, as `here`. Where first and second are one block, each pair comes once.
+    key: n x tables up to this one x (1 + probes), cell keys, as `here`. Where first and second are one block, each pair comes once.
     """
     left, right = [], []
     one = first is second
@@ -194,7 +194,7 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _verify(work: DataFrame, number: type, least: float, tables: int, probes: int) -> DataFrame:
+def _verify(work: DataFrame, number: type, least: float, probes: int) -> DataFrame:
     """node, links (copies of the partners met here) and the smallest node it was joined to, from rows sorted by piece of work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,12 +209,12 @@ def _verify(work: DataFrame, number: type, least: float, tables: int, probes: in
                 for width in widths:
                     at = np.array([k for k, r in enumerate(held) if len(r[7]) == width])
                     unit = unit_rows([held[k][7] for k in at], number)
-                    key = np.array([held[k][8] for k in at], np.int64).astype(np.int32).reshape(len(at), tables, 1 + probes)
+                    key = np.array([held[k][8] for k in at], np.int64).reshape(len(at), table + 1, 1 + probes)
                     copies = np.array([held[k][6] for k in at])
                     mine = np.array([held[k][4] for k in at])
                     first = np.flatnonzero(mine == x)
                     second = first if x == y else np.flatnonzero(mine == y)
-                    i, j = pairs(unit, key, least, int(np.int64(here).astype(np.int32)), table, first, second)
+                    i, j = pairs(unit, key, least, here, table, first, second)
                     if len(i):
                         n = np.bincount(i, copies[j], len(at)) + np.bincount(j, copies[i], len(at))
                         low = spanning(len(at), i, j)
@@ -252,9 +252,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 8, pr
     met = places.join(full, ["place", "key"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("place", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node")
-    halves = F.transform("keys", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")).alias("keys")  # the low bits as an int
-    work = met.join(filed.select("node", "copies", "vec", halves), "node")
-    found = cut(_verify(work, number, least, tables, probes))
+    work = met.join(filed.select("node", "copies", "vec", "keys"), "node").withColumn("keys", F.slice("keys", 1, (F.col("place") + 1) * (1 + probes)))  # of the tables up to this one
+    found = cut(_verify(work, number, least, probes))
     roots_of = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     counted = found.groupBy("node").agg(F.sum("n").alias("n"))
     rooted = filed.select("node", "label", "digest", "least", "copies").join(counted, "node", "left").join(roots_of, "node", "left")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import html_text, prefix_trie, queries, whitening
+from sluice.llm import html_text, lattice, prefix_trie, queries, whitening
 
 LONG = "The cat that we had seen was on the roof of the house and it did not want to come down, so we went to look for a ladder in the shed and they were not there. " * 2
 
@@ -199,3 +199,13 @@ def test_polarised_products_are_exact(table_of):
     most = max(abs(n * v - t) for r in rows for v, t in zip(r, s, strict=True))
     want = [[sum((n * r[i] - s[i]) * (n * r[j] - s[j]) for r in rows) for j in range(4)] for i in range(4)]
     assert whitening.polarised(table_of([(r,) for r in rows], "x array<long>"), n, s, most) == want
+
+
+def test_lattice_meets_by_whole_keys():
+    """Two equal vectors, other cells in table 0 whose keys agree in the low half, one cell in table 1: they meet in table 1."""
+    unit = np.array([[1.0, 0.0], [1.0, 0.0]])
+    own = lambda a, b: np.array([[[5 + (a << 32)], [77 << 40]], [[5 + (b << 32)], [77 << 40]]], np.int64)
+    both = np.arange(2)
+    met = lambda key, table: [len(x) for x in lattice.pairs(unit, key[:, : table + 1], 0.98, int(key[0, table, 0]), table, both, both)]
+    assert met(own(1, 2), 1) == [1, 1]
+    assert met(own(1, 1), 1) == [0, 0] and met(own(1, 1), 0) == [1, 1]
