@@ -75,8 +75,8 @@ def ground_texture(moving: DataFrame, fixed: DataFrame, cell: float = 0.1, least
         return ground.groupBy("pair", *at).agg(F.avg("b").alias(name))
 
     both = means(fixed, "fixed").join(means(moving, "moving"), ["pair", "cx", "cy"])
-    ncc = F.corr("fixed", "moving")
-    out = both.groupBy("pair").agg(F.count("*").alias("texture_cells"), F.when(~F.isnan(ncc), ncc).alias("ncc"))
+    ncc = F.try_divide(F.covar_pop("fixed", "moving"), F.stddev_pop("fixed") * F.stddev_pop("moving"))
+    out = both.groupBy("pair").agg(F.count("*").alias("texture_cells"), ncc.alias("ncc"))
     return out.where(F.col("texture_cells") >= least).withColumn("ncc", F.coalesce("ncc", F.lit(0.0)))
 
 

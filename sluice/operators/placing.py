@@ -319,3 +319,62 @@ def stitched(points: DataFrame, scans: DataFrame, placed: DataFrame | None, size
         return out
     fit = moved(cloud.join(fitted, "site", "left_semi").join(placed.select("scan", "transform"), "scan"), F.col("transform"))
     return out.unionByName(fit.select("site", "scan", "pid", "x", "y", "z"))
+
+
+def on_the_map(points: DataFrame, placed: DataFrame, mapped: DataFrame, voxel: float = 0.1, most: int = 240_000) -> DataFrame:
+    """site, the motion that lays its fitted scans on the map (column pose; the identity where no placement is good enough) and registration.PLACED's columns."""
+    fitted = placed.where("status <> 'unmatched'")
+    cloud = moved(points.select("scan", "pid", "x", "y", "z").join(fitted.select("scan", "site", "transform"), "scan"), F.col("transform"))
+    sample = grid.voxel_sample(cloud.select(F.col("site").alias("scan"), F.xxhash64("scan", "pid").alias("pid"), "x", "y", "z"), voxel, most)
+    found = registration.placed_on_map(map_features(cut(sample)), mapped)
+    return cut(found.withColumn("pose", F.when(F.col("applied"), map_pose()).otherwise(pose(IDENTITY))))
+
+
+def site_scan(points: DataFrame, scans: DataFrame, yaws: list[float], mapped: DataFrame | None = None, **rules) -> tuple[DataFrame, DataFrame]:
+    """One cloud per site (site, scan, pid, x, y, z, r, g, b), and a report with a row per scan.
+
+    points: scan, pid, x, y, z, r, g, b in map coordinates; scans: scan, site, kind (las or ply). What is done with a site, by the
+    report's rung: `single` passes as it is; `registered` scans are fitted together (see registered(), which takes the rules), placed on
+    the map where mapped (site, kind, x, y) lets them, and the unmatched ones kept where they were; `rough positions` where no scan was
+    fitted: joined where they lie, grounds levelled; `as they are` for ply, which has no map position; `refused`, without a
+    cloud, for sites that mix both. The report has scan, site, rung, status, transform (of the raw points), moved_m, turned_deg, rms,
+    overlap, consistency, placed_by, and of the map applied, shift_m, map_degrees, walls, poles and why.
+    """
+    kinds = scans.groupBy("site").agg(F.count_distinct("kind").alias("kinds"), F.min("kind").alias("kind"), F.count("*").alias("n"))
+    rung = F.when(F.col("n") == 1, "single").when(F.col("kinds") > 1, "refused").when(F.col("kind") == "ply", "as they are").otherwise("fit")
+    plan = cut(scans.select("scan", "site").join(kinds.select("site", rung.alias("rung")), "site"))
+    try_fit = plan.where("rung = 'fit'").select("scan", "site")
+    own = points.join(try_fit.select("scan"), "scan", "left_semi")
+    none = F.lit(None)
+    names = ["moved_m", "turned_deg", "rms", "overlap", "consistency"]
+    map_names = {"applied": "boolean", "shift_m": "double", "map_degrees": "double", "walls": "double", "poles": "double", "why": "string"}
+    report = plan.where("rung <> 'fit'").select("scan", "site", "rung", none.cast("string").alias("status"), pose(IDENTITY).alias("transform"), *[none.cast("double").alias(c) for c in names], none.cast("string").alias("placed_by"), *[none.cast(k).alias(c) for c, k in map_names.items()])
+    colours = ["r", "g", "b"]
+    cloud = points.join(plan.where("rung in ('single', 'as they are')").select("scan", "site"), "scan").select("site", "scan", "pid", "x", "y", "z", *colours)
+    if try_fit.isEmpty():
+        return cloud, report
+    placed = cut(registered(own, try_fit, yaws, mapped=mapped, **rules))
+    good = placed.groupBy("site").agg(F.max(F.col("status") == "registered").alias("good"))
+    placed = placed.join(good, "site")
+    if mapped is None:
+        laid = placed.select("site").distinct().select("site", pose(IDENTITY).alias("pose"), *[none.cast(k).alias(c) for c, k in map_names.items()])
+    else:
+        laid = on_the_map(own, placed.where("good"), mapped, rules.get("voxel", 0.1)).select("site", "pose", "applied", F.hypot("dx", "dy").alias("shift_m"), F.col("degrees").alias("map_degrees"), "walls", "poles", "why")
+    met = placed.join(laid, "site", "left").withColumn("pose", F.coalesce("pose", pose(IDENTITY)))
+    final = F.when(F.col("good") & (F.col("status") != "unmatched"), times(F.col("pose"), F.col("transform"))).otherwise(pose(IDENTITY))
+    met = cut(met.withColumn("transform", final).withColumn("rung", F.when(F.col("good"), "registered").otherwise("rough positions")))
+    report = report.unionByName(met.select(*report.columns))
+    fitted = met.where("good")
+    moved_points = moved(own.join(fitted.select("scan", "site", "transform"), "scan"), F.col("transform")).select("site", "scan", "pid", "x", "y", "z", *colours)
+    loose = own.join(met.where("not good").select("scan", "site"), "scan")
+    level = levelled(loose)
+    loose = loose.join(level, ["site", "scan"]).withColumn("z", F.col("z") + F.col("offset")).select("site", "scan", "pid", "x", "y", "z", *colours)
+    return cloud.unionByName(moved_points).unionByName(loose), report
+
+
+def site_files(cloud: DataFrame) -> DataFrame:
+    """scan (the site's name) and content: a LAS file per site of site_scan's cloud, in order of scan and pid. A site is one file by nature."""
+    from ..sources.clouds import las_files
+
+    order = F.row_number().over(Window.partitionBy("site").orderBy("scan", "pid")).cast("long")
+    return las_files(cloud.select(F.col("site").cast("string").alias("scan"), order.alias("pid"), "x", "y", "z", "r", "g", "b"))

@@ -171,3 +171,35 @@ def test_neighbours_by_cells(spark):
     scans = spark.createDataFrame([(f"s{k}", k % 2) for k in range(60)], "scan string, site int")
     got = {frozenset((r.fixed, r.moving)) for r in P.neighbouring(points, scans, 40.0).collect()}
     assert got == {frozenset((f"s{i}", f"s{j}")) for i in range(60) for j in range(i) if i % 2 == j % 2 and np.hypot(*(centres[i] - centres[j])) <= 40}
+
+
+def test_site_scans_by_rung(spark, tmp_path):
+    """LAS and PLY files in, a LAS file per site and a report out: each rung has a site."""
+    from sluice.sources import clouds
+
+    rng = np.random.default_rng(31)
+    fronts = [(1, 5, 8), (7, 11, 9.5), (12.5, 15, 8.5)]
+    whole = np.concatenate([ground(rng, 0, 16, 9000), house_fronts(rng, fronts, 500)])
+    off, true = solid(2.0, [0.6, -0.4, 0.03]), solid(4.0, [1.5, 1.0, 0.0])
+    one, two = whole[whole[:, 0] < 13], apply(np.linalg.inv(off), whole[whole[:, 0] > 4][::2])
+    flat = np.column_stack([rng.uniform(0, 5, (400, 2)), np.zeros(400)])
+    for name, cloud in {"fit-1": one, "fit-2": two, "lone-1": flat, "far-1": flat, "far-2": flat + [300, 0, 2.0]}.items():
+        (tmp_path / f"{name}.las").write_bytes(clouds.las_bytes(cloud, np.full((len(cloud), 3), 90)))
+    for name in ("ply-1", "ply-2", "mix-2"):
+        lines = [f"{a} {b} {c} 9 9 9" for a, b, c in flat[:20].round(3)]
+        head = "ply\nformat ascii 1.0\nelement vertex 20\n" + "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue")) + "end_header\n"
+        (tmp_path / f"{name}.ply").write_text(head + "\n".join(lines) + "\n")
+    (tmp_path / "mix-1.las").write_bytes(clouds.las_bytes(flat, np.full((len(flat), 3), 90)))
+    points = clouds.points(spark, str(tmp_path))
+    names = {"fit-1": "las", "fit-2": "las", "lone-1": "las", "far-1": "las", "far-2": "las", "ply-1": "ply", "ply-2": "ply", "mix-1": "las", "mix-2": "ply"}
+    scans = spark.createDataFrame([(n, n[:-2], k) for n, k in names.items()], "scan string, site string, kind string")
+    mapped = spark.createDataFrame([("fit", "wall", *map(float, apply(true, np.append(p, 0))[:2])) for p in fronts_on_the_map(fronts)], "site string, kind string, x double, y double")
+    cloud, report = P.site_scan(points, scans, [0.0], mapped, voxel=0.15, cell=0.25, tries=2, most_shift=2.0)
+    rows = {r.scan: r for r in report.collect()}
+    assert {n: r.rung for n, r in rows.items()} == {"fit-1": "registered", "fit-2": "registered", "lone-1": "single", "far-1": "rough positions", "far-2": "rough positions", "ply-1": "as they are", "ply-2": "as they are", "mix-1": "refused", "mix-2": "refused"}
+    assert {rows["fit-1"].status, rows["fit-2"].status} == {"anchor", "registered"} and rows["fit-1"].applied and rows["fit-1"].walls > 0.6
+    got = np.array(rows["fit-2"].transform).reshape(4, 4)
+    assert np.linalg.norm(apply(got, two) - apply(true @ off, two), axis=1).mean() < 0.3
+    files = {r.scan: clouds.las_header(bytes(r.content)) for r in P.site_files(cloud).collect()}
+    assert {n: h["n"] for n, h in files.items()} == {"fit": len(one) + len(two), "lone": 400, "far": 800, "ply": 40}
+    assert {r.scan: round(r.z, 3) for r in cloud.where("site = 'far'").groupBy("scan").agg(F.avg("z").alias("z")).collect()} == {"far-1": 0.0, "far-2": 2.0}
