@@ -100,3 +100,46 @@ def turn_status(rules: DataFrame, restrictions: DataFrame, edges: DataFrame) ->
     known = F.col("from_edge").isNotNull() & F.col("to_edge").isNotNull()
     status = F.when(~known, "unresolved").when(F.col("mapped"), "confirmed").when(F.col("kind") == "ban", "added").otherwise("noted")
     return out.select("rule", "from_edge", "to_edge", status.alias("status"))
+
+
+def turn_kind(change: Column) -> Column:
+    """Of a change of heading in degrees, to the right positive: r (right), R (half right), l, L, s (straight) or t (back)."""
+    d = F.pmod(change + 180, F.lit(360.0)) - 180
+    side = lambda d, full, half: F.when(d > 150, "t").when(d > 45, full).when(d > 22.5, half)
+    return F.coalesce(side(d, "r", "R"), side(-d, "l", "L"), F.lit("s"))
+
+
+def resolved_turns(rules: DataFrame, sites: DataFrame, edges: DataFrame, connections: DataFrame, radius: float = 60.0, search: float = 200.0) -> DataFrame:
+    """Turn rules resolved on a street graph by place, name and direction: rule, junction, distance, from_edge, to_edge, turn and status.
+
+    rules: rule, kind (ban or hook), site, from_name, from_direction and, of bans, to_name and to_direction; sites: site, x, y;
+    edges: edge, name, src, dst, x0, y0, x1, y1 (cars may use them, straight); connections: from_edge, to_edge. A site's junction is the nearest
+    end of an edge. A ban needs exactly one edge each way; hook turns are all right turns out of exactly one approach. Status:
+    `applied` (a ban without connection, a hook turn with one), `NOT APPLIED`, or why not: `no junction`, `junction too far`,
+    `unresolved approach`, `no right turn`. A rule without edges has one row.
+    """
+    ends = edges.select(F.col("dst").alias("node"), F.col("x1").alias("jx"), F.col("y1").alias("jy")).unionByName(edges.select(F.col("src").alias("node"), F.col("x0").alias("jx"), F.col("y0").alias("jy")))
+    ends = ends.groupBy("node").agg(F.min(F.struct("jx", "jy")).alias("p")).select("node", "p.*")
+    around = lambda e: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: e + d)
+    s = sites.select("site", "x", "y", F.explode(around(geo.cell(F.col("x"), search))).alias("cx")).withColumn("cy", F.explode(around(geo.cell(F.col("y"), search))))
+    met = ends.withColumns({"cx": geo.cell(F.col("jx"), search), "cy": geo.cell(F.col("jy"), search)}).join(s, ["cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("jx"), F.col("y") - F.col("jy"))).where(F.col("distance") <= search)
+    junctions = met.groupBy("site").agg(F.min(F.struct("distance", "node")).alias("j")).select("site", "j.distance", F.col("j.node").alias("junction"))
+    e = edges.select("edge", "name", "src", "dst", geo.compass(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("direction"), F.degrees(F.atan2(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("bearing"))
+    at = rules.join(junctions, "site", "left")
+    into = e.select(F.col("dst").alias("junction"), F.col("name").alias("from_name"), F.col("direction").alias("from_direction"), F.struct("edge", "bearing").alias("f"))
+    out = e.select(F.col("src").alias("junction"), F.col("name").alias("to_name"), F.col("direction").alias("to_direction"), F.struct("edge", "bearing").alias("t"))
+    f = at.join(into, ["junction", "from_name", "from_direction"]).groupBy("rule").agg(F.collect_list("f").alias("f"))  # a junction has a few edges
+    bans = at.where("kind = 'ban'").join(out, ["junction", "to_name", "to_direction"]).groupBy("rule").agg(F.collect_list("t").alias("t"))
+    ways = at.where("kind <> 'ban'").join(out.select("junction", "t"), "junction").groupBy("rule").agg(F.collect_list("t").alias("t"))
+    one = at.join(f, "rule", "left").join(bans.unionByName(ways), "rule", "left")
+    right = lambda f, t: turn_kind(t["bearing"] - f["bearing"]).isin("r", "R")
+    turns = F.when(F.col("kind") == "ban", F.col("t")).otherwise(F.filter("t", lambda t: right(F.col("f")[0], t)))
+    good = (F.size("f") == 1) & ((F.col("kind") != "ban") | (F.size("t") == 1))
+    one = one.withColumn("_why", F.when(F.col("junction").isNull(), "no junction").when(F.col("distance") > radius, "junction too far").when(~F.coalesce(good, F.lit(False)), "unresolved approach"))
+    one = one.withColumn("_turns", F.when(F.col("_why").isNull(), turns)).withColumn("_why", F.when(F.col("_why").isNull() & (F.coalesce(F.size("_turns"), F.lit(0)) < 1), "no right turn").otherwise(F.col("_why")))
+    each = one.select("rule", "kind", "junction", "distance", "_why", F.when(F.col("_why").isNull(), F.col("f")[0]).alias("f"), F.explode_outer("_turns").alias("t"))
+    each = each.select("rule", "kind", "junction", "distance", "_why", F.col("f.edge").alias("from_edge"), F.col("t.edge").alias("to_edge"), F.when(F.col("t").isNotNull(), turn_kind(F.col("t.bearing") - F.col("f.bearing"))).alias("turn"))
+    known = connections.select("from_edge", "to_edge").distinct().withColumn("_linked", F.lit(True))
+    linked = F.coalesce("_linked", F.lit(False))
+    status = F.coalesce("_why", F.when(linked == (F.col("kind") == "hook"), "applied").otherwise("NOT APPLIED"))
+    return each.join(known, ["from_edge", "to_edge"], "left").select("rule", "junction", "distance", "from_edge", "to_edge", "turn", status.alias("status"))

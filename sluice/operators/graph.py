@@ -112,6 +112,36 @@ def prune_routes(routes: DataFrame, closed: list[str]) -> DataFrame:
     return routes.where(~ends).withColumn("passes", F.arrays_overlap("edges", own))
 
 
+def cut_off_ends(edges: DataFrame, closed: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node and whether a closure (node) makes it unreachable (no_way_in) or a trap (no_way_out), of the open nodes that were joined to the seeds both ways."""
+    shut = closed.select("node").distinct()
+    open_ = edges
+    for end in ("src", "dst"):
+        open_ = open_.join(shut.withColumnRenamed("node", end), end, "left_anti")
+    base = strong_set(edges, seeds).select("node").distinct().join(shut, "node", "left_anti")
+    reached, left = (reachable(open_, seeds, way).select("node", F.lit(True).alias(name)) for way, name in ((True, "_in"), (False, "_out")))
+    met = base.join(reached, "node", "left").join(left, "node", "left")
+    out = met.select("node", F.col("_in").isNull().alias("no_way_in"), F.col("_out").isNull().alias("no_way_out"))
+    return _cut(out.where("no_way_in or no_way_out"))
+
+
+def removals(trips: DataFrame, closed: DataFrame, cut_off: DataFrame, through_only: bool = False) -> DataFrame:
+    """Trips (id, first, last) with the reason why the closure removes them, the first that holds; null for those that stay.
+
+    closed: node; cut_off: as of cut_off_ends. through_only: the closed block has no driveways, so trips that start where no way leads out are
+    removed too, as they would be left out of the pool of routes.
+    """
+    shut = closed.select("node").distinct()
+    met = trips
+    for end in ("first", "last"):
+        met = met.join(shut.select(F.col("node").alias(end), F.lit(True).alias(f"_{end}_closed")), end, "left")
+        met = met.join(cut_off.select(F.col("node").alias(end), F.col("no_way_in").alias(f"_{end}_in"), F.col("no_way_out").alias(f"_{end}_out")), end, "left")
+    reason = F.when(F.col("_first_closed"), "starts on a closed edge").when(F.col("_last_closed"), "ends on a closed edge").when(F.col("_last_in"), "ends where no way leads")
+    if through_only:
+        reason = reason.when(F.col("_first_out") | F.col("_first_in") | F.col("_last_out"), "starts or ends beside the closure")
+    return met.select(*trips.columns, reason.alias("reason"))
+
+
 def replicate(vehicles: DataFrame, times: int, jitter: float = 150.0, seed: int = 1) -> DataFrame:
     """Each vehicle (id, depart) with times - 1 copies, departing up to `jitter` seconds earlier or later, the same on every run."""
     n = F.explode(F.sequence(F.lit(0), F.lit(times - 1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.geo import cell
+from ..functions.recovery import cut
 
 
 def cells(points: DataFrame, size: float) -> DataFrame:
@@ -164,3 +165,49 @@ def main_direction(segments: DataFrame) -> DataFrame:
     near = s.crossJoin(F.broadcast(top)).where(F.abs(F.pmod(F.col("angle") - F.col("mode") + 90, F.lit(180.0)) - 90) <= 3)
     two = lambda f: F.sum(F.col("length") * f(2 * F.radians("angle")))
     return near.agg(F.pmod(F.degrees(F.atan2(two(F.sin), two(F.cos)) / 2), F.lit(180.0)).alias("direction"))
+
+
+def filled(pixels: DataFrame, values: list[str], rounds: int = 2, least: int = 4) -> DataFrame:
+    """Pixels (scan, cx, cy, values) with the empty ones that have `least` filled ones around them, at their mean; in each round those of the last count.
+
+    `filled` tells the round, 0 for given pixels.
+    """
+    out = cut(pixels.select("scan", "cx", "cy", *values).withColumn("filled", F.lit(0)))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    for k in range(1, rounds + 1):
+        sent = out.withColumn("_s", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("_s.i"), "cy": F.col("cy") + F.col("_s.j")})
+        new = sent.groupBy("scan", "cx", "cy").agg(F.count("*").alias("_n"), *[F.avg(v).alias(v) for v in values]).where(F.col("_n") >= least)
+        new = new.join(out.select("scan", "cx", "cy"), ["scan", "cx", "cy"], "left_anti")
+        out = cut(out.unionByName(new.select("scan", "cx", "cy", *values, F.lit(k).alias("filled"))))
+    return out
+
+
+def minima(cells: DataFrame, value: str, apart: int) -> DataFrame:
+    """Cells (scan, cx, cy, value) that are no higher than any of their eight neighbours, the lowest first and at least `apart` cells from lower ones kept.
+
+    Rounds decide all cells at once: one without a lower undecided one nearby is kept, and drops what is near it; the result is that
+    of taking them one by one in order of value, cx and cy. A cell is near another less than `apart` away in both directions.
+    """
+    rank = F.struct(value, "cx", "cy")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    sent = cells.select("scan", F.col(value).alias("_v"), "cx", "cy", F.explode(around).alias("_s")).select("scan", "_v", (F.col("cx") + F.col("_s.i")).alias("cx"), (F.col("cy") + F.col("_s.j")).alias("cy"))
+    low = sent.groupBy("scan", "cx", "cy").agg(F.min("_v").alias("_v"))
+    left = cut(cells.select("scan", "cx", "cy", value).join(low, ["scan", "cx", "cy"], "left").where(F.coalesce(F.col(value) <= F.col("_v"), F.lit(True))).drop("_v"))
+    tile = lambda c: F.floor(F.col(c) / apart)
+    nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
+    def near(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Rows of a with each other row of b nearby (scan, cx, cy, _r, _q: ranks)."""
+        one = a.withColumns({"_r": rank, "tx": tile("cx"), "ty": tile("cy")})
+        two = b.select("scan", rank.alias("_q"), F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.explode(nine).alias("_s")).select("scan", "_q", "_x", "_y", (tile("_x") + F.col("_s.i")).alias("tx"), (tile("_y") + F.col("_s.j")).alias("ty"))
+        met = one.join(two, ["scan", "tx", "ty"]).where((F.abs(F.col("cx") - F.col("_x")) < apart) & (F.abs(F.col("cy") - F.col("_y")) < apart) & (F.col("_r") != F.col("_q")))
+        return met.select("scan", "cx", "cy", "_r", "_q")
+
+    kept: DataFrame | None = None
+    keys = ["scan", "cx", "cy"]
+    while not left.isEmpty():
+        beaten = near(left, left).where("_q < _r").select(*keys).distinct()
+        new = cut(left.join(beaten, keys, "left_anti"))
+        kept = new if kept is None else cut(kept.unionByName(new))
+        left = cut(left.join(new.select(*keys), keys, "left_anti").join(near(left, new).select(*keys).distinct(), keys, "left_anti"))
+    return left if kept is None else kept

@@ -161,7 +161,33 @@ c AS (SELECT a.pair, a.scan = a.pair AS own, floor((x - x0) / 0.8::DOUBLE) AS cx
 SELECT m.pair, count(*) AS texture_cells, round(coalesce(corr(f.b, m.b), 0), 6) AS ncc FROM c m JOIN c f ON m.pair = f.pair AND m.cx = f.cx AND m.cy = f.cy WHERE m.own AND NOT f.own GROUP BY 1 HAVING count(*) >= 5"""
 
 
+def filled_render(spark: SparkSession, d: str) -> DataFrame:
+    out = grid.filled(grid.render(t.points(spark, d), 0.5).select("scan", "cx", "cy", "z"), ["z"])
+    return out.select("scan", "cx", "cy", F.round("z", 8).alias("z"), "filled")
+
+
+FILLED_SQL = f"""{P}, p0 AS (SELECT scan, cx, cy, max(z) AS z, 0 AS filled FROM (SELECT *, {CELLS} FROM points) GROUP BY 1, 2, 3), o AS (SELECT i, j FROM (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE i <> 0 OR j <> 0),
+n1 AS (SELECT scan, cx + i AS cx, cy + j AS cy, avg(z) AS z, 1 AS filled FROM p0, o GROUP BY 1, 2, 3 HAVING count(*) >= 4), p1 AS (SELECT * FROM p0 UNION ALL SELECT * FROM n1 WHERE (scan, cx, cy) NOT IN (SELECT (scan, cx, cy) FROM p0)),
+n2 AS (SELECT scan, cx + i AS cx, cy + j AS cy, avg(z) AS z, 2 AS filled FROM p1, o GROUP BY 1, 2, 3 HAVING count(*) >= 4), p2 AS (SELECT * FROM p1 UNION ALL SELECT * FROM n2 WHERE (scan, cx, cy) NOT IN (SELECT (scan, cx, cy) FROM p1))
+SELECT scan, cx, cy, round(z, 8) AS z, filled FROM p2"""
+
+
+def height_minima(spark: SparkSession, d: str) -> DataFrame:
+    return grid.minima(grid.render(t.points(spark, d), 0.5, top=False).select("scan", "cx", "cy", "z"), "z", 3)
+
+
+MINIMA_SQL = f"""WITH RECURSIVE {P.removeprefix("WITH ")}, c AS (SELECT scan, cx, cy, min(z) AS z FROM (SELECT *, {CELLS} FROM points) GROUP BY 1, 2, 3),
+m AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.scan = c.scan AND abs(b.cx - c.cx) <= 1 AND abs(b.cy - c.cy) <= 1 AND b.z < c.z)),
+k AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY z, cx, cy) AS k FROM m),
+g AS (SELECT scan, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, z DOUBLE)[]) AS kept FROM (SELECT DISTINCT scan FROM k)
+UNION ALL SELECT g.scan, k.k, CASE WHEN len(list_filter(g.kept, lambda q: abs(q.x - k.cx) < 3 AND abs(q.y - k.cy) < 3)) > 0 THEN g.kept ELSE list_append(g.kept, {{'x': CAST(k.cx AS DOUBLE), 'y': CAST(k.cy AS DOUBLE), 'z': k.z}}) END FROM g JOIN k ON k.scan = g.scan AND k.k = g.k + 1),
+w AS (SELECT scan, unnest(kept) AS q FROM g QUALIFY row_number() OVER (PARTITION BY scan ORDER BY k DESC) = 1)
+SELECT scan, CAST(q.x AS BIGINT) AS cx, CAST(q.y AS BIGINT) AS cy, q.z AS z FROM w"""
+
+
 QUERIES = {
+    "filled_render": (filled_render, FILLED_SQL),
+    "height_minima": (height_minima, MINIMA_SQL),
     "grid_minimum": (grid_minimum, f"{P}, c AS (SELECT *, {CELLS} FROM points) SELECT scan, cx, cy, count(*) OVER (PARTITION BY scan, cx, cy) AS n, z, pid, x, y FROM c QUALIFY row_number() OVER (PARTITION BY scan, cx, cy ORDER BY z, pid) = 1"),
     "density_filter": (density_filter, DENSITY_SQL),
     "voxel_subsample": (voxel_subsample, VOXEL_SQL),
