@@ -76,3 +76,13 @@ def test_block_sections_by_hand(spark):
     assert out["b1"] == ("Main", sections.OUTSIDE)
     assert "lone" not in out  # the study area's edge at both ends
     assert sections.block_sections(rows.limit(0)).count() == 0
+
+
+def test_published_grid_coordinates(spark):
+    """Two survey marks with published geographic and grid coordinates, both ways."""
+    dms = lambda d, m, s: (abs(d) + m / 60 + s / 3600) * (1 if d >= 0 else -1)
+    marks = [(dms(-37, 57, 3.72030), dms(144, 25, 29.52440), 55, 273741.297, 5796489.777), (dms(-37, 39, 10.15610), dms(143, 55, 35.38390), 54, 758173.797, 5828674.340)]
+    for lat, lon, zone, east, north in marks:
+        r = one(spark, *geo.utm(F.lit(lat), F.lit(lon), zone), *geo.utm_inverse(F.lit(east), F.lit(north), zone))
+        assert abs(r[0] - east) < 0.002 and abs(r[1] - north) < 0.002
+        assert abs(r[2] - lat) < 2e-8 and abs(r[3] - lon) < 2e-8
