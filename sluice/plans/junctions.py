@@ -6,34 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import demand, graph
+from . import simulations
 from . import tables as t
 
 
-def _streets(spark: SparkSession, d: str) -> DataFrame:
-    """One-way links between suppliers' keys, so that a closure strands some and traps others."""
-    s = F.col("s_suppkey")
-    links = F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in ((s, s + 1), (s + 1, s - 3), (s, s + 5))])
-    return t.table(spark, d, "supplier").select(F.inline(links)).where("src > 0 and dst > 0")
-
-
 def _shut(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers of every third nation stand for the closed edges."""
-    return t.table(spark, d, "supplier").where("s_nationkey % 3 = 1").select(F.col("s_suppkey").alias("node"))
+    """Suppliers of a remainder of nations, but the seed, stand for the closed edges."""
+    return t.table(spark, d, "supplier").where("s_nationkey % 3 = 1 and s_suppkey <> 20").select(F.col("s_suppkey").alias("node"))
 
 
 def removal_accounting(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as trips from a supplier's edge to the one of the part: how many a closure removes, by reason. The seed is the least open edge."""
-    edges, closed = _streets(spark, d), _shut(spark, d)
-    seed = t.table(spark, d, "supplier").where("s_nationkey % 3 <> 1").agg(F.min("s_suppkey").alias("node"))
+    """Line items as trips from a supplier's edge to the one of the part: how many a closure removes, by reason. The seed is an open edge that much of the graph leads to and from."""
+    edges, closed = simulations._edges(spark, d), _shut(spark, d)
+    seed = spark.range(20, 21).select(F.col("id").alias("node"))
     off = graph.cut_off_ends(edges, closed, seed)
     n = t.table(spark, d, "supplier").agg(F.max("s_suppkey").alias("n"))
     trips = t.table(spark, d, "lineitem").crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("first"), (F.col("l_partkey") % F.col("n") + 1).alias("last"))
     return graph.removals(trips, closed, off, through_only=True).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("trips"))
 
 
-REMOVAL_SQL = """WITH RECURSIVE ed AS (SELECT DISTINCT src, dst FROM (SELECT s_suppkey AS src, s_suppkey + 1 AS dst FROM supplier UNION ALL SELECT s_suppkey + 1, s_suppkey - 3 FROM supplier UNION ALL SELECT s_suppkey, s_suppkey + 5 FROM supplier) WHERE src > 0 AND dst > 0),
-shut AS (SELECT s_suppkey AS node FROM supplier WHERE s_nationkey % 3 = 1), op AS (SELECT * FROM ed WHERE src NOT IN (SELECT node FROM shut) AND dst NOT IN (SELECT node FROM shut)),
-seed AS (SELECT min(s_suppkey) AS node FROM supplier WHERE s_nationkey % 3 <> 1),
+REMOVAL_SQL = f"""WITH RECURSIVE {simulations.EDGES},
+shut AS (SELECT s_suppkey AS node FROM supplier WHERE s_nationkey % 3 = 1 AND s_suppkey <> 20), op AS (SELECT * FROM ed WHERE src NOT IN (SELECT node FROM shut) AND dst NOT IN (SELECT node FROM shut)),
+seed AS (SELECT CAST(20 AS BIGINT) AS node),
 af AS (SELECT node FROM seed UNION SELECT dst FROM af JOIN ed ON src = node), ab AS (SELECT node FROM seed UNION SELECT src FROM ab JOIN ed ON dst = node),
 cf AS (SELECT node FROM seed UNION SELECT dst FROM cf JOIN op ON src = node), cb AS (SELECT node FROM seed UNION SELECT src FROM cb JOIN op ON dst = node),
 base AS (SELECT node FROM af INTERSECT SELECT node FROM ab EXCEPT SELECT node FROM shut), noin AS (SELECT node FROM base EXCEPT SELECT node FROM cf), noout AS (SELECT node FROM base EXCEPT SELECT node FROM cb),
