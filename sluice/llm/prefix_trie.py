@@ -91,12 +91,13 @@ def nodes(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
     top = cut(root.select(_node("least", F.lit(0)).alias("node"), "n_convs"))
     above = named.select(F.col("key").alias("_key"), F.col("least").alias("up"))
     rows = named.join(above, F.col("parent_key") == F.col("_key"), "left").select(_node("least", "key.place").alias("node"), "up", "n_convs", "chars")
-    first = top.select(F.col("node.c").alias("root"))  # one row
-    rows = rows.crossJoin(F.broadcast(first)).select("node", _node(F.coalesce("up", "root"), F.col("node.d") - 1).alias("parent"), "n_convs", "chars")
+    found = top.first()
+    first = F.lit(found["node"]["c"] if found else None).cast("long")
+    rows = rows.select("node", _node(F.coalesce("up", first), F.col("node.d") - 1).alias("parent"), "n_convs", "chars")
     tree = rows.unionByName(top.select("node", F.lit(None).cast("struct<c:bigint,d:bigint>").alias("parent"), "n_convs", F.lit(0).cast("long").alias("chars")))
     last = paths.select(F.col("conv").alias("_conv"), "place", "key").join(convs.where("turns > 0"), (F.col("_conv") == F.col("conv")) & (F.col("place") == F.col("turns")))
     ends = last.join(named.select("key", "least"), "key").select("conv", _node("least", "place").alias("node"))
-    none = convs.where("turns = 0").crossJoin(F.broadcast(first)).select("conv", _node("root", F.lit(0)).alias("node"))
+    none = convs.where("turns = 0").select("conv", _node(first, F.lit(0)).alias("node"))
     return cut(tree), ends.unionByName(none)
 
 
