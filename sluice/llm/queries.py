@@ -135,5 +135,18 @@ f AS (SELECT *, (before = '' AND k = 1 AND role IN ('system', 'user')) OR (k > 1
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(good) AS in_order FROM f GROUP BY conv_id"""
 
+OP12_SQL = """WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY 1),
+cv AS (SELECT n.c, n.n, n.c - n.c % 100 AS b, coalesce(o.n, 0) AS nb, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(n.c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 6 AS h FROM n LEFT JOIN n o ON o.c = n.c - n.c % 100),
+r AS (SELECT cv.c, t.pos AS d, role, text FROM cv JOIN t ON t.c = cv.b AND t.pos <= cv.h UNION ALL SELECT cv.c, t.pos - h + least(h, nb), role, text FROM cv JOIN t ON t.c = cv.c WHERE t.pos > h),
+k AS (SELECT c, d, length(text) AS chars, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM r),
+p AS (SELECT c, d, chars, key, lag(key, 1, 'root') OVER (PARTITION BY c ORDER BY d) AS up FROM k UNION ALL SELECT c, 0, 0, 'root', NULL FROM cv),
+node AS (SELECT key, d, any_value(up) AS up, min(c) AS c, count(*) AS n, max(chars) AS chars FROM p GROUP BY 1, 2),
+kids AS (SELECT up, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY 1),
+sums AS (SELECT a.key, count(*) FILTER (x.key NOT IN (SELECT up FROM kids)) AS leaves, sum((x.n - 1) * x.chars) AS saved FROM node x JOIN p a ON a.c = x.c AND a.d <= x.d GROUP BY 1),
+ends AS (SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h FROM (SELECT c, key FROM p QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY 1)
+SELECT node.c AS conv_id, CAST(node.d AS BIGINT) AS depth, u.c AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends.h, sha256('')) AS ends_sha256
+FROM node LEFT JOIN node u ON u.key = node.up LEFT JOIN kids ON kids.up = node.key JOIN sums ON sums.key = node.key LEFT JOIN ends ON ends.key = node.key"""
+
 #: SQL of DuckDB that gives the same rows. The others depend on tokenizers, hashes or trained models, or on match offsets.
-SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_lattice": OP4_SQL, "op6_substrings": OP6_SQL, "op7_chat": OP7_SQL}
+SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_lattice": OP4_SQL, "op6_substrings": OP6_SQL, "op7_chat": OP7_SQL, "op12_prefix_trie": OP12_SQL}
