@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clouds, details, forecasts, junctions, places, scenes, simulations, streets, traffic
+from . import closure_cases, clouds, details, forecasts, junctions, places, scenes, simulations, streets, traffic
 
-MODULES = (traffic, places, forecasts, junctions, simulations, streets, clouds, scenes, details)
+MODULES = (traffic, places, forecasts, junctions, simulations, streets, clouds, scenes, details, closure_cases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
