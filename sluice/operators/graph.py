@@ -142,6 +142,23 @@ def removals(trips: DataFrame, closed: DataFrame, cut_off: DataFrame, through_on
     return met.select(*trips.columns, reason.alias("reason"))
 
 
+def demands(trips: DataFrame, closed: list, rerouted: DataFrame, signed: DataFrame) -> DataFrame:
+    """The same trips for each case: case (base, closure, signed) and the trips' columns, with the edges driven in that case.
+
+    trips: id, edges and more; rerouted and signed: id, edges, a row for each trip with such a way. A trip over a closed
+    edge that cannot be rerouted is left out of every case; one without a signed way (trapped) takes the other. With none
+    of both tables' rows all cases are equal.
+    """
+    uses = F.arrays_overlap("edges", F.array(*[F.lit(c) for c in closed]))
+    met = trips.withColumn("_uses", F.coalesce(uses, F.lit(False))).join(rerouted.select("id", F.col("edges").alias("_r")), "id", "left").join(signed.select("id", F.col("edges").alias("_s")), "id", "left")
+    kept = met.where(~F.col("_uses") | F.col("_r").isNotNull())
+    way = lambda name, edges: F.struct(F.lit(name).alias("case"), edges.alias("edges"))
+    own = F.col("edges")
+    ways = F.array(way("base", own), way("closure", F.when(F.col("_uses"), F.col("_r")).otherwise(own)), way("signed", F.when(F.col("_uses"), F.coalesce("_s", "_r")).otherwise(own)))
+    rest = [c for c in trips.columns if c != "edges"]
+    return kept.select(*rest, F.inline(ways))
+
+
 def replicate(vehicles: DataFrame, times: int, jitter: float = 150.0, seed: int = 1) -> DataFrame:
     """Each vehicle (id, depart) with times - 1 copies, departing up to `jitter` seconds earlier or later, the same on every run."""
     n = F.explode(F.sequence(F.lit(0), F.lit(times - 1)))

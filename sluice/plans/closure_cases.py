@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cases, sections
+from ..operators import cases, graph, sections
 from . import tables as t
 
 CASES = ["closure", "signed"]
@@ -150,16 +150,16 @@ FROM rep JOIN dl ON dl."case" = rep."case" JOIN h ON h."case" = rep."case" LEFT
 
 
 def block_queue_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Events as cars that queue on a block (their user's remainder), a second for each quarter of an hour; purchases are the closure case."""
+    """Events as cars that queue on a block (their user's remainder), a second for each quarter of an hour; errors are the normal runs."""
     e = t.table(spark, d, "events")
-    case = F.when(F.col("event_type") == "purchase", "closure").when(F.col("event_type") == "click", "signed").otherwise("base")
+    case = F.when(F.col("event_type") == "error", "base").when(F.col("event_type").isin("click", "view"), "closure").otherwise("signed")
     second = F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)
-    q = e.groupBy(case.alias("case"), (F.col("user_id") % 50).alias("block"), second.cast("int").alias("second")).agg(F.count("*").cast("double").alias("cars"))
+    q = e.groupBy(case.alias("case"), (F.col("user_id") % 10).alias("block"), second.cast("int").alias("second")).agg(F.count("*").cast("double").alias("cars"))
     out = cases.block_levels(q, CASES, 24, 96, 8)
     return out.select("case", "block", "second", F.round("queue", 6).alias("queue"), F.round("normal", 6).alias("normal"), "level")
 
 
-LEVELS_SQL = """WITH q AS (SELECT CASE event_type WHEN 'purchase' THEN 'closure' WHEN 'click' THEN 'signed' ELSE 'base' END AS "case", user_id % 50 AS block, CAST(hour(ts) * 4 + minute(ts) // 15 AS INTEGER) AS second, CAST(count(*) AS DOUBLE) AS cars FROM events GROUP BY ALL),
+LEVELS_SQL = """WITH q AS (SELECT CASE WHEN event_type = 'error' THEN 'base' WHEN event_type IN ('click', 'view') THEN 'closure' ELSE 'signed' END AS "case", user_id % 10 AS block, CAST(hour(ts) * 4 + minute(ts) // 15 AS INTEGER) AS second, CAST(count(*) AS DOUBLE) AS cars FROM events GROUP BY ALL),
 near AS (SELECT * FROM q WHERE second BETWEEN 16 AND 95), g AS (SELECT k."case", b.block, CAST(s.second AS INTEGER) AS second FROM (SELECT DISTINCT block FROM near) b CROSS JOIN (SELECT unnest(['base', 'closure', 'signed']) AS "case") k CROSS JOIN (SELECT unnest(range(16, 96)) AS second) s),
 x AS (SELECT g.*, coalesce(cars, 0) AS cars FROM g LEFT JOIN near ON near."case" = g."case" AND near.block = g.block AND near.second = g.second),
 y AS (SELECT *, avg(cars) OVER (PARTITION BY "case", block ORDER BY second ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS queue FROM x),
@@ -168,10 +168,30 @@ z AS (SELECT y.*, coalesce(normal, 0) AS normal FROM y LEFT JOIN n ON n.block =
 SELECT "case", block, second, round(queue, 6) AS queue, round(normal, 6) AS normal, CAST(CASE WHEN queue - normal < 2 THEN 0 ELSE (queue - normal >= 0.2 * normal)::INT + (queue - normal >= 0.5 * normal)::INT + (queue - normal >= normal)::INT END AS INTEGER) AS level FROM z"""
 
 
+def closure_demands(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as sampled trips over their suppliers; the edges of pending ones cannot be rerouted, open ones have a signed way."""
+    x = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", (F.col("l_suppkey") % 25).alias("edge"))
+    trips = x.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "edge"))).alias("e")).select("id", F.col("e.edge").alias("edges"))
+    o = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    way = trips.join(o, "id")
+    free = F.filter("edges", lambda e: ~e.isin(*CLOSED))
+    rerouted = way.where("o_orderstatus <> 'P'").select("id", free.alias("edges"))
+    signed = way.where("o_orderstatus = 'O'").select("id", F.transform("edges", lambda e: F.when(e.isin(*CLOSED), e + 100).otherwise(e)).alias("edges"))
+    out = graph.demands(trips, CLOSED, rerouted, signed)
+    return out.select("case", "id", F.array_join(F.col("edges").cast("array<string>"), " ").alias("edges"))
+
+
+DEMANDS_SQL = """WITH x AS (SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey % 25 AS edge, l_suppkey % 25 IN (3, 4) AS shut FROM lineitem),
+t AS (SELECT id, bool_or(shut) AS used, string_agg(edge, ' ' ORDER BY n, edge) AS edges, coalesce(string_agg(edge, ' ' ORDER BY n, edge) FILTER (NOT shut), '') AS free, string_agg(edge + CASE WHEN shut THEN 100 ELSE 0 END, ' ' ORDER BY n, edge) AS signed FROM x GROUP BY 1),
+k AS (SELECT t.*, o_orderstatus AS s FROM t LEFT JOIN orders ON o_orderkey = id WHERE NOT used OR o_orderstatus <> 'P')
+SELECT 'base' AS "case", id, edges FROM k UNION ALL SELECT 'closure', id, CASE WHEN used THEN free ELSE edges END FROM k UNION ALL SELECT 'signed', id, CASE WHEN used AND s = 'O' THEN signed WHEN used THEN free ELSE edges END FROM k"""
+
+
 QUERIES = {
     "case_delays": (case_delays, DELAYS_SQL),
     "case_streets": (case_streets, STREETS_SQL),
     "case_legs": (case_legs, LEGS_SQL),
     "case_records": (case_records, RECORDS_SQL),
+    "closure_demands": (closure_demands, DEMANDS_SQL),
     "block_queue_levels": (block_queue_levels, LEVELS_SQL),
 }

@@ -179,3 +179,12 @@ def write_sorted_csv(df: DataFrame, path: str, *order) -> None:
 def write_exposure(df: DataFrame, path: str) -> None:
     """The wide table, partitioned by the closure's month, zstd, row groups of about a million short rows."""
     df.withColumn("month", F.date_format("d_from", "yyyy-MM")).repartition("month").sortWithinPartitions("radar_id", "site_no", "date_local").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(128 << 20)).partitionBy("month").parquet(path)
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Nested records as JSON, one to a line, fields without a value as null."""
+    records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)

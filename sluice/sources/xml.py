@@ -18,6 +18,12 @@ NODES = "`_id` long, `_lat` double, `_lon` double"
 WAYS = "`_id` long, nd array<struct<`_ref`: long>>, tag array<struct<`_k`: string, `_v`: string>>"
 RELATIONS = "`_id` long, member array<struct<`_type`: string, `_ref`: long, `_role`: string>>, tag array<struct<`_k`: string, `_v`: string>>"
 
+DEMAND = "`_id` string, `_type` string, `_depart` double, `_from` string, `_to` string"
+CONNECTIONS = "`_from` string, `_to` string, `_fromLane` int, `_toLane` int"
+#: The passenger car of the runs, and how a vehicle enters the network.
+CAR = {"id": "car", "vClass": "passenger", "length": "4.8", "minGap": "2.0", "accel": "2.6", "decel": "4.5", "sigma": "0.5", "tau": "1.0", "speedFactor": "normc(1,0.1,0.8,1.2)"}
+ENTRY = {"departLane": "best", "departSpeed": "max", "departPos": "random_free"}
+
 
 def elements(spark: SparkSession, path: str, tag: str, schema: str, keyed: bool = False) -> DataFrame:
     """A row per element, attributes without their mark; keyed adds scenario, hour and seed of the run's folder."""
@@ -80,3 +86,60 @@ def write_counts(counts: DataFrame, path: str) -> None:
     """Edge counts as a counts file: edges inside their interval."""
     e = counts.groupBy("begin", "end").agg(F.sort_array(F.collect_list(F.struct(F.col("edge").alias("_id"), F.col("entered").alias("_entered")))).alias("edge"))
     e.select(F.col("begin").alias("_begin"), F.col("end").alias("_end"), "edge").coalesce(1).write.mode("overwrite").format("xml").option("rootTag", "data").option("rowTag", "interval").option("attributePrefix", "_").save(path)
+
+
+def _write(rows: DataFrame, path: str, root: str, tag: str) -> None:
+    rows.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", tag).option("attributePrefix", "_").option("declaration", "").save(path)
+
+
+def _by_departure(rows: DataFrame, files: int) -> DataFrame:
+    """In order of departure, then id, within the files and from file to file."""
+    return rows.repartitionByRange(files, "depart", "id").sortWithinPartitions("depart", "id")
+
+
+def _vehicle(kind: str) -> list:
+    given = {"type": kind, **ENTRY}
+    return [F.col("id").cast("string").alias("_id"), F.format_string("%.1f", F.col("depart").cast("double")).alias("_depart"), *[F.lit(v).alias(f"_{k}") for k, v in given.items()]]
+
+
+def write_routes(vehicles: DataFrame, path: str, kind: str = "car", files: int = 8) -> None:
+    """Vehicles (id, depart, edges) with their route inside, in up to `files` files; a simulator needs them in order of departure."""
+    route = F.struct(F.array_join(F.col("edges").cast("array<string>"), " ").alias("_edges")).alias("route")
+    _write(_by_departure(vehicles, files).select(*_vehicle(kind), route), path, "routes", "vehicle")
+
+
+def write_trips(vehicles: DataFrame, path: str, kind: str = "car", files: int = 8) -> None:
+    """Vehicles (id, depart, edges) as trips from their first to their last edge. Those without edges have no trip."""
+    ends = [F.element_at(F.col("edges").cast("array<string>"), i).alias(name) for i, name in ((1, "_from"), (-1, "_to"))]
+    _write(_by_departure(vehicles.where(F.size("edges") > 0), files).select(*_vehicle(kind), *ends), path, "routes", "trip")
+
+
+def write_vehicle_type(spark: SparkSession, path: str, attributes: dict[str, str] | None = None) -> None:
+    """The vehicles' type as a file of its own, which routes and trips in many files share."""
+    row = spark.range(1).select(*[F.lit(v).alias(f"_{k}") for k, v in (attributes or CAR).items()])
+    _write(row.coalesce(1), path, "additional", "vType")
+
+
+def write_connections(turns: DataFrame, path: str) -> None:
+    """Turn rules (kind, from_edge, to_edge, from_lane, to_lane) as changes of the network, in the folders `delete` and `connection`.
+
+    A ban deletes all connections of its two edges, once; a hook turn moves its connection to the kerb lane (0), unless it starts
+    there. Rows without edges change nothing.
+    """
+    known = turns.where("from_edge is not null and to_edge is not null")
+    ends = [F.col("from_edge").alias("_from"), F.col("to_edge").alias("_to")]
+    bans = known.where("kind = 'ban'").select(*ends, F.lit(None).cast("int").alias("_fromLane"), F.lit(None).cast("int").alias("_toLane"))
+    hooks = known.where("kind = 'hook' and from_lane <> 0").select(*ends, F.col("from_lane").cast("int").alias("_fromLane"), F.col("to_lane").cast("int").alias("_toLane")).distinct()
+    order = ["_from", "_to", "_fromLane", "_toLane"]
+    _write(bans.unionByName(hooks).distinct().orderBy(*order), f"{path}/delete", "connections", "delete")
+    _write(hooks.withColumn("_fromLane", F.lit(0)).distinct().orderBy(*order), f"{path}/connection", "connections", "connection")
+
+
+def demand_trips(spark: SparkSession, path: str) -> DataFrame:
+    return elements(spark, path, "trip", DEMAND)
+
+
+def connections(spark: SparkSession, path: str) -> DataFrame:
+    """change (delete or connection), from, to, fromLane and toLane of written connections."""
+    each = [elements(spark, f"{path}/{tag}", tag, CONNECTIONS).withColumn("change", F.lit(tag)) for tag in ("delete", "connection")]
+    return each[0].unionByName(each[1])

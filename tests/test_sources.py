@@ -172,3 +172,48 @@ def test_lookup_as_a_table_function(spark):
     assert tuple(at("'full', 'night', 'day', 'low', 'cross street'")) == (3, 99)
     with pytest.raises(Exception, match="no lookup row fits"):
         at("'full', 'night', 'day', 'low'")
+
+
+def _elements(folder):
+    """Elements of a folder's files, in the order of the files."""
+    import glob
+    import xml.etree.ElementTree as ET
+
+    return [e for f in sorted(glob.glob(f"{folder}/part-*")) if (text := open(f).read().strip()) for e in ET.fromstring(text)]
+
+
+def test_routes_and_trips_in_many_files(spark, tmp_path):
+    rows = [(f"v{i}", float((i * 37) % 200) + 0.25, ["a", f"e{i % 7}", "z"]) for i in range(200)] + [("none", 5.0, [])]
+    df = spark.createDataFrame(rows, "id string, depart double, edges array<string>")
+    xml.write_routes(df, str(tmp_path / "r"), files=3)
+    written = _elements(tmp_path / "r")
+    assert [(v.get("id")) for v in written] == [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert {v.get("id"): v.find("route").get("edges") for v in written} == {r[0]: " ".join(r[2]) for r in rows}
+    assert all(v.get("type") == "car" and v.get("departPos") == "random_free" and v.get("depart").endswith(".3") for v in written if v.get("id") != "none")
+    back = {r.id: r.edges for r in xml.routes(spark, str(tmp_path / "r"), keyed=False).collect()}
+    assert {k: back[k] for k in back if k != "none"} == {r[0]: r[2] for r in rows if r[2]}
+    xml.write_trips(df, str(tmp_path / "t"), files=3)
+    assert {(t.id, t["from"], t.to) for t in xml.demand_trips(spark, str(tmp_path / "t")).collect()} == {(r[0], "a", "z") for r in rows if r[2]}
+    xml.write_vehicle_type(spark, str(tmp_path / "v"))
+    assert [e.attrib for e in _elements(tmp_path / "v")] == [xml.CAR]
+    xml.write_routes(df.limit(0), str(tmp_path / "empty"))
+    assert xml.routes(spark, str(tmp_path / "empty"), keyed=False).count() == 0
+
+
+def test_connections(spark, tmp_path):
+    turns = [("ban", "a", "b", 0, 0), ("ban", "a", "b", 1, 0), ("hook", "c", "d", 2, 1), ("hook", "c", "e", 0, 0), ("ban", None, "b", 0, 0)]
+    xml.write_connections(spark.createDataFrame(turns, "kind string, from_edge string, to_edge string, from_lane int, to_lane int"), str(tmp_path / "c"))
+    got = sorted(xml.connections(spark, str(tmp_path / "c")).select("change", "from", "to", "fromLane", "toLane").collect(), key=str)
+    assert [tuple(r) for r in got] == [("connection", "c", "d", 0, 1), ("delete", "a", "b", None, None), ("delete", "c", "d", 2, 1)]
+
+
+def test_case_records_round_trip(spark, sf, tmp_path):
+    from sluice.operators import cases
+    from sluice.plans import closure_cases as plan
+
+    delay, trip = plan._delays(spark, sf)
+    r = cases.records(delay, trip, plan._streets(spark, sf), plan._legs(spark, sf), plan._runs(spark, sf)[4])
+    feeds.write_records(r, str(tmp_path / "j"))
+    back = feeds.read_records(spark, str(tmp_path / "j"), r.schema)
+    by = lambda df: sorted(df.collect(), key=lambda x: x.case)
+    assert by(back) == by(r) and [x.case for x in by(back)] == plan.CASES
