@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 The base kinds are those of the contract: email, ip, card and phone, matched leftmost and non-overlapping per kind
-over the whole text; a match that fails its check is dropped. The method adds iban (confirmed mod 97) and ssn
+over the whole text; a match that fails its check is dropped. The method adds iban (of its country's length, confirmed mod 97) and ssn
 (three number groups with valid ranges). Every span has a score: the kind's own, raised when one of the kind's
 context words stands within `near` characters before it, lowered for repeated-digit fillers. Base spans stay whatever
 their score; an added span stays only with LEAST or more, so three number groups need a context word to be a ssn.
@@ -32,7 +32,15 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# The length of a country's numbers.
+LENGTHS = """
+AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18
+FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20
+LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31
+SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20
+"""
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.6}
 LEAST = 0.65
@@ -46,6 +54,16 @@ CONTEXT = {
 }
 
 
+def _of_length(n: int) -> re.Pattern:
+    """A number of n characters in groups of four, each with or without a blank before it."""
+    groups, rest = divmod(n - 4, 4)
+    tail = f"(?:[ ]?[A-Z0-9]{{{rest}}})" if rest else ""
+    return re.compile(f"[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{groups}}}{tail}(?![A-Za-z0-9])")
+
+
+SHAPES = {x[:2]: _of_length(int(x[2:])) for x in LENGTHS.split()}
+
+
 def luhn(digits: str) -> bool:
     """Whether the last digit is the Luhn check digit of the others."""
     odd = sum(map(int, digits[-1::-2]))
@@ -72,6 +90,15 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers of their country's length, so a word in capitals after them is no part; of countries not listed, as far as the groups go."""
+    free = 0
+    for m in HEAD.finditer(text):
+        if m.start() >= free and (x := SHAPES.get(m.group()[:2], IBAN).match(text, m.start())) and mod97(x.group()):
+            yield x.span()
+            free = x.end()
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of confirmed spans, by kind as listed, then by start."""
     if "@" in text:
@@ -89,9 +116,8 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if mod97(m.group()):
-            yield "iban", *m.span()
+    for s, e in ibans(text):
+        yield "iban", s, e
     if "-" in text:
         for m in SSN.finditer(text):
             a, b, c = m.groups()

@@ -182,3 +182,12 @@ def test_pipeline_of_an_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_bank_numbers_end_at_their_countrys_length():
+    found = lambda t: [t[s:e] for s, e in pii.ibans(t)]
+    assert found("to BE68 5390 0754 7034 EUR 50") == ["BE68 5390 0754 7034"]
+    assert found("NO93 8601 1117 947 AND FR14 2004 1010 0505 0001 3M02 606 OK") == ["NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    assert found("BE68 5390 0754 70345 BE68539007547034X xBE68539007547034 BE68 5390 0754 7035") == []
+    text = "account BE68 5390 0754 7034 EUR"
+    assert pii.masked(text, pii.spans(text)) == "account <iban> EUR"
