@@ -6,6 +6,9 @@ ordered window expressions. Points have scan, pid, x, y, z with z up.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +18,8 @@ from .runs import longest_run, pinch
 
 #: The least points and length, the plausible kerb, the widest step between bins.
 LEAST_POINTS, LEAST_LENGTH, KERB, LEAST_WIDTH = 2000, 2.0, (0.06, 0.25), 1.5
+#: A step that may be a kerb when the street's heading is sought, and how flat the ground beside it is.
+STEP, FLAT = (0.06, 0.3), 0.03
 
 
 def rotated(points: DataFrame, degrees: float | Column) -> DataFrame:
@@ -47,11 +52,24 @@ def kerb(prof: DataFrame) -> DataFrame:
 
 
 def street_angle(points: DataFrame, step: int = 3) -> DataFrame:
-    """Per scan the heading, in steps of some degrees, whose cross profile has the sharpest step; the smallest among equals."""
-    turned = rotated(points.withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(179), F.lit(step)))), F.col("angle"))
-    own = turned.withColumn("scan", F.struct("scan", "angle"))
-    best = steps(profile(own)).where("rise is not null").groupBy("scan").agg(F.max(F.abs("rise")).alias("rise"))
-    return best.groupBy(F.col("scan.scan").alias("scan")).agg(F.max(F.struct("rise", (-F.col("scan.angle")).alias("a"))).alias("m")).select("scan", (-F.col("m.a")).alias("angle"))
+    """Per scan the heading, in steps of some degrees, across which flat ground meets flat ground at the highest kerb-like step; the smallest among equals.
+
+    Strips of 10 cm hold the lowest points of 20 cm cells, four at least, and their middle mean: a strip that mixes road and footpath
+    lies between both, where a median would jump like a kerb at any heading. Flat means that all three strips beside the step
+    agree, so that the strips of a wrong heading, each with another mix, rarely pass. Scans without such a step have no row.
+    """
+    low = F.min(F.struct("z", "x", "y")).alias("p")
+    cells = points.groupBy("scan", F.floor(F.col("x") / 0.2), F.floor(F.col("y") / 0.2)).agg(low).select("scan", "p.*")
+    turned = rotated(cells.withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(179), F.lit(step)))), F.col("angle"))
+    keys = ["scan", "angle", "strip"]
+    strips = stats.placed(turned.withColumn("strip", F.floor(F.col("v") / 0.1)), keys, F.col("z")).groupBy(*keys).agg(stats.middle_mean().alias("z"), F.max("size").alias("n")).where("n >= 4")
+    w = Window.partitionBy("scan", "angle").orderBy("strip")
+    at = lambda d: F.min("z").over(w.rangeBetween(d, d))
+    flat = lambda d: F.greatest(*[at(d + k) for k in (-1, 0, 1)]) - F.least(*[at(d + k) for k in (-1, 0, 1)]) <= FLAT
+    whole = [at(k).isNotNull() for k in (-4, -3, -2, 2, 3, 4)]
+    found = strips.withColumn("rise", F.when(reduce(and_, whole, flat(-3) & flat(3)), F.round(F.abs(at(3) - at(-3)), 6)))
+    best = found.where(F.col("rise").between(*STEP)).groupBy("scan").agg(F.max(F.struct("rise", (-F.col("angle")).alias("a"))).alias("m"))
+    return best.select("scan", (-F.col("m.a")).alias("angle"))
 
 
 def obstacles(points: DataFrame, cell: float = 0.1, low: float = 0.1, high: float = 2.2, least: int = 3) -> DataFrame:
@@ -84,17 +102,20 @@ def acceptance(n_points: Column, length_m: Column, kerb_m: Column, width_m: Colu
 
 
 def measured(points: DataFrame) -> DataFrame:
-    """One row per scan: heading, length, kerb height, narrowest clear width and where, and why it is refused if it is."""
-    angle = street_angle(points)
-    p = rotated(points.join(angle, "scan"), F.col("angle"))
+    """One row per scan: heading, length, kerb height, typical and narrowest clear width and where, and why it is refused if it is.
+
+    A scan without a kerb-like step has no heading; it is measured along x and refused.
+    """
+    p = rotated(points.join(street_angle(points), "scan", "left"), F.coalesce("angle", F.lit(0)))
     k = kerb(profile(p))
     # the footpath is the higher side of the kerb, out to 5 m
     path = p.join(k.withColumnRenamed("bv", "kv"), "scan").withColumn("v", (F.col("kv") * 0.05 - F.col("v")) * F.col("side"))
     path = path.where(F.col("v").between(0.1, 5.0))
-    tight = narrowest(clear_widths(path, obstacles(path)))
+    widths = clear_widths(path, obstacles(path))
+    tight = narrowest(widths).join(widths.groupBy("scan").agg(F.median("clear_m").alias("clear_m")), "scan")  # a group is a scan's slices
     size = p.groupBy("scan").agg(F.count("*").alias("n_points"), (F.max("u") - F.min("u")).alias("length_m"), F.first("angle").alias("angle"))
-    out = size.join(k.select("scan", F.col("height").alias("kerb_m")), "scan", "left").join(tight.select("scan", F.col("pinch").alias("min_clear_m"), F.col("at").alias("slice")), "scan", "left")
-    reason = acceptance(F.col("n_points"), F.col("length_m"), F.col("kerb_m"), F.lit(LEAST_WIDTH))
+    out = size.join(k.select("scan", F.col("height").alias("kerb_m")), "scan", "left").join(tight.select("scan", "clear_m", F.col("pinch").alias("min_clear_m"), F.col("at").alias("slice")), "scan", "left")
+    reason = acceptance(F.col("n_points"), F.col("length_m"), F.col("kerb_m"), F.col("clear_m"))
     return out.withColumn("refused", reason)
 
 

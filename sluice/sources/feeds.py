@@ -177,8 +177,13 @@ def write_sorted_csv(df: DataFrame, path: str, *order) -> None:
 
 
 def write_exposure(df: DataFrame, path: str) -> None:
-    """The wide table, partitioned by the closure's month, zstd, row groups of about a million short rows."""
-    df.withColumn("month", F.date_format("d_from", "yyyy-MM")).repartition("month").sortWithinPartitions("radar_id", "site_no", "date_local").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(128 << 20)).partitionBy("month").parquet(path)
+    """The wide table, partitioned by the closure's month, zstd, row groups of about a million short rows.
+
+    Ranges of month and closure rather than a task a month: a busy month is written by several tasks, a file each.
+    """
+    order = ["month", "radar_id", "site_no", "date_local"]
+    ranged = df.withColumn("month", F.date_format("d_from", "yyyy-MM")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(128 << 20)).partitionBy("month").parquet(path)
 
 
 def write_records(records: DataFrame, path: str) -> None:
