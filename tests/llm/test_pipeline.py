@@ -53,7 +53,7 @@ def test_stages(spark, sf):
 def test_queries_run(spark, sf):
     queries = __spark_entry__.queries()
     mine = [k for k in queries if k.startswith("op") or k == "pipeline"]
-    assert len(mine) == 11
+    assert len(mine) == 14  # thirteen operators and the pipeline
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert queries["op2_simhash"](spark, sf).count() == n
     assert queries["op6_substrings"](spark, sf).agg(F.sum("n_bytes")).first()[0] > 0
