@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,10 +28,14 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, so that later steps survive lost executors without a recompute."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Materialises df in the shared checkpoint folder, so that later steps survive lost executors without a recompute.
+
+    In at most `parts` files. Each file costs a task and, on a local file system without Hadoop's native library, processes
+    that the JVM forks to set rights; a forked process counts as a second executor for a moment.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -70,11 +76,14 @@ _HELD: dict = {}
 def held(key: object, make: Callable[[], object]) -> object:
     """What a worker keeps from task to task for one operator at a time; another operator's is let go."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
-    """Lets go of what an earlier operator has kept in this worker."""
+    """Lets go of what an earlier operator has kept in this worker, and hands freed memory back: workers live from task to task."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -42,6 +42,10 @@ LANES = np.arange(32, dtype=np.int64) * 256
 ENTRY = np.dtype([("key", "<u4"), ("root", "<u4"), ("node", "<i8"), ("rest", "<u8"), ("more", "<u8"), ("last", "<u4"), ("size", "u1")])
 #: Entries of a task's bundle of groups on average, and of a block of a group.
 BUNDLE, BLOCK = 500_000, 16_384
+#: Entries of the groups that are met together, and edges of a partition in the search for components.
+CHUNK, EDGES = 1 << 16, 200_000
+#: Nodes of a partition of the tables between steps, and the least number of partitions.
+SHARE, PARTS = 4000, 12
 #: Group size up to which pairs are listed by shifting, beyond which by rows.
 LIGHT = 512
 #: Differing bits that are still candidates, of 160 and of 256 (4.6 standard deviations beyond the mean
@@ -236,10 +240,29 @@ def all_near(e: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (pairs of nodes, u < v) among entries of equal keys; of a crowd a forest, then marked True."""
-    e = e[np.lexsort((e["node"], e["size"], e["key"]))]
-    starts = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(e) else np.empty(0, np.int64)
-    sizes = np.diff(np.append(starts, len(e)))
+    """Candidates (pairs of nodes, u < v) among entries of equal keys; of a crowd a forest, then marked True.
+
+    Whole groups are taken together up to about CHUNK entries, so that beside e there is never another copy of it.
+    """
+    order = np.lexsort((e["node"], e["size"], e["key"]))
+    key = e["key"][order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(e) else np.empty(0, np.int64)
+    ends = np.append(starts, len(e))
+    found, g = [], 0
+    while g < len(starts):
+        last = max(g + 1, int(np.searchsorted(ends, ends[g] + CHUNK, "right")) - 1)
+        found.append(_met(e[order[ends[g] : ends[last]]], ends[g : last + 1] - ends[g]))
+        g = last
+    u, v, t = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+    order = np.lexsort((~t, v, u))
+    u, v, t = u[order], v[order], t[order]
+    new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.empty(0, bool)
+    return u[new], v[new], t[new]
+
+
+def _met(e: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """meetings, with repeats, of whole groups in order; ends: where each starts, and the number of entries."""
+    starts, sizes = ends[:-1], np.diff(ends)
     group = np.repeat(np.arange(len(starts)), sizes)
     at = np.flatnonzero(sizes[group] <= LIGHT)
     left, right, step = [], [], 0
@@ -264,11 +287,7 @@ def meetings(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         right.append(starts[g] + y)
         thin.append(np.full(len(x), found is None))
     a, b, t = e["node"][np.concatenate(left)], e["node"][np.concatenate(right)], np.concatenate(thin)
-    u, v = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((~t, v, u))
-    u, v, t = u[order], v[order], t[order]
-    new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.empty(0, bool)
-    return u[new], v[new], t[new]
+    return np.minimum(a, b), np.maximum(a, b), t
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -316,14 +335,17 @@ def _candidates(nodes: DataFrame, ball: bool, similarity: float, block: int = BL
         now, blobs, held = None, [], 0
 
         def close() -> pa.RecordBatch:
-            return batch(["u", "v", "thin"], *meetings(np.frombuffer(b"".join(blobs), ENTRY)))
+            e = np.frombuffer(b"".join(blobs), ENTRY)
+            blobs.clear()
+            return batch(["u", "v", "thin"], *meetings(e))
 
+        release()
         for b in slices(batches, rows=64, size=16 << 20):
             for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 full = not ball and held > 4 * BUNDLE * ENTRY.itemsize  # the first step need not be complete
                 if blobs and (part != now or full):
                     yield close()
-                    blobs, held = [], 0
+                    held = 0
                 now = part
                 blobs.append(blob)
                 held += len(blob)
@@ -375,7 +397,7 @@ def linked(root: np.ndarray, side: np.ndarray | None, words: np.ndarray | None,
     return edges
 
 
-def _compared(members: DataFrame, sets: DataFrame, similarity: float, prints: bool) -> DataFrame:
+def _compared(members: DataFrame, sets: DataFrame, similarity: float, prints: bool, parts: int) -> DataFrame:
     """(u, v): verified links that connect what is linked in each crowd of members (crowd, root, node, size). sets: node, fp, marks.
 
     A crowd's largest component, where it has over NODES nodes, is not compared with itself; what remains is dealt to
@@ -387,7 +409,7 @@ def _compared(members: DataFrame, sets: DataFrame, similarity: float, prints: bo
     crowds = whole.groupBy("crowd").agg(top, F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("roots")).where("roots > 1")
     giant = F.col("top.n") > NODES
     less = lambda c: F.col(c) - F.when(giant, F.col(f"top.{c}")).otherwise(0)
-    crowds = cut(crowds.select("crowd", F.when(giant, F.col("top.root")).alias("giant"), blocks(less("n"), less("w")).alias("m"), F.when(giant, blocks(F.col("top.n"), F.col("top.w"))).otherwise(0).alias("g")))
+    crowds = cut(crowds.select("crowd", F.when(giant, F.col("top.root")).alias("giant"), blocks(less("n"), less("w")).alias("m"), F.when(giant, blocks(F.col("top.n"), F.col("top.w"))).otherwise(0).alias("g")), parts)
     dealt = members.join(crowds, "crowd").withColumn("within", F.coalesce(F.col("root") == F.col("giant"), F.lit(False)))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("within"), F.col("g")).otherwise(F.col("m"))).cast("int"))
     # blocks of the rest are 0, 1, ...; those of the largest component -1, -2, ...
@@ -397,6 +419,7 @@ def _compared(members: DataFrame, sets: DataFrame, similarity: float, prints: bo
     pieces = dealt.select("crowd", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "root", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         now, held = None, []
 
         def close() -> pa.RecordBatch:
@@ -425,20 +448,20 @@ def _compared(members: DataFrame, sets: DataFrame, similarity: float, prints: bo
     return spread.mapInArrow(run, "u long, v long").distinct()
 
 
-def _few_links(nodes: DataFrame, similarity: float) -> DataFrame:
+def _few_links(nodes: DataFrame, similarity: float, parts: int) -> DataFrame:
     """(u, v): verified links that connect all nodes (node, size, few) that are linked; few: the sets.
 
     Sets of the similarity share one of their first size - ceil(similarity * size) + 1 marks in any common order; the
     order is by number of sets, then by value, and marks of one set alone cannot be shared.
     """
     each = nodes.select("node", "size", F.explode("few").alias("mark"))
-    often = cut(each.groupBy("mark").agg(F.count("*").alias("sets")).where("sets > 1"))
+    often = cut(each.groupBy("mark").agg(F.count("*").alias("sets")).where("sets > 1"), parts)
     shared = each.join(often, "mark").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("sets", "mark"))).alias("m"))
     first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("m"))
     filed = shared.where(first > 0).select("node", "size", F.explode(F.slice("m", F.lit(1), first.cast("int"))).alias("m"))
-    members = cut(filed.select(F.col("m.mark").alias("crowd"), F.col("node").alias("root"), "node", "size"))
+    members = cut(filed.select(F.col("m.mark").alias("crowd"), F.col("node").alias("root"), "node", "size"), parts)
     sets = nodes.select("node", F.lit(None).cast("binary").alias("fp"), F.col("few").alias("marks"))
-    return _compared(members, sets, similarity, False)
+    return _compared(members, sets, similarity, False, parts)
 
 
 def _distance(a: str, b: str):
@@ -451,6 +474,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """Pairs whose shingle sets (node, marks) have the Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches, rows=1024):
             good = []
             for p, q in zip(_arrays(b.column(2)), _arrays(b.column(3)), strict=True):
@@ -480,36 +504,36 @@ def _near(met: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes with the root of their component (their own number where they have no link)."""
-    return nodes.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.drop("root").join(components(links, each=EDGES), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _links(nodes: DataFrame, texts: DataFrame, n: int, similarity: float, block: int) -> DataFrame:
+def _links(nodes: DataFrame, texts: DataFrame, n: int, similarity: float, block: int, parts: int) -> DataFrame:
     """(u, v): verified links that connect all nodes (node, fp, size, few) found to be linked."""
-    few = cut(_few_links(nodes.where("size > 0 and few is not null"), similarity))
+    few = cut(_few_links(nodes.where("size > 0 and few is not null"), similarity, parts), parts)
     many = nodes.where(F.col("size") > EXACT).select("node", "size", "fp")
-    likely = cut(_near(_candidates(many.withColumn("root", F.col("node")), False, similarity), many, similarity))
-    rooted = cut(_rooted(many, likely).select("node", "root", "size", "fp"))
-    met = cut(_candidates(rooted, True, similarity, block))
-    pairs = cut(_near(met, many, similarity).union(likely))
+    likely = cut(_near(_candidates(many.withColumn("root", F.col("node")), False, similarity), many, similarity), parts)
+    rooted = cut(_rooted(many, likely).select("node", "root", "size", "fp"), parts)
+    met = cut(_candidates(rooted, True, similarity, block), parts)
+    pairs = cut(_near(met, many, similarity).union(likely), parts)
     thin = met.where("thin").select("u", "v")
     ends = pairs.union(thin)
     wanted = ends.select(F.col("u").alias("row")).union(ends.select("v")).distinct()
-    sets = cut(_sets(texts.join(wanted, "row"), n))
-    links = few.union(cut(_verified(pairs, sets, similarity)))
+    sets = cut(_sets(texts.join(wanted, "row"), n), parts)
+    links = few.union(cut(_verified(pairs, sets, similarity), parts))
 
     of = rooted.select("node", "root")
     end = lambda name: of.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    marked = cut(thin.join(end("u"), "u").join(end("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+    marked = cut(thin.join(end("u"), "u").join(end("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v")), parts)
     within = rooted.groupBy("root").count().where("count > 1").select("root")
     some = within.union(marked.select("u")).union(marked.select("v")).distinct()
-    crowd = components(marked).select(F.col("node").alias("root"), F.col("root").alias("crowd"))
-    crowds = cut(some.join(crowd, "root", "left").select("root", F.coalesce("crowd", "root").alias("crowd")))
-    now = components(links).withColumnRenamed("root", "now")
-    members = cut(rooted.join(crowds, "root").join(now, "node", "left").select("crowd", F.coalesce("now", "node").alias("root"), "node", "size"))
-    open_ = cut(members.groupBy("crowd").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("crowd"))
-    members = cut(members.join(open_, "crowd"))
+    crowd = components(marked, each=EDGES).select(F.col("node").alias("root"), F.col("root").alias("crowd"))
+    crowds = cut(some.join(crowd, "root", "left").select("root", F.coalesce("crowd", "root").alias("crowd")), parts)
+    now = components(links, each=EDGES).withColumnRenamed("root", "now")
+    members = cut(rooted.join(crowds, "root").join(now, "node", "left").select("crowd", F.coalesce("now", "node").alias("root"), "node", "size"), parts)
+    open_ = cut(members.groupBy("crowd").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("crowd"), parts)
+    members = cut(members.join(open_, "crowd"), parts)
     prints = sets.join(many.select("node", "fp"), "node").select("node", "fp", "marks")
-    return links.union(cut(_compared(members, prints, similarity, True)))
+    return links.union(cut(_compared(members, prints, similarity, True, parts), parts))
 
 
 def kept(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -526,6 +550,7 @@ def kept(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str
     prints = _prints(numbered, f"doc.`{id_col}`", f"doc.`{text_col}`", shingle, int(EXACT / similarity + 1e-9), docs.schema[id_col].dataType.simpleString())
     best = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("best")
     nodes = cut(prints.groupBy("digest").agg(best, F.min("row").alias("node"), *[F.first(c).alias(c) for c in ("fp", "size", "few")]))
-    rooted = _rooted(nodes.select("node", "best"), _links(nodes, texts, shingle, similarity, block))
+    parts = max(PARTS, -(-nodes.count() // SHARE))  # not the session's shuffle partitions, which can be many empty ones
+    rooted = _rooted(nodes.select("node", "best"), _links(nodes, texts, shingle, similarity, block, parts))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
-    return numbered.join(stay, "row", "left_semi").select("doc.*")
+    return numbered.join(stay, "row", "left_semi").select("doc.*").coalesce(parts)

@@ -4,6 +4,7 @@ import array
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -180,6 +181,22 @@ def test_components_long_chain(spark):
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
 
 
+def test_components_of_few_edges_take_few_partitions(spark):
+    """However many partitions shuffles have, the rounds write as many as the edges need."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)], "u long, v long")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        stars = components.components(edges, each=1000)
+        assert {r.node: r.root for r in stars.collect()} == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 140), 100)
+        written = stars.where("root is not null").select("node")._jdf.queryExecution().analyzed().collectLeaves()
+        assert max(written.apply(k).rdd().getNumPartitions() for k in range(written.size())) <= components.PARTS
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_jaccard_near_duplicates(spark, table_of):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
@@ -300,6 +317,27 @@ def test_crowds_give_forests():
     assert len({find(k) for k in range(700)}) == 1
 
 
+def test_meetings_hold_little_beside_the_entries(monkeypatch):
+    """Groups are met some at a time, with the same pairs as all at once."""
+    rng = np.random.default_rng(5)
+    e = np.zeros(400_000, simhash_wide.ENTRY)
+    e["node"] = e["root"] = np.arange(len(e))
+    e["key"] = rng.integers(0, len(e) // 200, len(e))
+    for name, kind in (("rest", 64), ("more", 64), ("last", 32)):
+        e[name] = rng.integers(0, 2**kind, len(e), np.uint64) if kind == 64 else rng.integers(0, 2**kind, len(e))
+    e[::50] = e[1::50]  # some pairs of one node each way round
+    e["node"][::50] -= 1
+    e["root"][::50] -= 1
+    tracemalloc.start()
+    some = simhash_wide.meetings(e)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * e.nbytes, peak / e.nbytes
+    monkeypatch.setattr(simhash_wide, "CHUNK", len(e))
+    once = simhash_wide.meetings(e)
+    assert len(some[0]) >= len(e) // 50 and all((x == y).all() for x, y in zip(some, once, strict=True))
+
+
 @pytest.mark.parametrize(("copies", "edits"), [(8, 4), (120, 4), (700, 3), (700, 4), (1500, 4)])
 def test_groups_of_near_copies(table_of, copies, edits):
     """One text and copies with 3 or 4 of 200 words changed: each is at 0.8 or more to it, fewer to each other."""
