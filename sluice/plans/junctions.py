@@ -43,10 +43,10 @@ def hook_turns(spark: SparkSession, d: str) -> DataFrame:
     far = nodes.select(F.col("node").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     east = F.struct((F.col("node") + 1).alias("dst"), F.concat(F.lit("H"), F.floor(F.col("node") / 10)).alias("name"))
     north = F.struct((F.col("node") + 10).alias("dst"), F.concat(F.lit("V"), F.col("node") % 10).alias("name"))
-    ahead = nodes.select(F.col("node").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.inline(F.filter(F.array(east, north), lambda w: (w["dst"] % 10 != 0) | (w["dst"] - F.col("node") == 10)))).join(far, "dst")
+    ahead = nodes.select(F.col("node").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.inline(F.filter(F.array(east, north), lambda w: (w["dst"] % 10 != 0) | (w["dst"] - F.col("node") == 10)))).join(far.hint("merge"), "dst")
     back = ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "name", F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
     edges = ahead.select(*back.columns).unionByName(back).withColumn("edge", F.concat_ws("-", "src", "dst"))
-    links = edges.select(F.col("edge").alias("from_edge"), F.col("dst").alias("m"), "src").join(edges.select(F.col("src").alias("m"), F.col("edge").alias("to_edge"), F.col("dst").alias("b")), "m").where((F.col("src") != F.col("b")) & (F.pmod(F.col("src") + F.col("b"), F.lit(5)) != 0)).select("from_edge", "to_edge")
+    links = edges.select(F.col("edge").alias("from_edge"), F.col("dst").alias("m"), "src").join(edges.select(F.col("src").alias("m"), F.col("edge").alias("to_edge"), F.col("dst").alias("b")).hint("merge"), "m").where((F.col("src") != F.col("b")) & (F.pmod(F.col("src") + F.col("b"), F.lit(5)) != 0)).select("from_edge", "to_edge")
     c = F.col("c_custkey")
     own = t.table(spark, d, "customer").select(c.alias("rule"), F.when(c % 2 == 0, "ban").otherwise("hook").alias("kind"), c.alias("site"), F.concat(F.lit("H"), F.floor(c / 10) % 4).alias("from_name"), F.when(c % 3 == 0, "W").otherwise("E").alias("from_direction"), F.concat(F.lit("V"), c % 10).alias("to_name"), F.when(c % 5 < 2, "N").otherwise("S").alias("to_direction"))
     sites = t.table(spark, d, "customer").select(c.alias("site"), (c % 10 * 100 + c % 13 * 6).cast("double").alias("x"), (F.floor(c / 10) % 4 * 100 + c % 7 * 5).cast("double").alias("y"))

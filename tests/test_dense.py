@@ -39,3 +39,20 @@ def test_turn_rules_with_many_edges_of_a_name(spark, tmp_path):
     out = details.turn_rules(spark, str(tmp_path))
     assert _made_rows(out) < 10_000
     assert sum(r["n"] for r in out.collect()) == 50 * 400 * 400
+
+
+def test_rules_at_junctions_are_not_broadcast(spark, sf):
+    from sluice.plans import junctions
+
+    out = junctions.hook_turns(spark, sf)
+    assert out.count() > 0
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_junctions_are_found_once_a_place(spark):
+    edges = spark.createDataFrame([("e1", "H", 1, 2, 0.0, 0.0, 100.0, 0.0), ("e2", "V", 2, 3, 100.0, 0.0, 100.0, -100.0), ("e3", "V", 2, 4, 100.0, 0.0, 100.0, 100.0)], "edge string, name string, src int, dst int, x0 double, y0 double, x1 double, y1 double")
+    sites = spark.range(500).select(F.col("id").alias("site"), F.when(F.col("id") < 490, 110.0).alias("x"), F.lit(5.0).alias("y"))
+    rules = sites.select(F.col("site").alias("rule"), F.when(F.col("site") % 2 == 0, "hook").otherwise("ban").alias("kind"), "site", F.lit("H").alias("from_name"), F.lit("E").alias("from_direction"), F.lit("V").alias("to_name"), F.lit("S").alias("to_direction"))
+    out = demand.resolved_turns(rules, sites, edges, spark.createDataFrame([("e1", "e2")], "from_edge string, to_edge string"))
+    got = {(r["status"], r["junction"], r["to_edge"]): r["n"] for r in out.groupBy("status", "junction", "to_edge").agg(F.count("*").alias("n")).collect()}
+    assert got == {("applied", 2, "e2"): 245, ("NOT APPLIED", 2, "e2"): 245, ("no junction", None, None): 10}
