@@ -68,3 +68,14 @@ def test_places_and_courses_are_met_once(spark):
     rows = out.collect()
     assert len(rows) == 3000
     assert {(r["id"] % 3, r["key"], round(r["dist_m"], 9)) for r in rows} == {(0, 0, 1.0), (1, 1, 1.0), (2, 1, 1.0)}
+
+
+def test_volumes_of_nearest_segments_meet_places_once(spark, tmp_path):
+    from sluice.plans import details
+
+    spark.range(300).select((F.col("id") * 61 * 47).alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(200).select((F.col("id") * 31 * 23 * 15).alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(200).select((F.col("id") * 31 * 23 * 15).alias("l_suppkey"), F.col("id").cast("double").alias("l_quantity"), F.lit(0.1).alias("l_tax"), F.lit("F").alias("l_linestatus")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = details.nearest_aadt(spark, str(tmp_path))
+    assert _made_rows(out) < 5_000
+    assert {(r["segment_id"], r["aadt"], r["aadt_directions"]) for r in out.collect()} == {(0, 0.0, "F")} and out.count() == 300
