@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,8 +108,12 @@ def edge_lines(edges: DataFrame, cell: float = 0.05, **rules) -> DataFrame:
 
 
 def windowed(points: DataFrame, centre: tuple[float, float], direction: float, along: tuple[float, float], across: tuple[float, float]) -> DataFrame:
-    """Points whose place along and across a direction (degrees; across to its right) from a centre lies within both windows."""
-    u, v = F.cos(F.radians(F.lit(direction))), F.sin(F.radians(F.lit(direction)))
+    """Points whose place along and across a direction (degrees; across to its right) from a centre lies within both windows.
+
+    Quarter turns are exact, so a point on a window's border stays out.
+    """
+    quarter = {0: (1.0, 0.0), 90: (0.0, 1.0), 180: (-1.0, 0.0), 270: (0.0, -1.0)}
+    u, v = quarter.get(direction % 360, (math.cos(math.radians(direction)), math.sin(math.radians(direction))))
     dx, dy = F.col("x") - centre[0], F.col("y") - centre[1]
     a, b = dx * u + dy * v, dx * v - dy * u
     return points.where((a > along[0]) & (a < along[1]) & (b > across[0]) & (b < across[1]))

@@ -79,3 +79,18 @@ def test_volumes_of_nearest_segments_meet_places_once(spark, tmp_path):
     out = details.nearest_aadt(spark, str(tmp_path))
     assert _made_rows(out) < 5_000
     assert {(r["segment_id"], r["aadt"], r["aadt_directions"]) for r in out.collect()} == {(0, 0.0, "F")} and out.count() == 300
+
+
+def test_window_with_points_on_its_border(spark):
+    from sluice.operators import scene
+
+    p = [(0, k, x, y) for k, (x, y) in enumerate([(1.5, -1.5), (3.0, 0.0), (-1.0, 0.0), (1.4, 1.5), (1.5, 0.0), (-0.9, 1.4), (-3.7, -1.5), (1.4999, -1.4999)])]
+    points = spark.createDataFrame(p, "scan int, pid int, x double, y double")
+    right = [(0.5, -0.5), (-1.0, 2.0), (-1.5, 1.0)]
+    for direction, turn in ((90.0, lambda x, y: (y, x)), (270.0, lambda x, y: (-y, -x)), (-90.0, lambda x, y: (-y, -x)), (0.0, lambda x, y: (x, -y)), (180.0, lambda x, y: (-x, y)), (450.0, lambda x, y: (y, x))):
+        got = {r["pid"] for r in scene.windowed(points, right[0], direction, right[1], right[2]).collect()}
+        want = set()
+        for _, k, x, y in p:
+            along, across = turn(x - 0.5, y + 0.5)
+            want |= {k} if -1.0 < along < 2.0 and -1.5 < across < 1.0 else set()
+        assert got == want, direction
