@@ -97,7 +97,7 @@ def test_window_with_points_on_its_border(spark):
         assert got == want, direction
 
 
-@pytest.mark.parametrize("name", ["vertical_agreement", "plane_distances"])
+@pytest.mark.parametrize("name", ["vertical_agreement", "plane_distances", "wall_fit"])
 def test_dense_clouds_make_no_row_for_each_pair(spark, tmp_path, name):
     from sluice.plans import registry
 
@@ -143,4 +143,4 @@ def test_nearest_as_by_brute_force(spark, monkeypatch, k, root):
     assert got == want
 
 
-def test_neighbours_leave_themselves_out_among_copies
+def test_neighbours_leave_themselves_out_
