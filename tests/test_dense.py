@@ -97,7 +97,7 @@ def test_window_with_points_on_its_border(spark):
         assert got == want, direction
 
 
-@pytest.mark.parametrize("name", ["vertical_agreement", "plane_distances", "wall_fit", "nearest_neighbour_radius"])
+@pytest.mark.parametrize("name", ["vertical_agreement", "fit_quality", "plane_distances", "wall_fit", "nearest_neighbour_radius"])
 def test_dense_clouds_make_no_row_for_each_pair(spark, tmp_path, name):
     from sluice.plans import registry
 
